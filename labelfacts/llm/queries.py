@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash, toxicity
+from . import bpe, exact_dedup, mixing, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_mixing": mixing.op7_mixing,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
 }
 
 ORACLE_SQL = {"op6_exact_dedup": exact_dedup.SQL}
