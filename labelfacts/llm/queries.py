@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, simhash, toxicity
+from . import bpe, exact_dedup, langid, mixing, pii, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_language_id": langid.op2_language_id,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLE_SQL = {"op6_exact_dedup": exact_dedup.SQL}
