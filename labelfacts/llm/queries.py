@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, mixing, pii, simhash, toxicity
+from . import bpe, exact_dedup, langid, mixing, pii, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_pii": pii.op10_pii,
 }
 
