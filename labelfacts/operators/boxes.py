@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text as ft
 from ..vocabulary import FOOTERS, LINE_FUDGE, OVERLAP, SMALL_HEIGHT
@@ -160,6 +161,6 @@ def greedy_lines(boxes: DataFrame, fudge: int = LINE_FUDGE, small: int = SMALL_H
             n += 1
         return t.assign(line=line)
 
-    return boxes.groupBy("image_id").applyInPandas(number, boxes.schema.add("line", "int"))
+    return boxes.groupBy("image_id").applyInPandas(number, StructType([*boxes.schema.fields, StructField("line", IntegerType())]))
 
 

@@ -48,13 +48,13 @@ def choose_hits(hits: DataFrame) -> DataFrame:
 
 def nutrient_hits(boxes: DataFrame, terms: list[str] = TERMS, most: int = 1) -> DataFrame:
     """(image_id, nutrient, seq) of each term, by its English name or else, in images without that, by the French one."""
-    english = phrase_hits(boxes, terms, most).select("image_id", F.col("term").alias("nutrient"), "seq")
     other = {FRENCH[t]: t for t in terms if FRENCH[t] != t}
+    # one pass for both: a union of two would be windowed by an output partitioning that adaptive execution may have coalesced apart
+    found = phrase_hits(boxes, [*terms, *other], most)
     if not other:
-        return english
+        return found.select("image_id", F.col("term").alias("nutrient"), "seq")
     names = F.create_map(*(F.lit(x) for p in other.items() for x in p))
-    french = phrase_hits(boxes, list(other), most).select("image_id", names[F.col("term")].alias("nutrient"), "seq")
-    both = english.withColumn("_f", F.lit(0)).unionAll(french.withColumn("_f", F.lit(1)))
+    both = found.select("image_id", F.coalesce(names[F.col("term")], F.col("term")).alias("nutrient"), "seq", F.col("term").isin(list(other)).cast("int").alias("_f"))
     return both.withColumn("_m", F.min("_f").over(Window.partitionBy("image_id", "nutrient"))).where("_f = _m").select("image_id", "nutrient", "seq")
 
 

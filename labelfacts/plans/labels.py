@@ -21,7 +21,8 @@ def values(clean: DataFrame, terms: list[str]) -> DataFrame:
     hits = fc.nutrient_hits(clean, terms).join(fc.with_neighbours(clean).select("image_id", "seq", F.col("top").alias("line"), "before", "after", "last"), ["image_id", "seq"])
     chosen = fc.choose_hits(hits.select("image_id", "nutrient", "seq", "line", "before", "after", "last")).select("image_id", "nutrient", "seq")
     size = F.col("nutrient").substr(1, 7) == "vitamin"
-    found = fc.line_items(clean, chosen.unionByName(fc.serving_hits(clean)))
+    # written: joins on a union of partitioned children aren't safe under adaptive execution
+    found = fc.line_items(clean, written(chosen.unionByName(fc.serving_hits(clean))))
     at = F.when(F.col("nutrient") == "portion_size", fc.serving_at(F.col("items"))).when(size, 1).otherwise(0)
     return fc.extract(found.withColumn("at", at).where("at is not null")).select("image_id", "nutrient", "quantity", "unit", "dv")
 

@@ -344,7 +344,7 @@ def absent_marking(s, d):
     clean = _clean(s, d)
     clean = written(clean.join(fc.foreign_labels(clean).select("image_id"), "image_id", "left_anti"))
     terms = [t for t in TERMS if t != DROPPED]
-    found = fc.complete(fc.facts(labels.values(clean, terms)), terms)
+    found = written(fc.complete(fc.facts(labels.values(clean, terms)), terms))
     return fc.mark_absent(found, fc.nutrient_hits(clean, terms), fz.phrase_hits(clean, ["not a significant source"]).select("image_id", "seq"))
 
 
