@@ -164,7 +164,8 @@ def missing(found: DataFrame) -> DataFrame:
 def foreign_labels(boxes: DataFrame, least: int = 3) -> DataFrame:
     """(image_id, terms): labels on which at least three of the other format's terms share a line with another one."""
     merged = merge_vitamins(boxes)
-    hits = phrase_hits(merged, FOREIGN).join(merged.select("image_id", "seq", "top", "height"), ["image_id", "seq"])
+    tests = F.array(*(F.when(ft.within(F.lower("text"), F.lit(t), 1), F.lit(t)) for t in FOREIGN))  # a merged vitamin is one word
+    hits = merged.select("image_id", "seq", F.explode(F.filter(tests, lambda t: t.isNotNull())).alias("term")).join(merged.select("image_id", "seq", "top", "height"), ["image_id", "seq"])
     pairs = hits.alias("i").join(hits.alias("j"), (F.col("i.image_id") == F.col("j.image_id")) & (F.col("i.seq") != F.col("j.seq")) & on_line())
     return pairs.groupBy(F.col("i.image_id").alias("image_id")).agg(F.count_distinct("i.term").alias("terms")).where(F.col("terms") >= least)
 

@@ -136,8 +136,7 @@ CTE = {
     "vm": f"""SELECT image_id, {_RENUMBER.format('seq')}, CASE take WHEN 2 THEN concat_ws(' ', text, t1, t2) WHEN 1 THEN concat_ws(' ', text, t1) ELSE text END AS text, "left", top,
         CAST(width + CASE WHEN take >= 1 THEN w1 ELSE 0 END + CASE WHEN take = 2 THEN w2 ELSE 0 END AS INT) AS width, height
         FROM (SELECT *, coalesce(lag(take) OVER w, 0) >= 1 OR coalesce(lag(take, 2) OVER w, 0) >= 2 AS gone FROM fo_t WINDOW w AS (PARTITION BY image_id ORDER BY seq)) WHERE NOT gone""",
-    "fg": f"SELECT image_id, seq, top, height, lower(text) AS n1, lower({_GRAM.format(1)}) AS n2, lower({_GRAM.format(2)}) AS n3 FROM vm",
-    "fh": "SELECT image_id, seq, top, height, term FROM fg, (SELECT unnest([" + _list(FOREIGN) + "]) AS term) WHERE levenshtein(CASE length(term) - length(replace(term, ' ', '')) WHEN 0 THEN n1 WHEN 1 THEN n2 ELSE n3 END, term) <= 1",
+    "fh": "SELECT image_id, seq, top, height, term FROM vm, (SELECT unnest([" + _list(FOREIGN) + "]) AS term) WHERE levenshtein(lower(text), term) <= 1",
     "foreign_": f"SELECT i.image_id, count(DISTINCT i.term) AS terms FROM fh i JOIN fh j ON i.image_id = j.image_id AND i.seq <> j.seq AND {_ON_LINE} GROUP BY i.image_id HAVING count(DISTINCT i.term) >= 3",
     "every": f"SELECT image_id, term AS nutrient FROM (SELECT DISTINCT image_id FROM fx WHERE nutrient <> '{DROPPED}' AND image_id NOT IN (SELECT image_id FROM foreign_)), terms WHERE term <> '{DROPPED}'",
     "done": f"SELECT e.image_id, e.nutrient, quantity, quantity_status, unit, dv, dv_status FROM every e LEFT JOIN fx USING (image_id, nutrient) UNION ALL SELECT image_id, nutrient, quantity, quantity_status, unit, dv, dv_status FROM fx WHERE nutrient = 'portion_size' AND image_id NOT IN (SELECT image_id FROM foreign_)",
