@@ -71,7 +71,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line, text, h) of every line that isn't blank; text without white space at its ends and in lower case, h its hash."""
     split = docs.select("doc_id", F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line", "text"))
-    clean = split.select("doc_id", "line", F.lower(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("text")).where("text <> ''")
+    clean = split.select("doc_id", "line", F.lower(F.trim("text", F.lit(" \t\x0b\f\r"))).alias("text")).where("text <> ''")
     return clean.withColumn("h", F.xxhash64("text"))
 
 
@@ -104,14 +104,15 @@ def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The (h, key) of buckets that hold more than one line."""
+    """(h, key) of buckets that hold more than one line; key is a hash of the bucket's lines, so that equal buckets of several bands are one."""
     for b in groups_of(batches):
         key, h = b.column(0).to_numpy(), b.column(1).to_numpy()
         begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(begin, len(key)))
         many = np.repeat(np.minimum.reduceat(h, begin) != np.maximum.reduceat(h, begin), size)
         new = np.append(True, (key[1:] != key[:-1]) | (h[1:] != h[:-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(h[many & new]), pa.array(key[many & new])], names=["h", "key"])
+        lines_of = tx.mix(np.add.reduceat(np.where(new, tx.mix(h.view(U)), U(0)), begin)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(h[many & new]), pa.array(np.repeat(lines_of, size)[many & new])], names=["h", "key"])
 
 
 def _component(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
@@ -138,30 +139,59 @@ def _component(sets: list[np.ndarray], least: float) -> tuple[list[int], list[in
     return a, c
 
 
+#: Buckets of up to so many lines are verified pair by pair, all buckets of a batch at once; larger ones by breadth-first search.
+SMALL = 16
+
+
+def _pairs(values: np.ndarray, cut: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Which of the pairs i, j of shingle sets (values[cut[r]:cut[r + 1]], distinct) have at least that Jaccard similarity."""
+    size, out = np.diff(cut), np.zeros(len(i), bool)
+    a, b = size[i], size[j]
+    at = np.flatnonzero(np.minimum(a, b) >= least * np.maximum(a, b))  # others can't reach it
+    total = np.cumsum((a + b)[at])
+    for part in np.split(at, np.searchsorted(total, np.arange(1, (total[-1] if len(at) else 0) // 1_000_000 + 1) * 1_000_000)):
+        if not len(part):
+            continue
+        row, n = np.concatenate([i[part], j[part]]), np.concatenate([a[part], b[part]])
+        pair = np.repeat(np.tile(np.arange(len(part)), 2), n)
+        flat = values[np.repeat(cut[row] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        key = tx.mix(flat + pair.astype(U) * U(0xD6E8FEB86659FD93))
+        by = np.argsort(key)
+        key, pair = key[by], pair[by]
+        common = np.bincount(pair[1:][key[1:] == key[:-1]], minlength=len(part))
+        out[part] = common >= least * (a[part] + b[part] - common)
+    return out
+
+
 def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, ...]] = set()
         for b in groups_of(batches):
             key, h = b.column(0).to_numpy(), b.column(1).to_numpy()
             begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(begin, len(key)))
+            values, sizes = [], []
+            for _, data, at in tx.pieces(b.column(2)):
+                s, row = shingles(data, at)
+                by = np.lexsort((s, row))
+                s, row = s[by], row[by]
+                one = np.append(True, (s[1:] != s[:-1]) | (row[1:] != row[:-1]))
+                values.append(s[one])
+                sizes.append(np.bincount(row[one], minlength=len(at) - 1))
+            values, cut = np.concatenate(values), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
             a, c = [], []
-            for i, j in zip(begin, np.append(begin[1:], len(key))):
-                members = tuple(h[i:j].tolist()) if j - i < 64 else (hash(h[i:j].tobytes()), int(j - i))
-                if members in seen:
-                    continue  # another band's bucket held the same lines
-                seen.add(members)
-                if len(seen) > 500_000:
-                    seen.clear()
-                sets: list[np.ndarray] = []
-                for _, data, at in tx.pieces(b.column(2).slice(i, j - i)):
-                    s, row = shingles(data, at)
-                    by = np.lexsort((s, row))
-                    sets += [np.unique(x) for x in np.split(s[by], np.searchsorted(row[by], np.arange(1, len(at) - 1)))]
-                x, y = _component(sets, least)
-                a.append(h[i + np.array(x, np.int64)])
-                c.append(h[i + np.array(y, np.int64)])
+            for step in range(1, min(SMALL, size.max())):
+                some = (size > step) & (size <= SMALL)
+                n = size[some] - step
+                x = np.repeat(begin[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                near = _pairs(values, cut, x, x + step, least)
+                a.append(x[near])
+                c.append(x[near] + step)
+            for k in np.flatnonzero(size > SMALL):
+                x, y = _component([values[cut[r] : cut[r + 1]] for r in range(begin[k], begin[k] + size[k])], least)
+                a.append(begin[k] + np.array(x, np.int64))
+                c.append(begin[k] + np.array(y, np.int64))
             none = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *c]))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[np.concatenate([none, *a])]), pa.array(h[np.concatenate([none, *c])])], names=["a", "b"])
 
     return run
 
@@ -170,7 +200,7 @@ def line_groups(docs: DataFrame, least: float = JACCARD) -> DataFrame:
     """(doc_id, line, first_doc_id, first_line, keep) of every line whose component holds more than one line or place."""
     every = lines(docs)
     met = every.select("h", "text").mapInArrow(_buckets, "key long, h long").repartition("key").sortWithinPartitions("key", "h").mapInArrow(_shared, "h long, key long")
-    wanted = small(written(met.groupBy("h").agg(F.collect_list("key").alias("keys"))), 300_000)
+    wanted = small(written(met.groupBy("h").agg(F.collect_set("key").alias("keys"))), 300_000)
     texts = every.select("h", "text").join(wanted, "h").groupBy("h").agg(F.first("text").alias("text"), F.first("keys").alias("keys"))
     rows = texts.select(F.explode("keys").alias("key"), "h", "text").repartition("key").sortWithinPartitions("key", "h")
     linked = components(rows.mapInArrow(_verify(least), "a long, b long"))
