@@ -37,26 +37,58 @@ def domain() -> Column:
     return F.when(F.col("quality") == 0, "junk").otherwise(F.col("lang"))
 
 
+#: Features that are worked on at once while fitting: what is held besides the features themselves stays small.
+CHUNK = 1_000_000
+
+
+def _sums(values: np.ndarray, index: np.ndarray, at: np.ndarray, out: np.ndarray) -> None:
+    """out[k] = the sum of values[index[at[k]:at[k + 1]]], none of them empty, in chunks; values and out have a row a class."""
+    k = 0
+    while k < len(at) - 1:
+        e = max(k + 1, int(np.searchsorted(at, at[k] + CHUNK, "right")) - 1)
+        part, cut = index[at[k] : at[e]], at[k:e] - at[k]
+        for c in range(len(values)):
+            out[c, k:e] = np.add.reduceat(values[c][part], cut)
+        k = e
+
+
 def fit_softmax(sets: list[np.ndarray], y: np.ndarray, classes: int, steps: int = 80, rate: float = 0.05, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights (buckets x classes) and biases, by Adam on the cross-entropy; a row's features have the length 1."""
-    at = np.concatenate([np.zeros(0, np.int32), *sets]).astype(np.int64)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    keep, at = np.unique(at, return_inverse=True)
-    scale = 1 / np.sqrt(np.maximum([len(s) for s in sets], 1))
-    truth = np.eye(classes)[y]
-    prior = np.log(truth.mean(0) + 1e-3)
-    w, b = np.zeros((len(keep), classes)), prior.copy()
-    m = v = np.zeros((len(keep) + 1, classes))
+    n, size = len(sets), np.array([len(s) for s in sets])
+    some = np.flatnonzero(size)  # rows with a feature
+    by_row = np.concatenate([np.zeros(0, np.int32), *sets])
+    # the same pairs in the order of features
+    key = (by_row.astype(np.int64) << 32) | np.repeat(np.arange(n), size)
+    key.sort()
+    by_feature, first = key.astype(np.int32), np.flatnonzero(np.diff(key >> 32, prepend=-1))
+    keep = key[first] >> 32
+    del key
+    place = np.zeros(1 << BITS, np.int32)
+    place[keep] = np.arange(len(keep))
+    by_row = place[by_row]
+    rows_at, features_at = np.append(0, np.cumsum(size[some])), np.append(first, len(by_feature))
+    scale = 1 / np.sqrt(np.maximum(size, 1))
+    truth = np.eye(classes)[y].T
+    prior = np.log(truth.mean(1) + 1e-3)
+    w, b = np.zeros((classes, len(keep))), prior.copy()
+    m = v = np.zeros((classes, len(keep) + 1))
     for step in range(1, steps + 1):
-        z = np.stack([np.bincount(row, w[at, c], len(sets)) for c in range(classes)], 1) * scale[:, None] + b
-        p = np.exp(z - z.max(1, keepdims=True))
-        d = (p / p.sum(1, keepdims=True) - truth) / len(sets)
-        g = np.concatenate([np.stack([np.bincount(at, (d[:, c] * scale)[row], len(keep)) for c in range(classes)], 1) + l2 / len(sets) * w, d.sum(0)[None]])
+        z = np.zeros((classes, n))
+        inner = np.zeros((classes, len(some)))
+        _sums(w, by_row, rows_at, inner)
+        z[:, some] = inner
+        z = z * scale + b[:, None]
+        p = np.exp(z - z.max(0))
+        d = (p / p.sum(0) - truth) / n
+        g = np.zeros((classes, len(keep) + 1))
+        _sums(d * scale, by_feature, features_at, g)
+        g[:, :-1] += l2 / n * w
+        g[:, -1] = d.sum(1)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-        w, b = w - move[:-1], b - move[-1]
+        w, b = w - move[:, :-1], b - move[:, -1]
     full = np.zeros((1 << BITS, classes), np.float32)
-    full[keep] = w
+    full[keep] = w.T
     return full, b
 
 
@@ -74,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], label: Column
     sample = rows.mapInArrow(run, "f binary, domain string").toArrow()
     if not sample.num_rows:
         return np.zeros((1 << BITS, len(domains)), np.float32), np.zeros(len(domains))
-    sets = [np.frombuffer(x.as_py(), np.int32) for x in sample["f"]]
+    sets = [np.frombuffer(x.as_buffer(), np.int32) for x in sample["f"]]  # views, no copies
     return fit_softmax(sets, np.array([domains.index(x) for x in sample["domain"].to_pylist()]), len(domains))
 
 
