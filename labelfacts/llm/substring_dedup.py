@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import folder, small, written
+from .shared import delete, folder, small, written
 
 WINDOW, SPREAD, MIN_WORDS = 24, 24, 47
 BATCHES, FAN = 3, 4
@@ -92,14 +92,21 @@ class Log:
     """The fingerprint index: immutable runs (fp, doc, place), bucketed and sorted by fp, a fingerprint in one row of one run."""
 
     def __init__(self, spark: SparkSession, fan: int = FAN) -> None:
-        self.spark, self.fan, self.levels = spark, fan, [[]]
+        self.spark, self.fan, self.levels, self.made = spark, fan, [[]], []
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _table(self, df: DataFrame) -> DataFrame:
-        name = f"log_{uuid.uuid4().hex}"
-        df.write.partitionBy("kind").bucketBy(self.buckets, "fp").sortBy("fp").option("path", folder(self.spark)).format("parquet").saveAsTable(name)
+        name, path = f"log_{uuid.uuid4().hex}", folder(self.spark)
+        df.write.partitionBy("kind").bucketBy(self.buckets, "fp").sortBy("fp").option("path", path).format("parquet").saveAsTable(name)
+        self.made.append((name, path))
         return self.spark.table(name)
 
+    def drop(self) -> None:
+        """Remove all runs and results; what was found has to be written elsewhere before."""
+        for name, path in self.made:
+            self.spark.sql(f"DROP TABLE {name}")
+            delete(self.spark, path)
+
     def _push(self, run: DataFrame, level: int = 0) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
@@ -126,7 +133,7 @@ class Log:
 
 
 def matches(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, spread: int = SPREAD) -> DataFrame:
-    """(doc, place, doc0, place0) of the windows that repeat an earlier one, all batches put through the index one after the other."""
+    """The written stretches of the windows that repeat an earlier one, all batches put through the index one after the other. The index is dropped then."""
     spark, path = docs.sparkSession, folder(docs.sparkSession)
     windows(docs, batches, window, spread).write.partitionBy("batch").parquet(path)
     table = spark.read.schema("fp long, doc long, place int, batch int").parquet(path)
@@ -134,7 +141,10 @@ def matches(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, sprea
     for i in range(batches):
         hits = log.put(table.where(F.col("batch") == i).select("fp", "doc", "place"))
         found = hits if found is None else found.unionAll(hits)
-    return found
+    out = written(stretches(found, window))
+    log.drop()
+    delete(spark, path)
+    return out
 
 
 def stretches(hits: DataFrame, window: int) -> DataFrame:
@@ -145,7 +155,8 @@ def stretches(hits: DataFrame, window: int) -> DataFrame:
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
-    """For each wanted (doc, a, b): the hash of words a..b, and up to ``reach`` words on either side from the near to the far, by hash, with their outer characters."""
+    """For each wanted (doc, a, b): the hash of words a..b, and up to ``reach`` words on either side from the near to the far: 32 bits of each one's hash, and by how many
+    characters it moves the passage's edge. A chance equality there (1 in 4e9) would move an edge by a word; the passage itself is compared by 64 bits."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -178,30 +189,33 @@ def contexts(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
                 [
                     b.column(0).take(take), b.column(1).take(take), pa.array((x - head).astype(np.int32)), pa.array((y - head).astype(np.int32)), pa.array(body.view(np.int64)),
                     pa.array((chars[first[x]] - base).astype(np.int32)), pa.array((chars[last[y - 1]] - base).astype(np.int32)),
-                    put(word[l_at].view(np.int64), left), put((chars[first[l_at]] - np.repeat(base, left)).astype(np.int32), left),
-                    put(word[r_at].view(np.int64), right), put((chars[last[r_at]] - np.repeat(base, right)).astype(np.int32), right),
+                    put((word[l_at] >> U(32)).astype(np.uint32).view(np.int32), left), put((chars[first[l_at + 1]] - chars[first[l_at]]).astype(np.int32), left),
+                    put((word[r_at] >> U(32)).astype(np.uint32).view(np.int32), right), put((chars[last[r_at]] - chars[last[r_at - 1]]).astype(np.int32), right),
                 ],
                 names=["doc", "doc_id", "a", "b", "body", "start", "end", "lw", "ls", "rw", "re"],
             )
 
-    own = _documents(docs)
+    every = _documents(docs)
+    # only rows that stand there more than once are moved to make them one; the wanted places are distinct already
+    again = small(written(every.groupBy("doc").count().where("count > 1").select("doc")))
+    own = every.join(again, "doc", "left_anti").unionAll(every.join(again, "doc", "left_semi").dropDuplicates(["doc"]))
     lists = small(written(wanted.distinct().groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("w"))), 300_000).select("doc", "w.a", "w.b")
     kind = own.schema["doc_id"].dataType.simpleString()
-    cuts = own.join(lists, "doc").select("doc", "doc_id", "text", "a", "b").mapInArrow(run, f"doc long, doc_id {kind}, a int, b int, body long, start int, end int, lw array<long>, ls array<int>, rw array<long>, re array<int>")
-    return cuts.dropDuplicates(["doc", "a", "b"])
+    return own.join(lists, "doc").select("doc", "doc_id", "text", "a", "b").mapInArrow(run, f"doc long, doc_id {kind}, a int, b int, body long, start int, end int, lw array<int>, ls array<int>, rw array<int>, re array<int>")
 
 
 def spans(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, spread: int = SPREAD, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start, end, words, first_doc_id) of the repeated passages: text[start:end] in characters, and the document that its first part repeats."""
-    found = written(stretches(matches(docs, batches, window, spread), window))
+    found = matches(docs, batches, window, spread)
     wanted = found.select("doc", "a", "b").unionAll(found.select("doc0", "a0", "b0"))
     cut = written(contexts(docs, wanted, spread))
     first = cut.select(F.col("doc").alias("doc0"), F.col("a").alias("a0"), F.col("b").alias("b0"), F.col("body").alias("body0"), F.col("lw").alias("lw0"), F.col("rw").alias("rw0"), F.col("doc_id").alias("first_doc_id"))
     same = lambda x, y: F.coalesce(F.nullif(F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), False), F.lit(0)) - 1, F.size(x)).cast("int")
+    sum_of = lambda c, n: F.aggregate(F.slice(c, F.lit(1), F.col(n)), F.lit(0), lambda x, y: x + y)
     both = found.join(cut, ["doc", "a", "b"]).join(first, ["doc0", "a0", "b0"]).where("body = body0").withColumns({"l": same("lw", "lw0"), "r": same("rw", "rw0")})
     full = both.select(
         "doc", "doc_id", "first_doc_id", (F.col("a") - F.col("l")).alias("a"), (F.col("b") + F.col("r")).alias("b"),
-        F.when(F.col("l") > 0, F.element_at("ls", F.col("l"))).otherwise(F.col("start")).alias("start"), F.when(F.col("r") > 0, F.element_at("re", F.col("r"))).otherwise(F.col("end")).alias("end"),
+        (F.col("start") - sum_of("ls", "l")).alias("start"), (F.col("end") + sum_of("re", "r")).alias("end"),
     )
     by = Window.partitionBy("doc").orderBy("a", "b", "first_doc_id")
     islands = full.withColumn("new", F.coalesce(F.col("a") > F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")).withColumn("n", F.sum("new").over(by))
