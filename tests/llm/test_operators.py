@@ -146,6 +146,55 @@ def test_language(spark, empty):
     assert langid.identify(empty, langid.train(empty)).count() == 0
 
 
+def kneser_ney(texts: list, order: int = 5) -> dict:
+    """Contexts' (total, kinds) and n-grams' counts by order, for ASCII lower-case texts of one language."""
+    counts: dict = {}
+    for t in texts:
+        s = "\0" * (order - 1) + t
+        for i in range(len(t)):
+            counts[s[i : i + order]] = counts.get(s[i : i + order], 0) + 1
+    tables = {order: counts}
+    for k in range(order - 1, 0, -1):
+        tables[k] = {}
+        for g in tables[k + 1]:
+            tables[k][g[1:]] = tables[k].get(g[1:], 0) + 1
+    return tables
+
+
+def test_language_models_keep_all_grams_of_any_number_of_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SHARD", 400, raising=False)  # several files an order
+    rng = random.Random(8)
+    names = [f"l{i:02}" for i in range(18)]
+    made = [(" ".join(rng.choice("abcdefgh") + rng.choice("aeiou") * rng.randrange(1, 3) for _ in range(12)), names[i % 18]) for i in range(54)]
+    unseen = ["abe cai dough", "zz top"]
+    table = [(i, t, lang, "s", 0, "", "", 0, 0) for i, (t, lang) in enumerate([*made, *((t, None) for t in unseen)])]
+    d = spark.createDataFrame(table, DOCS)
+    tables = [kneser_ney([t for t, lang in made if lang == name]) for name in names]
+    vocabulary = len({g for t in tables for g in t[1]}) + 1
+    discount = {}
+    for k in range(1, 6):
+        ones, twos = (sum(n == x for t in tables for n in t[k].values()) for x in (1, 2))
+        discount[k] = min(max(ones / (ones + 2 * twos), 0.1), 0.95)
+    own = [{k: {} for k in range(1, 6)} for _ in names]
+    for t, o in zip(tables, own):
+        for k in t:
+            for g, n in t[k].items():
+                total, kinds = o[k].get(g[:-1], (0, 0))
+                o[k][g[:-1]] = total + n, kinds + 1
+
+    def p(i, g):
+        k = len(g)
+        less = 1 / vocabulary if k == 1 else p(i, g[1:])
+        total, kinds = own[i][k].get(g[:-1], (0, 0))
+        return (max(tables[i][k].get(g, 0) - discount[k], 0) + discount[k] * kinds * less) / total if total else less
+
+    got = {r.doc_id: r for r in langid.identify(d, langid.train(d)).collect()}
+    for i, text in enumerate([t for t, _ in made] + unseen):
+        s = "\0" * 4 + text
+        want = [-sum(np.log2(p(i, s[j : j + 5])) for j in range(len(text))) / len(text) for i in range(18)]
+        assert abs(got[i].bits - min(want)) < 1e-4 and abs(got[i].margin - (sorted(want)[1] - min(want))) < 1e-4
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(600, 32)).astype(np.float32)
