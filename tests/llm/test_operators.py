@@ -195,6 +195,20 @@ def test_language_models_keep_all_grams_of_any_number_of_languages(spark, monkey
         assert abs(got[i].bits - min(want)) < 1e-4 and abs(got[i].margin - (sorted(want)[1] - min(want))) < 1e-4
 
 
+def test_language_limits_are_held_out_and_each_languages_own(spark):
+    rng = random.Random(9)
+    few = [(sentence(rng, 40, lang), lang) for lang in ("en", "de") for _ in range(80)]
+    d = spark.createDataFrame([(i, t, lang if i % 2 else None, "s", 0, "", "", 0, 0) for i, (t, lang) in enumerate(few)], DOCS)
+    got = {r.doc_id: r for r in langid.identify(d, langid.train(d)).collect()}
+    assert sum(got[i].language != few[i][1] for i in range(0, 160, 2)) <= 8  # 40 texts a language; a limit from the training texts rejects over half
+    # a language of few texts, far harder to predict than the large one
+    hard = lambda: " ".join("".join(chr(rng.randrange(0x430, 0x450)) for _ in range(7)) for _ in range(30))
+    rare = [(i, sentence(rng, 40), "en", "s", 0, "", "", 0, 0) for i in range(400)] + [(1000 + i, hard(), "xx" if i < 40 else None, "s", 0, "", "", 0, 0) for i in range(60)]
+    r = spark.createDataFrame(rare, DOCS)
+    got = {x.doc_id: x for x in langid.identify(r, langid.train(r)).collect()}
+    assert sum(got[1000 + i].language != "xx" for i in range(40, 60)) <= 2
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(600, 32)).astype(np.float32)
