@@ -69,8 +69,13 @@ _SPELLED = re.compile(rf"\b(?:(?:double|triple)[ \t]+)?{_D}(?:(?:[ \t]*[-,.][ \t
 _SPELLED_WORD = re.compile(rf"(double|triple)?[ \t]*\b({_D}|\d)\b", re.I)
 _AT, _DOT = r"at|arroba|arobase", r"dot|punkt|point|punto"
 _BRACKETED = re.compile(rf"[ \t]*[\[({{<][ \t]*({_AT}|{_DOT}|@|\.)[ \t]*[\])}}>][ \t]*", re.I)
-_BARE = re.compile(rf"(?<![\w.])[\w.+-]{{1,64}}(?:[ \t]+(?:{_DOT})[ \t]+[\w+-]{{1,64}}){{0,3}}(?:[ \t]+(?:{_AT})[ \t]+|[ \t]*@[ \t]*)[\w-]{{1,63}}(?:(?:[ \t]+(?:{_DOT})[ \t]+|[ \t]*\.[ \t]*)[\w-]{{1,63}})*(?:[ \t]+(?:{_DOT}|\.)[ \t]+|\.)(?:com|org|net|edu|gov|io|info|biz|co|de|fr|es|uk|eu|example|test)\b", re.I)
-_BARE_HINT = re.compile(rf"[ \t](?:{_DOT})[ \t]+[a-z]{{2,7}}\b|@[ \t]|[ \t]@", re.I)
+_ENDINGS = "com|org|net|edu|gov|io|info|biz|co|de|fr|es|uk|eu|example|test"
+_HOST = rf"[\w-]{{1,63}}(?:(?:[ \t]+(?:{_DOT})[ \t]+|[ \t]*\.[ \t]*)[\w-]{{1,63}})*"
+#: Any ending after a dot that is disguised as well, but for hosts like "the"; a plain dot after a bare "at" takes a common one, after "@" any.
+_NO_HOST = r"(?!(?:the|a|an|this|that|each|every|one|der|die|das|dem|den|ein|einem|el|la|los|las|un|una|le|les|une)[ \t])"
+_BARE = re.compile(rf"(?<![\w.])[\w.+-]{{1,64}}(?:[ \t]+(?:{_DOT})[ \t]+[\w+-]{{1,64}}){{0,3}}(?:[ \t]+(?:{_AT})[ \t]+{_NO_HOST}{_HOST}(?:[ \t]+(?:{_DOT})[ \t]+[a-z]{{2,24}}|(?:[ \t]+\.[ \t]+|\.)(?:{_ENDINGS}))|[ \t]*@[ \t]*{_HOST}(?:[ \t]+(?:{_DOT})[ \t]+[a-z]{{2,24}}|\.[a-z]{{2,24}}|[ \t]+\.[ \t]+(?:{_ENDINGS})))\b", re.I)
+#: Part of whatever _BARE matches: without it there is none.
+_BARE_HINT = re.compile(rf"@|[ \t](?:{_AT})[ \t]+[\w-]{{1,63}}(?:[ \t]*\.|[ \t]+(?:{_DOT})[ \t])", re.I)
 _PART = re.compile(rf"[ \t]+({_AT})[ \t]+|[ \t]*(@)[ \t]*|[ \t]+({_DOT})[ \t]+|[ \t]*(\.)[ \t]*(?=[\w-])", re.I)
 
 EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"

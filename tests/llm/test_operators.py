@@ -278,6 +278,21 @@ def test_pii(text, kind, source):
     assert [(k, text[a:b]) for k, a, b, _ in pii.find(text)] == [(kind, source)]
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("write to anna at mail.com now", "anna@mail.com"),
+        ("escribe a ana arroba correo.es ya", "ana@correo.es"),
+        ("write to anna at mail dot nl now", "anna@mail.nl"),
+        ("write to anna at mail dot museum, please", "anna@mail.museum"),
+        ("write to anna @ mail.ch now", "anna@mail.ch"),
+    ],
+)
+@pytest.mark.parametrize("rest", ["", ". Later: a dot product"])
+def test_pii_bare_words_do_not_depend_on_other_text(text, value, rest):
+    assert [(k, v) for k, _, _, v in pii.find(text + rest)] == [("email", value)]
+
+
 def test_pii_tables(docs, empty, texts):
     assert pii.identifiers(empty).count() == 0 and pii.identifiers(docs).where("source is null").count() == 0
     assert pii.find("") == [] and pii.find("no numbers at the dot here") == []
