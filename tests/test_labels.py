@@ -279,3 +279,13 @@ def test_parity(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_large_edge_components_are_split_like_small_ones():
+    from labelfacts.operators import curves
+
+    for width in (300, 1400):
+        image = np.zeros((60, width))
+        image[25:36, 20 : width - 20] = 255
+        found = [p for p in curves.edge_curves(image) if np.ptp(p[:, 0]) > width / 2]
+        assert len(found) == 2 and all(p[:, 1].std() < 2 for p in found)
