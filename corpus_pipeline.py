@@ -1,12 +1,13 @@
 """The corpus pipeline: toxicity, exact and near duplicates, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet in the shared folder and read again as the next one's docs.
-Classifiers are fitted on the stage's own documents and the labels of sf_dir. The mixture only repeats documents (rates of at least 1):
-no clean document is lost. SQL can't express the classifiers, SimHash or BPE, so there is no ORACLE_SQL.
+Classifiers are fitted on the stage's own documents and the labels of sf_dir. The mixture's rates are at least the posterior
+of not being junk: clean documents are repeated, and only junk is dropped, until all domains have their targets. SQL can't express the classifiers, SimHash or BPE, so there is no ORACLE_SQL.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from labelfacts.llm import bpe, exact_dedup, mixing, shared, simhash, toxicity
@@ -29,7 +30,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, _labels(spark, sf_dir), floor=1.0, budget=1.1)
+    floor = np.array([0.0 if domain == "junk" else 1.0 for domain in mixing.WEIGHTS])
+    return mixing.mix(docs, _labels(spark, sf_dir), floor=floor, budget=None)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -150,8 +150,9 @@ def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFra
     return own.mapInArrow(run, T.StructType([own.schema["doc_id"], *T._parse_datatype_string("h long, tokens long, p array<double>").fields]))
 
 
-def replay(p: np.ndarray, moves: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """The rates after the steps whose gradients in the domains are ``moves`` and the momentum point after them."""
+def replay(p: np.ndarray, moves: np.ndarray, floor: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rates after the steps whose gradients in the domains are ``moves`` and the momentum point after them. A floor by domain holds by posterior."""
+    floor = p @ floor if np.ndim(floor) else floor
     x = y = np.ones(len(p))
     t = 1.0
     for g in moves:
@@ -161,8 +162,8 @@ def replay(p: np.ndarray, moves: np.ndarray, floor: float) -> tuple[np.ndarray,
     return x, y
 
 
-def fit_rates(table: DataFrame, weights: np.ndarray, floor: float = 0.0, budget: float = 1.0, steps: int = STEPS) -> np.ndarray:
-    """The moves that ``replay`` needs; ``table`` has tokens and p. total = budget * tokens of the table."""
+def fit_rates(table: DataFrame, weights: np.ndarray, floor: float | np.ndarray = 0.0, budget: float | None = 1.0, steps: int = STEPS) -> np.ndarray:
+    """The moves that ``replay`` needs; ``table`` has tokens and p. total = budget * tokens of the table; None: the least, 1 at least, that the floor lets all domains meet."""
     k = len(weights)
 
     def job(moves: np.ndarray, gram: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,6 +185,9 @@ def fit_rates(table: DataFrame, weights: np.ndarray, floor: float = 0.0, budget:
     gram, now, ahead = job(moves, True)
     if not now.sum():
         return moves
+    if budget is None:
+        need = now / now.sum() / np.maximum(weights / weights.sum(), 1e-12) * floor
+        budget = max(1.0, float(need.max()))
     target = budget * now.sum() * weights / weights.sum()
     scale = 1 / np.maximum(np.diag(gram), now.sum() * 1e-9)  # residual over the domain's size
     step = 1 / max(np.linalg.eigvalsh(np.sqrt(scale)[:, None] * gram * np.sqrt(scale)).max(), 1e-12)
@@ -198,7 +202,7 @@ def fit_rates(table: DataFrame, weights: np.ndarray, floor: float = 0.0, budget:
     return moves
 
 
-def plan(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, floor: float = 0.0, budget: float = 1.0) -> tuple[DataFrame, np.ndarray]:
+def plan(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, floor: float | np.ndarray = 0.0, budget: float | None = 1.0) -> tuple[DataFrame, np.ndarray]:
     """The written table of posteriors and the moves."""
     weights = WEIGHTS if weights is None else weights
     table = written(posteriors(docs, train(docs, labels, list(weights))))
@@ -217,7 +221,7 @@ def rates(table: DataFrame, moves: np.ndarray, names: list[str], floor: float =
     return table.mapInArrow(run, schema)
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, floor: float = 0.0, budget: float = 1.0) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, floor: float | np.ndarray = 0.0, budget: float | None = 1.0) -> DataFrame:
     """Every row of ``docs`` floor(rate) times, and once more with the probability of the rest, by a hash of doc_id and text."""
     weights = WEIGHTS if weights is None else weights
     model = train(docs, labels, list(weights))

@@ -244,6 +244,27 @@ def test_mixing_reaches_the_targets(spark, empty):
     assert mixing.mix(empty, y, weights).count() == 0
 
 
+def test_pipeline_mixing_reaches_the_targets(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    made = {"en": 40, "fr": 12, "de": 14, "es": 14, "junk": 20}
+    own = {x: [x[0] + "".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30)] for x in made}
+    table, labels, domain = [], [], {}
+    for x, n in made.items():
+        for _ in range(6 * n):
+            i = len(table)
+            t = " ".join(rng.choice(own[x]) for _ in range(40))
+            table.append((i, t, "en" if x == "junk" else x, "s", len(t), "", "", 0, 0))
+            labels.append((i, int(x != "junk"), 0))
+            domain[i] = x
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = [domain[r.doc_id] for r in corpus_pipeline.mix_sources(spark, spark.createDataFrame(table, DOCS), str(tmp_path)).select("doc_id").collect()]
+    for x, w in mixing.WEIGHTS.items():
+        assert abs(got.count(x) / len(got) - w) < 0.03, x
+    assert all(got.count(x) >= 6 * made[x] * 0.95 for x in made if x != "junk")
+
+
 def test_bpe_round_trip_and_offsets(spark, docs, empty):
     from tokenizers import Tokenizer
 
