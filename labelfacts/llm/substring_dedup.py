@@ -4,7 +4,8 @@ Words are what white space parts. Every window of WINDOW words has a rolling has
 of each SPREAD neighbouring hashes, so that two texts that share WINDOW + SPREAD - 1 words in a row keep a common one.
 The index is a log of immutable runs, sorted by hash: a batch of documents is merge-joined with every run and with itself,
 each of its windows that is in an earlier document (by batch, then by a hash of doc_id and text, then by place) is a match with the first such one,
-and the batch's own new hashes become a run; FAN runs of one level are merged into one of the next. Matches that follow each other at
+and the batch's own new hashes become a run. A window whose hash stands in different surroundings is put in once more, by all the runs of MIN_WORDS words around it,
+in an index of their own: else a first holder of the window alone would hide a longer passage that two later documents share. FAN runs of one level are merged into one of the next. Matches that follow each other at
 one shift are joined, verified and lengthened on the words of both documents, and spans of MIN_WORDS words at least are reported.
 
 Rows: a null, empty or short text has no window. Equal doc_ids with different texts are different documents; repeated rows (equal doc_id and
@@ -68,8 +69,8 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select(F.xxhash64("doc_id", text).alias("doc"), "doc_id", text.alias("text"))
 
 
-def windows(docs: DataFrame, batches: int, window: int, spread: int) -> DataFrame:
-    """(fp, doc, place, batch) of the chosen windows; place counts words."""
+def windows(docs: DataFrame, batches: int, window: int, spread: int, reach: int) -> DataFrame:
+    """(fp, around, doc, place, batch) of the chosen windows; place counts words, around is a hash of up to ``reach`` words on either side and the window."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -82,10 +83,45 @@ def windows(docs: DataFrame, batches: int, window: int, spread: int) -> DataFram
                     continue
                 k = winnow(h, row[begin], spread)
                 own = row[begin[k]]
-                place = begin[k] - np.searchsorted(row, own)
-                yield pa.RecordBatch.from_arrays([pa.array(h[k].view(np.int64)), pa.array(doc[start + own]), pa.array(place.astype(np.int32)), pa.array(batch[start + own].astype(np.int32))], names=["fp", "doc", "place", "batch"])
+                head = np.searchsorted(row, own)
+                place = begin[k] - head
+                sums = np.append(U(0), np.cumsum(word * tx._power("p", len(word))))
+                left, right = np.minimum(place, reach), np.minimum(np.searchsorted(row, own, "right") - begin[k] - window, reach)
+                x = begin[k] - left
+                around = tx.mix((sums[begin[k] + window + right] - sums[x]) * tx._power("i", len(word) + 1)[x] + (left * (reach + 1) + right).astype(U))
+                yield pa.RecordBatch.from_arrays([pa.array(h[k].view(np.int64)), pa.array(around.view(np.int64)), pa.array(doc[start + own]), pa.array(place.astype(np.int32)), pa.array(batch[start + own].astype(np.int32))], names=["fp", "around", "doc", "place", "batch"])
 
-    return _documents(docs).select("doc", "text").mapInArrow(run, "fp long, doc long, place int, batch int")
+    return _documents(docs).select("doc", "text").mapInArrow(run, "fp long, around long, doc long, place int, batch int")
+
+
+def wide(docs: DataFrame, table: DataFrame, batches: int, window: int, reach: int) -> DataFrame:
+    """(fp, doc, place, batch) of all runs of window + reach words around the windows whose fingerprint stands in different surroundings: there the
+    first holder may share no more than the window, while a later one shares a long passage; a whole run has the same first holder for all of it."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            doc = part.column(0).to_numpy()
+            batch = (doc.view(U) >> U(40)) % U(batches)
+            for start, data, at in tx.pieces(part.column(1)):
+                _, _, row, word = _words(data, at)
+                h, begin = tx.windows(word, row, window + reach)
+                if not len(h):
+                    continue
+                places = part.column(2).slice(start, len(at) - 1)
+                own = np.repeat(np.arange(len(at) - 1), pa.compute.list_value_length(places).to_numpy())
+                head = np.searchsorted(row, np.arange(len(at) - 1))
+                place = head[own] + places.flatten().to_numpy()
+                # the runs that hold a wanted window begin at most ``reach`` words before it
+                change = np.zeros(len(word) + 1, np.int64)
+                np.add.at(change, np.maximum(place - reach, head[own]), 1)
+                np.add.at(change, place + 1, -1)
+                k = np.flatnonzero(np.cumsum(change)[begin] > 0)
+                own = row[begin[k]]
+                yield pa.RecordBatch.from_arrays([pa.array(h[k].view(np.int64)), pa.array(doc[start + own]), pa.array((begin[k] - head[own]).astype(np.int32)), pa.array(batch[start + own].astype(np.int32))], names=["fp", "doc", "place", "batch"])
+
+    differ = table.groupBy("fp").agg(F.min("around").alias("x"), F.max("around").alias("y")).where("x <> y").select("fp")
+    lists = small(written(table.join(differ, "fp").select("doc", "place").distinct().groupBy("doc").agg(F.collect_list("place").alias("places"))), 300_000)
+    return _documents(docs).select("doc", "text").join(lists, "doc").select("doc", "text", "places").mapInArrow(run, "fp long, doc long, place int, batch int")
 
 
 class Log:
@@ -132,26 +168,35 @@ class Log:
         return table.where("kind = 1").select("doc", "place", "doc0", "place0")
 
 
-def matches(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, spread: int = SPREAD) -> DataFrame:
+def matches(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, spread: int = SPREAD, min_words: int = MIN_WORDS) -> DataFrame:
     """The written stretches of the windows that repeat an earlier one, all batches put through the index one after the other. The index is dropped then."""
-    spark, path = docs.sparkSession, folder(docs.sparkSession)
-    windows(docs, batches, window, spread).write.partitionBy("batch").parquet(path)
-    table = spark.read.schema("fp long, doc long, place int, batch int").parquet(path)
-    log, found = Log(spark), None
-    for i in range(batches):
-        hits = log.put(table.where(F.col("batch") == i).select("fp", "doc", "place"))
-        found = hits if found is None else found.unionAll(hits)
-    out = written(stretches(found, window))
+    spark, path, more = docs.sparkSession, folder(docs.sparkSession), folder(docs.sparkSession)
+    reach = max(min_words, window + spread - 1) - window
+    windows(docs, batches, window, spread, reach).write.partitionBy("batch").parquet(path)
+    table = spark.read.schema("fp long, around long, doc long, place int, batch int").parquet(path)
+    wide(docs, table, batches, window, reach).write.partitionBy("batch").parquet(more)
+    runs = spark.read.schema("fp long, doc long, place int, batch int").parquet(more)
+    found, made = None, []
+    for source, size in ((table, window), (runs, window + reach)):
+        log = Log(spark)
+        for i in range(batches):
+            hits = log.put(source.where(F.col("batch") == i).select("fp", "doc", "place")).withColumn("size", F.lit(size))
+            found = hits if found is None else found.unionAll(hits)
+        made += log.made
+    out = written(stretches(found))
+    log.made = made
     log.drop()
     delete(spark, path)
+    delete(spark, more)
     return out
 
 
-def stretches(hits: DataFrame, window: int) -> DataFrame:
-    """(doc, a, b, doc0, a0, b0): matches at one shift that overlap or touch, joined; word places, b excluded."""
-    by = Window.partitionBy("doc", "doc0", "shift").orderBy("place")
-    marked = hits.withColumn("shift", F.col("place") - F.col("place0")).withColumn("new", F.coalesce(F.col("place") - F.lag("place").over(by) > window, F.lit(True)).cast("int"))
-    return marked.withColumn("n", F.sum("new").over(by)).groupBy("doc", "doc0", "shift", "n").agg(F.min("place").alias("a"), (F.max("place") + window).alias("b")).select("doc", "a", "b", "doc0", (F.col("a") - F.col("shift")).alias("a0"), (F.col("b") - F.col("shift")).alias("b0"))
+def stretches(hits: DataFrame) -> DataFrame:
+    """(doc, a, b, doc0, a0, b0): matches of ``size`` words at one shift that overlap or touch, joined; word places, b excluded."""
+    by = Window.partitionBy("doc", "doc0", "shift").orderBy("place", "size")
+    end = F.max(F.col("place") + F.col("size")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    marked = hits.withColumn("shift", F.col("place") - F.col("place0")).withColumn("new", F.coalesce(F.col("place") > end, F.lit(True)).cast("int"))
+    return marked.withColumn("n", F.sum("new").over(by)).groupBy("doc", "doc0", "shift", "n").agg(F.min("place").alias("a"), F.max(F.col("place") + F.col("size")).alias("b")).select("doc", "a", "b", "doc0", (F.col("a") - F.col("shift")).alias("a0"), (F.col("b") - F.col("shift")).alias("b0"))
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
@@ -206,7 +251,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
 
 def spans(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, spread: int = SPREAD, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start, end, words, first_doc_id) of the repeated passages: text[start:end] in characters, and the document that its first part repeats."""
-    found = matches(docs, batches, window, spread)
+    found = matches(docs, batches, window, spread, min_words)
     wanted = found.select("doc", "a", "b").unionAll(found.select("doc0", "a0", "b0"))
     cut = written(contexts(docs, wanted, spread))
     first = cut.select(F.col("doc").alias("doc0"), F.col("a").alias("a0"), F.col("b").alias("b0"), F.col("body").alias("body0"), F.col("lw").alias("lw0"), F.col("rw").alias("rw0"), F.col("doc_id").alias("first_doc_id"))

@@ -119,6 +119,18 @@ def test_substrings(spark, empty):
     assert substring_dedup.spans(empty).count() == 0
 
 
+def test_substrings_around_a_phrase_that_stands_elsewhere_too(spark):
+    rng = random.Random(10)
+    words = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
+    t = []
+    for _ in range(40):
+        phrase, left, right = words(40), words(8), words(7)
+        t += [f"{words(60)} {phrase} {words(60)}"] + [f"{words(60)} {left} {phrase} {right} {words(60)}" for _ in range(2)]
+    d = spark.createDataFrame(rows(t), DOCS)
+    got = substring_dedup.spans(d).collect()
+    assert sorted({r.doc_id // 3 for r in got}) == list(range(40)) and all(r.words == 55 and r.doc_id % 3 for r in got)
+
+
 def test_toxicity_separates_held_out(spark, empty):
     rng = random.Random(4)
     made = [(i, sentence(rng, 40) + (" vile scum" * 2 if i % 4 == 0 else "")) for i in range(400)]
