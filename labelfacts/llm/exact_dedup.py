@@ -1,11 +1,12 @@
 """Operator 6: exact deduplication by progressive refinement.
 
-Documents are grouped by byte length; those that share it, by a hash of their first bytes too; only those that share both
-have their full content hashed (SHA-256). The two first steps aggregate numbers with map-side combine, so no text moves.
+Documents are grouped by byte length; those that share it, by a hash of their first PREFIX characters too; only those that share both
+have their full content hashed (SHA-256). The two first steps aggregate numbers with map-side combine, and only hashes and ids are
+grouped: no text moves.
 
 Rows: the text decides, byte for byte. Of equal texts the row with the least doc_id stays (a null doc_id counts as greatest;
 among equal doc_ids the least of the other orderable columns); repeated rows collapse to one. Empty texts are equal to each other.
-A null text equals nothing and stays. Further columns are carried along under their own names.
+A null text equals nothing and stays. Further columns are carried along as they are, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -13,48 +14,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small, written
+from .shared import every, keep_first, small, unused, written
 
 PREFIX = 128
 
 
-def _keys(text: Column | str = "text") -> list[Column]:
-    return [F.octet_length(text).alias("_n6"), F.xxhash64(F.substring(text, 1, PREFIX)).alias("_p6")]
+def _keys(text: Column) -> tuple[Column, Column]:
+    return F.octet_length(text), F.xxhash64(F.substring(text, 1, PREFIX))
 
 
 def suspects(docs: DataFrame) -> DataFrame:
-    """(_n6, _p6): lengths and prefix hashes that more than one row has."""
-    keys = docs.where("text is not null").select(*_keys())
-    lengths = keys.groupBy("_n6").count().where("count > 1").select("_n6")
-    twice = keys.join(lengths, "_n6", "left_semi").groupBy("_n6", "_p6").count().where("count > 1").select("_n6", "_p6")
-    return small(written(twice))
+    """(n, p): lengths and prefix hashes that more than one row has."""
+    length, prefix = _keys(F.col("text"))
+    keys = docs.where("text is not null").select(length.alias("n"), prefix.alias("p"))
+    lengths = keys.groupBy("n").count().where("count > 1").select("n")
+    return small(written(keys.join(lengths, "n", "left_semi").groupBy("n", "p").count().where("count > 1").select("n", "p")))
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, group_id, keep) of every row: group_id is the least doc_id with the same text."""
-    own = docs.select("doc_id", "text", *_keys())
-    keys = suspects(docs).withColumn("_s6", F.lit(True))
-    marked = own.join(keys, ["_n6", "_p6"], "left").select("doc_id", F.when(F.col("_s6"), F.sha2("text", 256)).alias("_h6"))
-    alone = marked.where("_h6 is null").select("doc_id", F.col("doc_id").alias("group_id"))
+    length, prefix = _keys(F.col("text"))
+    own = docs.select("doc_id", "text", length.alias("n"), prefix.alias("p"))
+    marked = own.join(suspects(docs).withColumn("s", F.lit(True)), ["n", "p"], "left").select("doc_id", F.when(F.col("s"), F.sha2("text", 256)).alias("h"))
+    alone = marked.where("h is null").select("doc_id", F.col("doc_id").alias("group_id"))
     # the groups' least ids by a combined aggregate, so that a text with thousands of copies is no large window
-    least = marked.where("_h6 is not null").groupBy("_h6").agg(F.min("doc_id").alias("group_id"))
-    grouped = marked.where("_h6 is not null").join(least, "_h6").select("doc_id", "group_id")
+    least = marked.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("group_id"))
+    grouped = marked.where("h is not null").join(least, "h").select("doc_id", "group_id")
     return alone.unionAll(grouped).withColumn("keep", F.expr("doc_id <=> group_id"))
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """One row of each distinct text, all columns as they are."""
-    keys = suspects(docs).withColumn("_s6", F.lit(True))
-    marked = docs.withColumns({"_n6": F.octet_length("text"), "_p6": F.xxhash64(F.substring("text", 1, PREFIX))}).join(keys, ["_n6", "_p6"], "left")
-    return marked.where("_s6 is null").select(docs.columns).unionAll(first_of(marked.where("_s6"), [F.sha2("text", 256)], docs.columns))
-
-
-def first_of(rows: DataFrame, by: list[Column], columns: list[str]) -> DataFrame:
-    """Of each group the row with the least doc_id, then the least other orderable columns. Combined before the shuffle."""
-    kinds = dict(rows.dtypes)
-    order = [F.col("doc_id").isNull(), "doc_id", *(c for c in columns if c not in ("doc_id", "text") and "map<" not in kinds[c] and "variant" not in kinds[c])]
-    picked = rows.groupBy(*(c.alias(f"_k{i}") for i, c in enumerate(by))).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_row"))
-    return picked.select("_row.*")
+    n, p, n2, p2, s, h = unused(docs, "n", "p", "n2", "p2", "s", "h")
+    length, prefix = _keys(F.col("text"))
+    keys = suspects(docs).select(F.col("n").alias(n2), F.col("p").alias(p2), F.lit(True).alias(s))
+    marked = docs.select(*every(docs), length.alias(n), prefix.alias(p)).join(keys, (F.col(n) == F.col(n2)) & (F.col(p) == F.col(p2)), "left")
+    marked = marked.select(*every(docs), F.when(F.col(s), F.unhex(F.sha2(F.col("text").cast("string"), 256))).alias(h))
+    return keep_first(marked, h, docs.columns)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

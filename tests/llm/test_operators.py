@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelfacts.llm import ann, bpe, exact_dedup, langid, line_dedup, mixing, pii, simhash, substring_dedup, toxicity
+from labelfacts.llm import ann, bpe, exact_dedup, langid, line_dedup, mixing, pii, shared, simhash, substring_dedup, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h string, keep string, words int, _h3 int"
 WORDS = {"en": "the river carries boats past green hills while people talk about weather and trade".split(), "de": "der fluss trägt boote vorbei an grünen hügeln während leute über wetter und handel sprechen".split()}
@@ -56,33 +56,62 @@ def test_exact_groups_equal_brute_force(docs, empty):
     assert exact_dedup.exact_groups(empty).count() == exact_dedup.drop_exact_copies(empty).count() == 0
 
 
-def test_simhash_equals_all_pairs(spark, docs, empty):
-    fps = simhash.fingerprints(docs).collect()
+def all_pairs(fps: list, radius: int) -> tuple[list, list]:
+    """Root and number of links of each fingerprint."""
     codes = [(np.uint64(r.hi & (2**64 - 1)), np.uint64(r.lo & (2**64 - 1))) for r in fps]
-    root = list(range(len(fps)))
+    root, links = list(range(len(fps))), [0] * len(fps)
 
     def find(i):
         return i if root[i] == i else find(root[i])
 
     for i, j in itertools.combinations(range(len(fps)), 2):
-        if np.bitwise_count(codes[i][0] ^ codes[j][0]) + np.bitwise_count(codes[i][1] ^ codes[j][1]) <= simhash.RADIUS:
+        if np.bitwise_count(codes[i][0] ^ codes[j][0]) + np.bitwise_count(codes[i][1] ^ codes[j][1]) <= radius:
             root[find(j)] = find(i)
-    own = {r.h: find(i) for i, r in enumerate(fps)}
+            links[i] += 1
+            links[j] += 1
+    return [find(i) for i in range(len(fps))], links
+
+
+def test_simhash_equals_all_pairs(spark, docs, empty):
+    fps = simhash.fingerprints(docs).collect()
+    roots, links = all_pairs(fps, simhash.RADIUS)
+    own = {(r.h, r.g): (root, n) for r, root, n in zip(fps, roots, links)}
     groups: dict = {}
-    for r in docs.select("doc_id", F.xxhash64("text").alias("x"), "text").collect():
-        key = own.get(r.x) if r.text is not None else None
+    want_links = {}
+    for r in docs.select("doc_id", *(k.alias(n) for k, n in zip(shared.text_keys(F.col("text")), "hg")), "text").collect():
+        key, n = own.get((r.h, r.g), (None, 0)) if r.text is not None else (None, 0)
         groups.setdefault(("alone", r.doc_id) if key is None else key, []).append(r.doc_id)
+        want_links[r.doc_id] = n
     want = {}
     for k, ids in groups.items():
         for i in ids:
             want[i] = min((x for x in ids if x is not None), default=None)
-    got = {r.doc_id: r.group_id for r in simhash.near_groups(docs).collect()}
-    assert got == want and got[12] == got[13] == got[14] == 0
+    rows_ = simhash.near_groups(docs).collect()
+    got = {r.doc_id: r.group_id for r in rows_}
+    assert got == want and got[12] == got[13] == got[14] == 0 and {r.doc_id: r.links for r in rows_} == want_links
     kept = simhash.drop_near_copies(docs)
     assert kept.columns == docs.columns and {0, 15, 16, 17, 18} <= {r.doc_id for r in kept.collect()} and 14 not in {r.doc_id for r in kept.collect()}
     assert simhash.near_groups(empty).count() == 0
 
 
+@pytest.mark.parametrize(("cell", "fill"), [(simhash.CELL, simhash.FILL), (40, 10)])
+def test_simhash_links_of_a_hot_group_are_all_counted_once(spark, cell, fill):
+    rng = np.random.default_rng(12)
+    base = rng.integers(-(2**63), 2**63 - 1, size=(40, 2))
+    turned = lambda: int(sum(1 << int(b) for b in rng.choice(60, 4, replace=False)))
+    hot = base[0] ^ np.array([[turned(), turned()] for _ in range(150)])
+    codes = np.unique(np.concatenate([base, hot]), axis=0)
+    prints = shared.written(spark.createDataFrame([(i, int(h), int(lo), 1 + i % 3) for i, (h, lo) in enumerate(codes)], "id long, hi long, lo long, texts long"))
+    near = np.bitwise_count(codes[:, None] ^ codes).sum(2) <= simhash.RADIUS
+    np.fill_diagonal(near, False)
+    want = {i: int(n) for i, n in enumerate(near @ (1 + np.arange(len(codes)) % 3)) if n}
+    edges = shared.written(simhash.links(prints, cell=cell, fill=fill))
+    assert {r.a: r.n for r in edges.groupBy("a").agg(F.sum("n").alias("n")).collect()} == want
+    roots, _ = all_pairs([type("R", (), {"hi": int(h), "lo": int(lo)}) for h, lo in codes], simhash.RADIUS)
+    got = {r.node: r.root for r in shared.components(edges.select("a", "b")).collect()}
+    assert all((got.get(i, i) == got.get(j, j)) == (roots[i] == roots[j]) for i, j in itertools.combinations(range(len(codes)), 2))
+
+
 def test_line_groups_equal_brute_force(spark, empty):
     rng = random.Random(2)
     base = [sentence(rng, 12) for _ in range(6)]
