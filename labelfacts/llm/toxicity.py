@@ -1,17 +1,20 @@
 """Operator 1: toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over hashed words and byte grams is trained with numpy from documents confirmed as toxic (P) and
-documents taken as unlabelled (U). The risk is pi * R_P(+) + max(0, R_U(-) - pi * R_P(-)) (Kiryo et al. 2017): the part of
+A linear classifier over hashed words and byte grams is trained with numpy from documents confirmed as toxic (P) and all
+documents, taken as unlabelled (U). The risk is pi * R_P(+) + max(0, R_U(-) - pi * R_P(-)) (Kiryo et al. 2017): the part of
 the unlabelled risk that toxic documents in U explain is taken off, and where it turns negative its gradient is reversed.
+U is never sampled: in how many documents a bucket stands is counted over all of them, what is left of each (its buckets that may get a weight)
+is written once, and every step sums the gradient over that table.
 
-Rows: a null or empty text has no features; it is scored by the bias, and never counts as toxic. Repeated rows are scored
-alike and all kept. Labels that are null, or of no document, are ignored. Without a confirmed toxic document no document is
-toxic. Any further columns are kept by ``drop_toxic`` whatever their names; only ``doc_id`` and ``text`` are read.
+Rows: a null or empty text has no features; it is scored by the bias, and never counts as toxic. Repeated rows count as often as they stand there,
+are scored alike and all kept; ties can't arise. Labels that are null, or of no document, are ignored; of several labels of one document the
+greatest counts. Without a confirmed toxic document no document is toxic. An empty table gives an empty one. Any further
+columns are kept by ``drop_toxic`` whatever their names; only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,10 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .shared import written
 
 BITS = 18
-#: Bounds of the samples that the classifier is fitted on: confirmed toxic documents, and unlabelled ones.
-MAX_POSITIVE, MAX_UNLABELLED = 4000, 8000
+#: Bound of the sample of labelled rows: confirmed toxic documents that the classifier is fitted on.
+MAX_POSITIVE = 4000
+STEPS, RATE, L2 = 50, 0.12, 1e-5
+#: A bucket gets a weight if its share in P is above that in U by this factor and by this many standard errors.
+LIFT, Z = 1.6, 3.5
 
 
 @dataclass(frozen=True)
@@ -33,6 +40,9 @@ class Model:
     prior: float
 
 
+Side = tuple[np.ndarray, np.ndarray, int]
+
+
 def _sets(docs: DataFrame) -> list[np.ndarray]:
     """Distinct feature buckets of each document, on the driver: the sample is bounded."""
 
@@ -44,72 +54,122 @@ def _sets(docs: DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), np.int32) for x in table.column(0)]
 
 
-def _first(docs: DataFrame, n: int, seed: int) -> DataFrame:
-    """n documents in the order of a hash of doc_id: the same whatever the partitions."""
-    return docs.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
+def bucket_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many documents each bucket stands, and the number of documents; over all of them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros(1 << BITS, np.int64), 0
+        for b in batches:
+            rows += b.num_rows
+            for _, data, at in tx.pieces(b.column(0)):
+                total += np.bincount(tx.sets(data, at, BITS)[0], minlength=1 << BITS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], rows))], names=["bucket", "n"])
 
-def fit_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 200, rate: float = 0.03, l2: float = 1e-5, z: float = 3.5, lift: float = 1.6) -> Model:
-    """Full-batch Adam on the non-negative risk with sigmoid loss. Only buckets whose share in P is above that in U
-    by the factor ``lift`` and by z standard errors get a weight: none gets a negative one, so the rest of a long text
-    can't outvote what is toxic in it."""
-    size = 1 << BITS
-    if not positive or not unlabelled:
-        return Model(np.zeros((size, 1), np.float32), -1.0, prior)
-    np_, nu = len(positive), len(unlabelled)
-    cp, cu = (np.bincount(np.concatenate(x), minlength=size).astype(float) for x in (positive, unlabelled))
+    got = docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((1 << BITS) + 1, np.int64)
+    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    return out[:-1], int(out[-1])
+
+
+def chosen(cp: np.ndarray, np_: int, cu: np.ndarray, nu: int, z: float = Z, lift: float = LIFT) -> np.ndarray:
+    """Buckets that may get a weight. None gets a negative one, so the rest of a long text can't outvote what is toxic in it."""
     pooled = (cp + cu + 1) / (np_ + nu + 2)
     score = (cp / np_ - cu / nu) / np.sqrt(pooled * (1 - pooled) * (1 / np_ + 1 / nu))
     ratio = np.log((cp / np_ + 1e-6) / (cu / nu + 1e-6))
-    keep = np.flatnonzero((score > z) & (ratio > np.log(lift)) & (cp + cu >= 3))
-    index = np.full(size, -1)
-    index[keep] = np.arange(len(keep))
+    return np.flatnonzero((score > z) & (ratio > np.log(lift)) & (cp >= 3))
 
-    def matrix(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-        at = np.concatenate([index[s] for s in sets])
-        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        return at[at >= 0], row[at >= 0], len(sets)
 
-    sides = [matrix(positive), matrix(unlabelled)]
-    w, b = np.zeros(len(keep)), 0.0
-    m, v = np.zeros(len(keep) + 1), np.zeros(len(keep) + 1)
+def side_gradient(side: Side, w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
+    """Sums over a side's documents, of the sigmoid loss of calling each not toxic, and of its gradient in the weights and the bias. (at, row, n): a document of each entry's place."""
+    at, row, n = side
+    loss = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[at], n) + b, -30, 30)))
+    slope = loss * (1 - loss)
+    return float(loss.sum()), np.append(np.bincount(at, slope[row], len(w)), slope.sum())
+
+
+def fit_pu(positive: Side, size: int, nu: int, unlabelled: Callable[[np.ndarray, float], tuple[float, np.ndarray]], prior: float, steps: int = STEPS, rate: float = RATE, l2: float = L2) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on the non-negative risk with sigmoid loss: ``size`` weights and the bias. ``unlabelled`` sums loss and gradient over U."""
+    np_ = positive[2]
+    w, b = np.zeros(size), 0.0
+    m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
-        s = [np.bincount(row, w[at], n) + b for at, row, n in sides]
-        minus = [1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in s]  # sigmoid loss of calling it not toxic
-        slope = [x * (1 - x) for x in minus]
-        negative = minus[1].mean() - prior * minus[0].mean()
-        gp = -prior * slope[0] / np_
-        if negative >= 0:
-            gp = gp - prior * slope[0] / np_
-            gu = slope[1] / nu
-        else:  # step back from the overfitted part alone
-            gp = prior * slope[0] / np_
-            gu = -slope[1] / nu
-        g = np.zeros(len(keep) + 1)
-        for (at, row, _), d in zip(sides, (gp, gu)):
-            g[:-1] += np.bincount(at, d[row], len(keep))
-            g[-1] += d.sum()
+        lp, gp = side_gradient(positive, w, b)
+        lu, gu = unlabelled(w, b)
+        away = gu / nu - prior * gp / np_  # of R_U(-) - pi * R_P(-)
+        # R_P(+) is 1 - R_P(-); a negative part steps back from the overfitted part alone
+        g = away - prior * gp / np_ if lu / nu - prior * lp / np_ >= 0 else -away
         g[:-1] += l2 * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = np.maximum(w - move[:-1], 0), b - move[-1]
-    weights = np.zeros((size, 1), np.float32)
-    weights[keep, 0] = w
-    return Model(weights, float(b), prior)
+    return w, float(b)
+
+
+def _side(sets: list[np.ndarray], index: np.ndarray) -> Side:
+    at = index[np.concatenate([np.zeros(0, np.int32), *sets])]
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    return at[at >= 0], row[at >= 0], len(sets)
+
 
+def remains(docs: DataFrame, index: np.ndarray) -> DataFrame:
+    """(n, at, size): runs of documents, by the weights' numbers in each and how many there are; written."""
+    shared = docs.sparkSession.sparkContext.broadcast(index.astype(np.int32))
 
-def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, seed: int = 7) -> Model:
-    """P: documents whose label says toxic; U: documents regardless of any label. The prior, if not given, is the toxic share of all labels."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, data, at in tx.pieces(b.column(0), 1 << 22):
+                bucket, row = tx.features(data, at, BITS)
+                own = shared.value[bucket]
+                key = tx.distinct((row[own >= 0].astype(np.int64) << BITS) | own[own >= 0])
+                size = np.bincount(key >> BITS, minlength=len(at) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array([len(at) - 1]), pa.array([(key & ((1 << BITS) - 1)).astype(np.int32).tobytes()]), pa.array([size.astype(np.int32).tobytes()])], names=["n", "at", "size"])
+
+    return written(docs.select(F.col("text").cast("string")).mapInArrow(run, "n long, at binary, size binary"))
+
+
+def _summed(table: DataFrame) -> Callable[[np.ndarray, float], tuple[float, np.ndarray]]:
+    """Loss and gradient over the written table, a job a call."""
+
+    def of(w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, g = 0.0, np.zeros(len(w) + 1)
+            for batch in batches:
+                for n, at, size in zip(*(c.to_pylist() for c in batch.columns)):
+                    more, slope = side_gradient((np.frombuffer(at, np.int32), np.repeat(np.arange(n), np.frombuffer(size, np.int32)), n), w, b)
+                    loss, g = loss + more, g + slope
+            yield pa.RecordBatch.from_arrays([pa.array([np.append(loss, g).tobytes()])], names=["g"])
+
+        got = sum(np.frombuffer(x, np.float64) for x in table.mapInArrow(run, "g binary").toArrow()["g"].to_pylist())
+        return (0.0, np.zeros(len(w) + 1)) if isinstance(got, int) else (got[0], got[1:])
+
+    return of
+
+
+def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_positive: int = MAX_POSITIVE, seed: int = 7) -> Model:
+    """P: documents whose label says toxic, up to ``max_positive`` of them in the order of a hash; U: all documents, whatever their
+    label. The prior, if not given, is the toxic share of all labels."""
     marked = labels.where("doc_id is not null and toxic is not null").select("doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if prior is None:
         share = marked.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
         prior = min(max(share or 0.01, 0.001), 0.9)
-    own = docs.select(F.col("doc_id"), F.col("text"))
-    ids = _first(marked.where("toxic = 1").select("doc_id"), max_positive, seed)
+    own = docs.select("doc_id", "text")
+    ids = marked.where("toxic = 1").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_positive)
     positive = _sets(own.join(F.broadcast(ids), "doc_id"))
-    some = _first(own.select("doc_id").where("doc_id is not null").distinct(), max_unlabelled, seed + 1)
-    unlabelled = _sets(own.join(F.broadcast(some), "doc_id"))
-    return fit_pu(positive, unlabelled, prior)
+    none = Model(np.zeros((1 << BITS, 1), np.float32), -1.0, prior)
+    if not positive:
+        return none
+    cu, nu = bucket_counts(own)
+    cp = np.bincount(np.concatenate(positive), minlength=1 << BITS).astype(float)
+    keep = chosen(cp, len(positive), cu.astype(float), nu)
+    if not len(keep):
+        return none
+    index = np.full(1 << BITS, -1)
+    index[keep] = np.arange(len(keep))
+    w, bias = fit_pu(_side(positive, index), len(keep), nu, _summed(remains(own, index)), prior)
+    weights = np.zeros((1 << BITS, 1), np.float32)
+    weights[keep, 0] = w
+    return Model(weights, bias, prior)
 
 
 def _scorer(docs: DataFrame, model: Model):
@@ -129,7 +189,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = margin(b.column(1))
-            full = np.array([bool(n) for n in pa.compute.binary_length(b.column(1).cast(pa.large_string()).fill_null("")).to_numpy()])
+            full = pa.compute.binary_length(b.column(1).cast(pa.large_string()).fill_null("")).to_numpy() > 0
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s > threshold) & full)], names=["doc_id", "toxicity", "toxic"])
 
     own = docs.select("doc_id", F.col("text").cast("string"))
