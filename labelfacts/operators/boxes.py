@@ -5,6 +5,7 @@ Every join and window has image_id as its key, so one shuffle by image serves a
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -127,19 +128,16 @@ def merge_vitamins(boxes: DataFrame) -> DataFrame:
 
 
 def merge_vocabulary(boxes: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Neighbouring words whose texts joined are a word of the vocabulary become one, from left to right, again and again as merges allow."""
-    known = set(vocabulary)
+    """Neighbouring words that make a word of the vocabulary when written without a blank become one item, with the blank; from left to right, each word once.
 
-    def merge(t: pd.DataFrame) -> pd.DataFrame:
-        rows: list[dict] = []
-        for r in t.sort_values("seq").to_dict("records"):
-            rows.append(r)
-            while len(rows) > 1 and rows[-2]["text"] + rows[-1]["text"] in known:
-                last = rows.pop()
-                rows[-1] |= {"text": rows[-1]["text"] + last["text"], "width": rows[-1]["width"] + last["width"]}
-        return pd.DataFrame(rows, columns=t.columns).assign(seq=range(len(rows)))
-
-    return boxes.groupBy("image_id").applyInPandas(merge, boxes.schema)
+    In a run of overlapping pairs every second one is merged: gaps and islands, no loop."""
+    pair = F.concat("text", F.lead("text").over(_order())).isin(vocabulary)
+    marked = boxes.withColumn("_f", F.coalesce(pair, F.lit(False))).withColumns({"_t": F.lead("text").over(_order()), "_w": F.lead("width").over(_order())})
+    since = F.max(F.when(~F.col("_f"), F.col("seq"))).over(_order().rowsBetween(Window.unboundedPreceding, -1))
+    takes = F.col("_f") & ((F.col("seq") - F.coalesce(F.col("_s"), F.lit(-1))) % 2 == 1)
+    t = marked.withColumn("_s", since).withColumn("_m", takes).withColumn("_gone", F.coalesce(F.lag("_m").over(_order()), F.lit(False)))
+    put = {"text": F.when(F.col("_m"), F.concat_ws(" ", "text", "_t")).otherwise(F.col("text")), "width": F.col("width") + F.when(F.col("_m"), F.col("_w")).otherwise(0)}
+    return renumber(t.withColumns(put).where("not _gone").select(boxes.columns))
 
 
 def greedy_lines(boxes: DataFrame, fudge: int = LINE_FUDGE, small: int = SMALL_HEIGHT) -> DataFrame:
@@ -148,19 +146,13 @@ def greedy_lines(boxes: DataFrame, fudge: int = LINE_FUDGE, small: int = SMALL_H
     def number(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("seq").reset_index(drop=True)
         top, height = t["top"].to_numpy(), t["height"].to_numpy()
-        line, n = [-1] * len(t), 0
-        for i in range(len(t)):
-            if line[i] >= 0:
-                continue
-            h = [height[i] if x <= small else x for x in height]
-            centre = top[i] + height[i] / 2
-            line[i] = n
-            for j in range(len(t)):
-                if top[j] - fudge < centre < top[j] + h[j] + fudge:
-                    line[j] = n
-            n += 1
+        line, n = np.full(len(t), -1), 0
+        for i in range(len(t)):  # a step for each line, all its words at once
+            if line[i] < 0:
+                line[i] = n
+                centre = top[i] + height[i] / 2
+                line[(top - fudge < centre) & (centre < top + np.where(height <= small, height[i], height) + fudge)] = n
+                n += 1
         return t.assign(line=line)
 
     return boxes.groupBy("image_id").applyInPandas(number, StructType([*boxes.schema.fields, StructField("line", IntegerType())]))
-
-

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
-from ..vocabulary import AMOUNT_ONLY, FOREIGN, FRENCH, NEW_FORMAT, NEW_FORMAT_DISTANCE, TERMS, UNITS
-from .boxes import merge_vitamins, on_line, overlapping
+from ..storage import small, written
+from ..vocabulary import AMOUNT_ONLY, FOREIGN, FRENCH, NEW_FORMAT, NEW_FORMAT_DISTANCE, SHORT, TERMS, UNITS
+from .boxes import on_line, overlapping
 from .fuzzy import phrase_hits
 
 
@@ -46,16 +47,38 @@ def choose_hits(hits: DataFrame) -> DataFrame:
     return marked.where("_r is not null").withColumn("_b", F.min("_r").over(by)).where("_r = _b").select(hits.columns)
 
 
+def _same(word: Column, term: str, most: int = 1) -> Column:
+    """Whether a word is at most so many edits from a term; a vitamin's letter, the last one, has to be equal."""
+    near = ft.within(word, F.lit(term), most)
+    return near & (F.right(word, F.lit(1)) == term[-1]) if "vitamin" in term else near
+
+
+def _names(nutrient: str) -> list[str]:
+    """A nutrient's English name, its French one, and a short form, in the order they are looked for."""
+    return list(dict.fromkeys([nutrient, FRENCH.get(nutrient, nutrient), *SHORT.get(nutrient, [])]))
+
+
 def nutrient_hits(boxes: DataFrame, terms: list[str] = TERMS, most: int = 1) -> DataFrame:
-    """(image_id, nutrient, seq) of each term, by its English name or else, in images without that, by the French one."""
-    other = {FRENCH[t]: t for t in terms if FRENCH[t] != t}
-    # one pass for both: a union of two would be windowed by an output partitioning that adaptive execution may have coalesced apart
-    found = phrase_hits(boxes, [*terms, *other], most)
-    if not other:
-        return found.select("image_id", F.col("term").alias("nutrient"), "seq")
-    names = F.create_map(*(F.lit(x) for p in other.items() for x in p))
-    both = found.select("image_id", F.coalesce(names[F.col("term")], F.col("term")).alias("nutrient"), "seq", F.col("term").isin(list(other)).cast("int").alias("_f"))
-    return both.withColumn("_m", F.min("_f").over(Window.partitionBy("image_id", "nutrient"))).where("_f = _m").select("image_id", "nutrient", "seq")
+    """(image_id, nutrient, seq) of each term in boxes of merged vitamins: by its English name, in images without that by the French one, or else by its short form.
+
+    Each distinct word is compared with the terms once; the few that match are joined back."""
+    tests = [F.when(_same(F.col("word"), name, most), F.struct(F.lit(t).alias("nutrient"), F.lit(level).alias("level"))) for t in terms for level, name in enumerate(_names(t))]
+    words = written(boxes.select(F.lower("text").alias("word")).distinct())
+    known = written(words.select("word", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("x")).select("word", "x.*"))
+    found = boxes.select("image_id", "seq", F.lower("text").alias("word")).join(small(known), "word")
+    best = F.min("level").over(Window.partitionBy("image_id", "nutrient"))
+    return found.withColumn("_m", best).where("level = _m").select("image_id", "nutrient", "seq")
+
+
+def term_at(terms: list[str] = TERMS, items: str = "items", nutrient: str = "nutrient") -> Column:
+    """Position of the right-most word of a line that is the row's nutrient, in English or French, or else its short form; null where there is none."""
+    last = lambda name: F.array_max(F.transform(items, lambda w, i: F.when(_same(w, name), i)))
+    out = F.lit(None).cast("int")
+    for t in terms:
+        french = FRENCH.get(t, t)
+        at = F.coalesce(last(t) if french == t else F.greatest(last(t), last(french)), *(last(name) for name in SHORT.get(t, [])))
+        out = F.when(F.col(nutrient) == t, at).otherwise(out)
+    return out
 
 
 def line_items(boxes: DataFrame, hits: DataFrame) -> DataFrame:
@@ -161,13 +184,12 @@ def missing(found: DataFrame) -> DataFrame:
     return found.where(lack | ((F.col("nutrient") != "calories") & (F.col("unit").isNull() | (F.col("unit") == "conflict"))))
 
 
-def foreign_labels(boxes: DataFrame, least: int = 3) -> DataFrame:
-    """(image_id, terms): labels on which at least three of the other format's terms share a line with another one."""
-    merged = merge_vitamins(boxes)
-    tests = F.array(*(F.when(ft.within(F.lower("text"), F.lit(t), 1), F.lit(t)) for t in FOREIGN))  # a merged vitamin is one word
-    hits = merged.select("image_id", "seq", F.explode(F.filter(tests, lambda t: t.isNotNull())).alias("term")).join(merged.select("image_id", "seq", "top", "height"), ["image_id", "seq"])
-    pairs = hits.alias("i").join(hits.alias("j"), (F.col("i.image_id") == F.col("j.image_id")) & (F.col("i.seq") != F.col("j.seq")) & on_line())
-    return pairs.groupBy(F.col("i.image_id").alias("image_id")).agg(F.count_distinct("i.term").alias("terms")).where(F.col("terms") >= least)
+def foreign_labels(merged: DataFrame, least: int = 3) -> DataFrame:
+    """(image_id, terms): labels on which the first places of at least three of the other format's terms share a line with another one. Words have to be equal."""
+    hits = merged.where(F.col("text").isin(FOREIGN)).select("image_id", "seq", "top", "height", "text")
+    first = hits.withColumn("_f", F.min("seq").over(Window.partitionBy("image_id", "text"))).where("seq = _f")
+    pairs = first.alias("i").join(hits.alias("j"), (F.col("i.image_id") == F.col("j.image_id")) & (F.col("i.text") != F.col("j.text")) & on_line())
+    return pairs.groupBy(F.col("i.image_id").alias("image_id")).agg(F.count_distinct("i.text").alias("terms")).where(F.col("terms") >= least)
 
 
 def serving_hits(boxes: DataFrame) -> DataFrame:

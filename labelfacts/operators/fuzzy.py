@@ -19,6 +19,9 @@ INLINE_TERMS = 200
 def phrase_hits(boxes: DataFrame, terms: list[str], most: int = 1) -> DataFrame:
     """(image_id, seq, term, found) where the run of words from seq on is at most ``most`` edits from the term; a run has as many words as the term."""
     sizes = sorted({t.count(" ") + 1 for t in terms})
+    some = may_hold(boxes, terms, most)
+    if some is not None:
+        boxes = boxes.join(some, "image_id", "left_semi")
     runs = boxes.select("image_id", "seq", *(F.lower(ngram(n)).alias(f"n{n}") for n in sizes))
     tests = [F.when(ft.within(f"n{t.count(' ') + 1}", F.lit(t), most), F.struct(F.lit(t).alias("term"), F.col(f"n{t.count(' ') + 1}").alias("found"))) for t in terms]
     if len(terms) > INLINE_TERMS:
@@ -29,6 +32,22 @@ def phrase_hits(boxes: DataFrame, terms: list[str], most: int = 1) -> DataFrame:
     return hits.select("image_id", "seq", "h.term", "h.found")
 
 
+def may_hold(boxes: DataFrame, terms: list[str], most: int) -> DataFrame | None:
+    """(image_id) of the images that have as many of some term's words as a hit leaves whole: an edit spoils two words at most. None if a term asks for none."""
+    words = sorted({w for t in terms for w in t.split()})
+    masks, least = {w: 1 << i for i, w in enumerate(words)}, []
+    for t in terms:
+        n = [t.split().count(w) for w in set(t.split())]
+        least.append(-(-(sum(n) - 2 * most) // max(n)))
+    if len(words) > 62 or min(least) < 1:
+        return None
+    bit = F.create_map(*(F.lit(x) for p in masks.items() for x in p))[F.lower("text")]
+    has = F.lit(False)
+    for t, n in zip(terms, least):
+        has = has | (F.bit_count(F.col("m").bitwiseAND(F.lit(sum(masks[w] for w in set(t.split()))))) >= n)
+    return boxes.groupBy("image_id").agg(F.bit_or(F.coalesce(bit, F.lit(0)).cast("long")).alias("m")).where(has).select("image_id")
+
+
 def edge_hits(boxes: DataFrame, terms: list[str]) -> DataFrame:
     """(image_id, seq, term) where a word starts or ends with the term."""
     tests = F.array(*(F.when(ft.starts_or_ends(F.lower("text"), F.lit(t)), F.lit(t)) for t in terms))

@@ -13,17 +13,22 @@ from ..operators import ingredients as ig
 from ..operators import upc
 from ..operators.fuzzy import phrase_hits
 from ..storage import written
-from ..vocabulary import ABSENT, TERMS
+from ..vocabulary import ABSENT, TERMS, WHOLE
 
 
-def values(clean: DataFrame, terms: list[str]) -> DataFrame:
-    """(image_id, nutrient, quantity, unit, dv) of every chosen hit, and of servings. ``clean`` should be a written table: it is read several times."""
-    hits = fc.nutrient_hits(clean, terms).join(fc.with_neighbours(clean).select("image_id", "seq", F.col("top").alias("line"), "before", "after", "last"), ["image_id", "seq"])
-    chosen = fc.choose_hits(hits.select("image_id", "nutrient", "seq", "line", "before", "after", "last")).select("image_id", "nutrient", "seq")
-    size = F.col("nutrient").substr(1, 7) == "vitamin"
+def merged(clean: DataFrame) -> DataFrame:
+    """Clean boxes with vitamins and parted words as one item each: what nutrients are looked for in."""
+    return bx.merge_vocabulary(bx.merge_vitamins(clean), WHOLE)
+
+
+def values(boxes: DataFrame, terms: list[str], hits: DataFrame | None = None) -> DataFrame:
+    """(image_id, nutrient, quantity, unit, dv) of every chosen hit, and of servings. ``boxes`` are merged ones, a written table: it is read several times."""
+    hits = fc.nutrient_hits(boxes, terms) if hits is None else hits
+    near = hits.join(fc.with_neighbours(boxes).select("image_id", "seq", F.col("top").alias("line"), "before", "after", "last"), ["image_id", "seq"])
+    chosen = fc.choose_hits(near.select("image_id", "nutrient", "seq", "line", "before", "after", "last")).select("image_id", "nutrient", "seq")
     # written: joins on a union of partitioned children aren't safe under adaptive execution
-    found = fc.line_items(clean, written(chosen.unionByName(fc.serving_hits(clean))))
-    at = F.when(F.col("nutrient") == "portion_size", fc.serving_at(F.col("items"))).when(size, 1).otherwise(0)
+    found = fc.line_items(boxes, written(chosen.unionByName(fc.serving_hits(boxes))))
+    at = F.when(F.col("nutrient") == "portion_size", fc.serving_at(F.col("items"))).otherwise(fc.term_at(terms))
     return fc.extract(found.withColumn("at", at).where("at is not null")).select("image_id", "nutrient", "quantity", "unit", "dv")
 
 
@@ -32,14 +37,15 @@ def nutrition_facts(boxes: DataFrame, second: DataFrame | None = None, drop: tup
 
     second: word boxes of another recognition, used for images with any empty cell."""
     terms = [t for t in TERMS if t not in drop]
-    clean = written(bx.clean_up(boxes))
-    clean = written(clean.join(fc.foreign_labels(clean).select("image_id"), "image_id", "left_anti"))
-    found = written(fc.complete(fc.facts(values(clean, terms)), terms))
+    every = written(bx.merge_vitamins(bx.clean_up(boxes)))
+    own = written(bx.merge_vocabulary(every.join(fc.foreign_labels(every).select("image_id"), "image_id", "left_anti"), WHOLE))
+    hits = written(fc.nutrient_hits(own, terms))
+    found = written(fc.complete(fc.facts(values(own, terms, hits)), terms))
     if second is not None:
         wanted = fc.missing(found).select("image_id").distinct()
-        found = fc.merge(found, fc.facts(values(written(bx.clean_up(second.join(wanted, "image_id", "left_semi"))), TERMS)))
-    marked = written(fc.mark_absent(found, fc.nutrient_hits(clean, terms), phrase_hits(clean, [ABSENT]).select("image_id", "seq")))
-    return fc.mark_by_format(marked, fc.new_format(clean, marked))
+        found = fc.merge(found, fc.facts(values(written(merged(bx.clean_up(second.join(wanted, "image_id", "left_semi")))), TERMS)))
+    marked = written(fc.mark_absent(found, hits, phrase_hits(own, [ABSENT]).select("image_id", "seq")))
+    return fc.mark_by_format(marked, fc.new_format(own, marked))
 
 
 def ingredients(responses: DataFrame, dictionary: DataFrame, words: list[str], english: list[str], french: list[str], stop: list[str]) -> DataFrame:

@@ -22,7 +22,7 @@ from ..operators import lines as ln
 from ..operators import upc
 from ..sources import readers as rd
 from ..storage import written
-from ..vocabulary import AMOUNT_ONLY, DISCARD, FOOTERS, FOREIGN, FRENCH, NEW_FORMAT, NEW_FORMAT_DISTANCE, TERMS
+from ..vocabulary import AMOUNT_ONLY, DISCARD, FOOTERS, FOREIGN, FRENCH, NEW_FORMAT, NEW_FORMAT_DISTANCE, SHORT, TERMS, WHOLE
 from . import labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,29 @@ _SINGLE = "CASE WHEN min({0}) = max({0}) THEN min({0}) END"
 _ITEM = "items[CAST(p0 + {0} + 1 AS INT)]"
 _AFTER = "items[CAST(p0 + s + {0} + 1 AS INT)]"
 
+_SAME = "(levenshtein({0}, {1}) <= 1 AND (NOT contains({1}, 'vitamin') OR right({0}, 1) = right({1}, 1)))"
+
+
+def _vitamins(source: str, p: str) -> dict[str, str]:
+    """CTEs that merge a vitamin and its letter, the last of them <p>vm."""
+    return {
+        f"{p}fo_v": f"SELECT *, {_VITAMIN.format('text')} AS v, lead(text) OVER w AS t1, lead(text, 2) OVER w AS t2, lead(width) OVER w AS w1, lead(width, 2) OVER w AS w2 FROM {source} WINDOW w AS (PARTITION BY image_id ORDER BY seq)",
+        f"{p}fo_t": f"SELECT *, coalesce(CASE WHEN v AND length(t1) <= 2 AND t1 <> '/' AND NOT {_VITAMIN.format('t1')} THEN CASE WHEN t1 = 'b' AND regexp_matches(t2, '^[0-9]+$') THEN 2 ELSE 1 END ELSE 0 END, 0) AS take FROM {p}fo_v",
+        f"{p}vm": f"""SELECT image_id, {_RENUMBER.format('seq')}, CASE take WHEN 2 THEN concat_ws(' ', text, t1, t2) WHEN 1 THEN concat_ws(' ', text, t1) ELSE text END AS text, "left", top,
+            CAST(width + CASE WHEN take >= 1 THEN w1 ELSE 0 END + CASE WHEN take = 2 THEN w2 ELSE 0 END AS INT) AS width, height
+            FROM (SELECT *, coalesce(lag(take) OVER w, 0) >= 1 OR coalesce(lag(take, 2) OVER w, 0) >= 2 AS gone FROM {p}fo_t WINDOW w AS (PARTITION BY image_id ORDER BY seq)) WHERE NOT gone""",
+    }
+
+
+def _foreign(source: str, p: str) -> dict[str, str]:
+    """CTEs of labels of the other format, the last of them <p>foreign_."""
+    return {
+        f"{p}fh": f"SELECT image_id, seq, top, height, text AS term FROM {source} WHERE text IN ({_list(FOREIGN)})",
+        f"{p}foreign_": f"""SELECT i.image_id, count(DISTINCT i.term) AS terms FROM (SELECT * FROM {p}fh QUALIFY seq = min(seq) OVER (PARTITION BY image_id, term)) i JOIN {p}fh j ON i.image_id = j.image_id AND i.term <> j.term AND {_ON_LINE}
+            GROUP BY i.image_id HAVING count(DISTINCT i.term) >= 3""",
+    }
+
+
 CTE = {
     "docl": "SELECT doc_id, unnest(range(len(a))) AS line_no, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)",
     "docw": f"SELECT doc_id AS image_id, line_no, unnest(range(len(a))) AS word_no, unnest(a) AS text FROM (SELECT doc_id, line_no, {_WORDS.format('line')} AS a FROM docl)",
@@ -101,12 +124,17 @@ CTE = {
     "c8": "SELECT *, CAST(floor(length(t) / length(text) * width) AS INT) AS share FROM c7",
     "c9": f"SELECT image_id, {_RENUMBER.format('seq, i')}, t AS text, CAST(\"left\" + coalesce(sum(share) OVER (PARTITION BY image_id, seq ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS \"left\", top, share AS width, height FROM c8",
     "cw": f"SELECT * REPLACE ({_RENUMBER.format('seq').removesuffix(' AS seq')} AS seq) FROM c9 WHERE text NOT IN ('', ' ')",
-    "terms": "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{FRENCH[t]}')" for t in TERMS) + ") v(term, fr)",
+    "terms": "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{FRENCH[t]}', {repr(SHORT[t][0]) if t in SHORT else 'NULL'})" for t in TERMS) + ") v(term, fr, short)",
+    "names": "SELECT term, term AS name, 0 AS f FROM terms UNION ALL SELECT term, fr, 1 FROM terms WHERE fr <> term UNION ALL SELECT term, short, 2 FROM terms WHERE short IS NOT NULL",
     "gram": f"SELECT image_id, seq, lower(text) AS n1, lower({_GRAM.format(1)}) AS n2 FROM cw",
-    "hit": """SELECT image_id, seq, term AS nutrient, 0 AS f FROM gram, terms WHERE levenshtein(CASE WHEN contains(term, ' ') THEN n2 ELSE n1 END, term) <= 1
-        UNION ALL SELECT image_id, seq, term, 1 FROM gram, terms WHERE fr <> term AND levenshtein(CASE WHEN contains(fr, ' ') THEN n2 ELSE n1 END, fr) <= 1""",
+    **_vitamins("cw", ""),
+    "ms": f"SELECT *, coalesce(text || lead(text) OVER w IN ({_list(WHOLE)}), false) AS f, lead(text) OVER w AS t1, lead(width) OVER w AS w1 FROM vm WINDOW w AS (PARTITION BY image_id ORDER BY seq)",
+    "mt": "SELECT *, f AND (seq - coalesce(max(CASE WHEN NOT f THEN seq END) OVER (PARTITION BY image_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)) % 2 = 1 AS m FROM ms",
+    "mw": f"""SELECT image_id, {_RENUMBER.format('seq')}, CASE WHEN m THEN text || ' ' || t1 ELSE text END AS text, "left", top, CAST(width + CASE WHEN m THEN w1 ELSE 0 END AS INT) AS width, height
+        FROM (SELECT *, coalesce(lag(m) OVER w, false) AS gone FROM mt WINDOW w AS (PARTITION BY image_id ORDER BY seq)) WHERE NOT gone""",
+    "hit": f"SELECT image_id, seq, term AS nutrient, f FROM (SELECT image_id, seq, lower(text) AS w FROM mw), names WHERE {_SAME.format('w', 'name')}",
     "hits": "SELECT image_id, nutrient, seq FROM hit QUALIFY f = min(f) OVER (PARTITION BY image_id, nutrient)",
-    "nb": "SELECT *, lag(text) OVER w AS before, lag(text, 2) OVER w AS two, lead(text) OVER w AS after FROM cw WINDOW w AS (PARTITION BY image_id ORDER BY seq)",
+    "nb": "SELECT *, lag(text) OVER w AS before, lag(text, 2) OVER w AS two, lead(text) OVER w AS after FROM mw WINDOW w AS (PARTITION BY image_id ORDER BY seq)",
     "hn": "SELECT h.image_id, nutrient, h.seq, top AS line, before, after, after IS NULL AS last FROM hits h JOIN nb USING (image_id, seq)",
     "hm": "SELECT *, count(*) OVER n > 1 AND min(line) OVER n <> max(line) OVER n AS many, min(seq) OVER n AS first, max(CAST(last AS INT)) OVER n = 1 AS ends FROM hn WINDOW n AS (PARTITION BY image_id, nutrient)",
     "hk": """SELECT *, CASE WHEN nutrient IN ('fat', 'sugars', 'carbohydrate') AND coalesce(before = 'total', false) THEN 0
@@ -118,11 +146,12 @@ CTE = {
     "serving": """SELECT image_id, 'portion_size' AS nutrient, seq FROM nb WHERE
         (regexp_matches(text, '^(per|pour|par)|(per|pour|par)$') AND text <> 'copper' AND coalesce(before <> 'amount', true))
         OR ((levenshtein(text, 'serving') <= 1 OR levenshtein(text, 'portion') <= 1) AND coalesce(before <> 'per', true) AND coalesce(two <> 'amount', true))""",
-    "seed": "SELECT c.*, top, height, \"left\" FROM (SELECT * FROM chosen UNION ALL SELECT * FROM serving) c JOIN cw USING (image_id, seq)",
-    "li": f"""SELECT i.image_id, i.nutrient, i.seq, list(j.text ORDER BY j."left" - i."left", j.seq) AS items FROM seed i JOIN cw j
+    "seed": "SELECT c.*, top, height, \"left\" FROM (SELECT * FROM chosen UNION ALL SELECT * FROM serving) c JOIN mw USING (image_id, seq)",
+    "li": f"""SELECT i.image_id, i.nutrient, i.seq, list(j.text ORDER BY j."left" - i."left", j.seq) AS items FROM seed i JOIN mw j
         ON i.image_id = j.image_id AND j."left" >= i."left" AND CASE WHEN i.nutrient IN ('saturated', 'trans') THEN {_OVERLAP} ELSE {_ON_LINE} END GROUP BY i.image_id, i.nutrient, i.seq""",
-    "la": """SELECT *, CASE WHEN nutrient = 'portion_size' THEN list_min(list_transform(list_filter(range(1, len(items) + 1), lambda i: i >= 2 AND regexp_matches(items[i], '^[0-9]+') AND coalesce(items[i + 1] IN ('g', 'ml'), false)), lambda i: i - 2))
-        WHEN starts_with(nutrient, 'vitamin') THEN 1 ELSE 0 END AS p0 FROM li""",
+    "la": f"""SELECT *, CASE WHEN nutrient = 'portion_size' THEN list_min(list_transform(list_filter(range(1, len(items) + 1), lambda i: i >= 2 AND regexp_matches(items[i], '^[0-9]+') AND coalesce(items[i + 1] IN ('g', 'ml'), false)), lambda i: i - 2))
+        ELSE coalesce(greatest({', '.join(f"list_max(list_filter(range(0, len(items)), lambda i: {_SAME.format('items[i + 1]', n)}))" for n in ('term', 'fr'))}), list_max(list_filter(range(0, len(items)), lambda i: short IS NOT NULL AND {_SAME.format('items[i + 1]', 'short')}))) END AS p0
+        FROM li LEFT JOIN terms ON nutrient = term""",
     "ls": f"SELECT *, CASE WHEN {_NUMBER.format(_ITEM.format(1))} IS NOT NULL THEN 1 WHEN {_NUMBER.format(_ITEM.format(2))} IS NOT NULL THEN 2 END AS s FROM la WHERE p0 IS NOT NULL",
     "lv": f"""SELECT image_id, nutrient, seq, {_NUMBER.format(_AFTER.format(0))} AS value, CASE WHEN {_AFTER.format(1)} IN ('g', 'mg', 'ml', 'ug') THEN {_AFTER.format(1)} END AS unit, s, {_AFTER.format(1)} AS w1, {_AFTER.format(2)} AS w2,
         nutrient IN ({_list(AMOUNT_ONLY)}) AS only_amount FROM ls""",
@@ -131,19 +160,17 @@ CTE = {
         FROM (SELECT *, NOT only_amount AND unit IS NULL AND coalesce(w1 = '%', false) AS share FROM lv)""",
     "fx": f"""SELECT image_id, nutrient, {_SINGLE.format('quantity')} AS quantity, {_STATUS.format('quantity')} AS quantity_status, CASE WHEN {_STATUS.format('unit')} = 'conflict' THEN 'conflict' ELSE {_SINGLE.format('unit')} END AS unit,
         {_SINGLE.format('dv')} AS dv, CASE WHEN nutrient IN ({_list(AMOUNT_ONLY)}) THEN 'blank' ELSE {_STATUS.format('dv')} END AS dv_status FROM vals GROUP BY image_id, nutrient""",
-    "fo_v": f"SELECT *, {_VITAMIN.format('text')} AS v, lead(text) OVER w AS t1, lead(text, 2) OVER w AS t2, lead(width) OVER w AS w1, lead(width, 2) OVER w AS w2 FROM cw WINDOW w AS (PARTITION BY image_id ORDER BY seq)",
-    "fo_t": f"SELECT *, coalesce(CASE WHEN v AND length(t1) <= 2 AND t1 <> '/' AND NOT {_VITAMIN.format('t1')} THEN CASE WHEN t1 = 'b' AND regexp_matches(t2, '^[0-9]+$') THEN 2 ELSE 1 END ELSE 0 END, 0) AS take FROM fo_v",
-    "vm": f"""SELECT image_id, {_RENUMBER.format('seq')}, CASE take WHEN 2 THEN concat_ws(' ', text, t1, t2) WHEN 1 THEN concat_ws(' ', text, t1) ELSE text END AS text, "left", top,
-        CAST(width + CASE WHEN take >= 1 THEN w1 ELSE 0 END + CASE WHEN take = 2 THEN w2 ELSE 0 END AS INT) AS width, height
-        FROM (SELECT *, coalesce(lag(take) OVER w, 0) >= 1 OR coalesce(lag(take, 2) OVER w, 0) >= 2 AS gone FROM fo_t WINDOW w AS (PARTITION BY image_id ORDER BY seq)) WHERE NOT gone""",
-    "fh": "SELECT image_id, seq, top, height, term FROM vm, (SELECT unnest([" + _list(FOREIGN) + "]) AS term) WHERE levenshtein(lower(text), term) <= 1",
-    "foreign_": f"SELECT i.image_id, count(DISTINCT i.term) AS terms FROM fh i JOIN fh j ON i.image_id = j.image_id AND i.seq <> j.seq AND {_ON_LINE} GROUP BY i.image_id HAVING count(DISTINCT i.term) >= 3",
+    **_foreign("vm", ""),
+    "pl": f"SELECT image_id, line_no, ([{_list(FOREIGN)}])[(image_id + line_no) % {len(FOREIGN)} + 1] || ' 2 % ' || ([{_list(FOREIGN)}])[(image_id + 3 * line_no) % {len(FOREIGN)} + 1] || ' 4 %' AS text FROM ll",
+    "pw": f"SELECT image_id, line_no, unnest(range(len(a))) AS word_no, unnest(a) AS text FROM (SELECT image_id, line_no, {_WORDS.format('text')} AS a FROM pl)",
+    "pb": f"SELECT image_id, {_RENUMBER.format('line_no, word_no')}, text, {_LEFT.format('image_id')}, CAST(40 * line_no AS INT) AS top, CAST(10 * length(text) AS INT) AS width, 20 AS height FROM pw",
+    **_vitamins("pb", "p"), **_foreign("pvm", "p"),
     "every": f"SELECT image_id, term AS nutrient FROM (SELECT DISTINCT image_id FROM fx WHERE nutrient <> '{DROPPED}' AND image_id NOT IN (SELECT image_id FROM foreign_)), terms WHERE term <> '{DROPPED}'",
     "done": f"SELECT e.image_id, e.nutrient, quantity, quantity_status, unit, dv, dv_status FROM every e LEFT JOIN fx USING (image_id, nutrient) UNION ALL SELECT image_id, nutrient, quantity, quantity_status, unit, dv, dv_status FROM fx WHERE nutrient = 'portion_size' AND image_id NOT IN (SELECT image_id FROM foreign_)",
     "gone": "SELECT d.*, quantity_status IS NULL AND unit IS NULL AND (dv_status IS NULL OR dv_status = 'blank') AND first IS NULL AS gone FROM done d LEFT JOIN (SELECT image_id, nutrient, min(seq) AS first FROM hits GROUP BY 1, 2) USING (image_id, nutrient)",
     "absent": f"""SELECT image_id, nutrient, quantity, CASE WHEN gone THEN 'absent' ELSE quantity_status END AS quantity_status, CASE WHEN gone THEN 'absent' ELSE unit END AS unit, dv,
         CASE WHEN gone AND nutrient NOT IN ({_list(AMOUNT_ONLY)}) THEN 'absent' ELSE dv_status END AS dv_status FROM gone""",
-    "long": f"SELECT image_id, {_GRAM.format(13)} AS n14, {_GRAM.format(11)} AS n12 FROM cw",
+    "long": f"SELECT image_id, {_GRAM.format(13)} AS n14, {_GRAM.format(11)} AS n12 FROM mw",
     "fresh": "SELECT image_id FROM absent WHERE nutrient IN ('potassium', 'iron', 'calcium') AND unit = 'mg' UNION SELECT image_id FROM long WHERE " + " OR ".join(f"levenshtein({_GRAM_N}, '{p}') <= {NEW_FORMAT_DISTANCE}" for p in NEW_FORMAT for _GRAM_N in [f"n{p.count(' ') + 1}"]),
     "facts_": f"""SELECT image_id, nutrient, CASE WHEN no_amount THEN NULL ELSE quantity END AS quantity, CASE WHEN no_amount THEN 'absent' ELSE quantity_status END AS quantity_status, CASE WHEN no_amount THEN 'absent' ELSE unit END AS unit,
         CASE WHEN no_dv THEN NULL ELSE dv END AS dv, CASE WHEN no_dv THEN 'absent' ELSE dv_status END AS dv_status
@@ -172,13 +199,17 @@ def _needed(names: tuple[str, ...]) -> list[str]:
 
 
 def _labels(s: SparkSession, d: str) -> DataFrame:
-    return rd.label_boxes(_table(s, d, "lineitem"))
+    return rd.label_boxes(rd.label_lines(_table(s, d, "lineitem")))
 
 
 def _clean(s: SparkSession, d: str) -> DataFrame:
     return written(bx.clean_up(_labels(s, d)))
 
 
+def _merged(s: SparkSession, d: str) -> DataFrame:
+    return written(labels.merged(bx.clean_up(_labels(s, d))))
+
+
 def _hits(clean: DataFrame) -> DataFrame:
     near = fc.with_neighbours(clean).select("image_id", "seq", F.col("top").alias("line"), "before", "after", "last")
     return fc.nutrient_hits(clean).join(near, ["image_id", "seq"])
@@ -264,27 +295,37 @@ def start_end_hits(s, d):
     return fz.edge_hits(_pages(s, d), EDGES)
 
 
-@query("SELECT image_id, nutrient AS term, min(seq) AS seq FROM hit WHERE f = 0 GROUP BY image_id, nutrient HAVING count(*) = 1", after=("hit",))
+@query("SELECT image_id, term, min(seq) AS seq FROM gram, terms WHERE levenshtein(CASE WHEN contains(term, ' ') THEN n2 ELSE n1 END, term) <= 1 GROUP BY image_id, term HAVING count(*) = 1", after=("gram", "terms"))
 def unique_hits(s, d):
     return fz.unique_hits(fz.phrase_hits(_clean(s, d), TERMS))
 
 
-@query(f"SELECT i.image_id, i.seq AS i, j.seq AS j, j.\"left\" - i.\"left\" AS dist FROM lb i JOIN lb j ON i.image_id = j.image_id AND {_ON_LINE}", after=("lb",))
+def _listed(condition: str) -> str:
+    return f"""SELECT i.image_id, i.seq AS i, string_agg(j.seq || ':' || (j."left" - i."left"), ' ' ORDER BY j."left" - i."left", j.seq) AS pairs FROM lb i JOIN lb j ON i.image_id = j.image_id AND {condition} GROUP BY i.image_id, i.seq"""
+
+
+def _by_seed(pairs: DataFrame) -> DataFrame:
+    """One row a seed, with its pairs as "seq:distance" by distance: the join is whole, its result a row a word."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("dist", "j"))), lambda p: F.concat_ws(":", p["j"].cast("string"), p["dist"].cast("string")))
+    return pairs.groupBy("image_id", "i").agg(F.array_join(listed, " ").alias("pairs"))
+
+
+@query(_listed(_ON_LINE), after=("lb",))
 def same_line_pairs(s, d):
     b = _labels(s, d)
-    return bx.same_line(b, b)
+    return _by_seed(bx.same_line(b, b))
 
 
-@query(f"SELECT i.image_id, i.seq AS i, j.seq AS j, j.\"left\" - i.\"left\" AS dist FROM lb i JOIN lb j ON i.image_id = j.image_id AND {_OVERLAP}", after=("lb",))
+@query(_listed(_OVERLAP), after=("lb",))
 def interval_overlap_pairs(s, d):
     b = _labels(s, d)
-    return bx.same_line(b, b, bx.overlapping())
+    return _by_seed(bx.same_line(b, b, bx.overlapping()))
 
 
-@query(f"SELECT i.image_id, i.seq AS i, j.seq AS j, j.\"left\" - i.\"left\" AS dist FROM lb i JOIN lb j ON i.image_id = j.image_id AND {_ON_LINE} AND j.\"left\" >= i.\"left\"", after=("lb",))
+@query(_listed(_ON_LINE + ' AND j."left" >= i."left"'), after=("lb",))
 def right_of_word(s, d):
     b = _labels(s, d)
-    return bx.right_of(bx.same_line(b, b))
+    return _by_seed(bx.right_of(bx.same_line(b, b)))
 
 
 @query("SELECT image_id, CAST(trunc(min(\"left\" + width / 2)) AS INT) AS x0, CAST(trunc(min(top + height / 2)) AS INT) AS y0, CAST(trunc(max(\"left\" + width / 2)) AS INT) AS x1, CAST(trunc(max(top + height / 2)) AS INT) AS y1 FROM docb GROUP BY image_id", after=("docb",))
@@ -299,12 +340,12 @@ def trimmed_boxes(s, d):
 
 @query("SELECT * FROM chosen", after=("chosen",))
 def neighbour_rules(s, d):
-    return fc.choose_hits(_hits(_clean(s, d))).select("image_id", "nutrient", "seq")
+    return fc.choose_hits(_hits(_merged(s, d))).select("image_id", "nutrient", "seq")
 
 
 @query("SELECT * FROM hits", after=("hits",))
 def translated_hits(s, d):
-    return fc.nutrient_hits(_clean(s, d))
+    return fc.nutrient_hits(_merged(s, d))
 
 
 @query("SELECT * FROM vm", after=("vm",))
@@ -314,19 +355,19 @@ def vitamin_merge(s, d):
 
 @query("SELECT image_id, seq, CAST(p0 AS INT) AS \"at\" FROM la WHERE nutrient = 'portion_size' AND p0 IS NOT NULL", after=("la",))
 def serving_size(s, d):
-    clean = _clean(s, d)
+    clean = _merged(s, d)
     found = fc.line_items(clean, fc.serving_hits(clean)).withColumn("at", fc.serving_at(F.col("items")).cast("int"))
     return found.where("at is not null").select("image_id", "seq", "at")
 
 
 @query("SELECT * FROM vals", after=("vals",))
 def value_unit_dv(s, d):
-    return labels.values(_clean(s, d), TERMS)
+    return labels.values(_merged(s, d), TERMS)
 
 
 @query("SELECT * FROM fx", after=("fx",))
 def conflict_aggregate(s, d):
-    return fc.facts(labels.values(_clean(s, d), TERMS))
+    return fc.facts(labels.values(_merged(s, d), TERMS))
 
 
 @query(
@@ -334,27 +375,33 @@ def conflict_aggregate(s, d):
     coalesce(a.unit, b.unit) AS unit, CASE WHEN a.dv_status IS NULL THEN b.dv ELSE a.dv END AS dv, coalesce(a.dv_status, b.dv_status) AS dv_status
     FROM fx a LEFT JOIN (SELECT * REPLACE (image_id + 1 AS image_id) FROM fx WHERE nutrient <> 'portion_size') b USING (image_id, nutrient)""", after=("fx",))
 def merge_coalesce(s, d):
-    found = written(fc.facts(labels.values(_clean(s, d), TERMS)))
+    found = written(fc.facts(labels.values(_merged(s, d), TERMS)))
     return fc.merge(found, found.withColumn("image_id", F.col("image_id") + 1))
 
 
 @query("SELECT * FROM absent", after=("absent",))
 def absent_marking(s, d):
-    clean = _clean(s, d)
-    clean = written(clean.join(fc.foreign_labels(clean).select("image_id"), "image_id", "left_anti"))
+    clean = written(bx.merge_vitamins(bx.clean_up(_labels(s, d))))
+    own = written(bx.merge_vocabulary(clean.join(fc.foreign_labels(clean).select("image_id"), "image_id", "left_anti"), WHOLE))
     terms = [t for t in TERMS if t != DROPPED]
-    found = written(fc.complete(fc.facts(labels.values(clean, terms)), terms))
-    return fc.mark_absent(found, fc.nutrient_hits(clean, terms), fz.phrase_hits(clean, ["not a significant source"]).select("image_id", "seq"))
+    hits = written(fc.nutrient_hits(own, terms))
+    found = written(fc.complete(fc.facts(labels.values(own, terms, hits)), terms))
+    return fc.mark_absent(found, hits, fz.phrase_hits(own, ["not a significant source"]).select("image_id", "seq"))
 
 
-@query("SELECT image_id, terms FROM foreign_", after=("foreign_",))
+@query("SELECT image_id, terms FROM pforeign_", after=("pforeign_",))
 def american_reject(s, d):
-    return fc.foreign_labels(_clean(s, d))
+    return fc.foreign_labels(bx.merge_vitamins(rd.label_boxes(rd.paired_lines(_table(s, d, "lineitem"), FOREIGN))))
+
+
+@query("SELECT * FROM mw", after=("mw",))
+def vocabulary_merge(s, d):
+    return _merged(s, d)
 
 
 @query("SELECT * FROM fx WHERE quantity_status IS NULL OR quantity_status = 'conflict' OR (nutrient <> 'calories' AND (unit IS NULL OR unit = 'conflict'))", after=("fx",))
 def missing_facts(s, d):
-    return fc.missing(fc.facts(labels.values(_clean(s, d), TERMS)))
+    return fc.missing(fc.facts(labels.values(_merged(s, d), TERMS)))
 
 
 @query(

@@ -118,12 +118,20 @@ def label_lines(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(F.col("l_orderkey").alias("image_id"), (F.row_number().over(order) - 1).alias("line_no"), F.concat(name, F.lit(" "), amount, share).alias("text"))
 
 
-def label_boxes(lineitem: DataFrame) -> DataFrame:
-    """Word boxes of the derived labels; lines are 40 apart and 20 high."""
+def label_boxes(lines: DataFrame) -> DataFrame:
+    """Word boxes of printed lines (image_id, line_no, text); lines are 40 apart and 20 high."""
     from pyspark.sql import Window
 
     by = Window.partitionBy("image_id").orderBy("line_no", "word_no")
-    words = label_lines(lineitem).select("image_id", "line_no", F.posexplode(F.filter(F.split("text", " "), lambda w: w != "")).alias("word_no", "text"))
+    words = lines.select("image_id", "line_no", F.posexplode(F.filter(F.split("text", " "), lambda w: w != "")).alias("word_no", "text"))
     before = Window.partitionBy("image_id", "line_no").orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
     left = (10 * F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).cast("int")
     return words.select("image_id", (F.row_number().over(by) - 1).alias("seq"), "text", left.alias("left"), (40 * F.col("line_no")).alias("top"), (10 * F.length("text")).alias("width"), F.lit(20).alias("height"))
+
+
+def paired_lines(lineitem: DataFrame, names: list[str]) -> DataFrame:
+    """(image_id, line_no, text): labels on whose lines two of the names stand, each with a share."""
+    own, n = label_lines(lineitem), len(names)
+    listed = F.array(*map(F.lit, names))
+    pick = lambda c: F.element_at(listed, (F.pmod(c, F.lit(n)) + 1).cast("int"))
+    return own.select("image_id", "line_no", F.concat(pick(F.col("image_id") + F.col("line_no")), F.lit(" 2 % "), pick(F.col("image_id") + 3 * F.col("line_no")), F.lit(" 4 %")).alias("text"))

@@ -13,6 +13,10 @@ VOCABULARY = [
 ]
 TERMS = [v[0] for v in VOCABULARY]
 FRENCH = {v[0]: v[1] for v in VOCABULARY}
+#: Short forms that some labels print.
+SHORT = {"cholesterol": ["cholest"]}
+#: Words whose halves a recogniser may have parted.
+WHOLE = sorted({*FRENCH, *FRENCH.values()})
 AMOUNT_ONLY = [v[0] for v in VOCABULARY if v[3]] + ["portion_size"]
 UNITS = ["g", "mg", "ml", "ug"]
 #: A label ends where one of these begins.

@@ -85,6 +85,15 @@ def test_facts(spark, lines, nutrient, want):
     assert (r.quantity, r.quantity_status, r.unit, r.dv) == want
 
 
+def test_vitamins_go_by_their_letter(spark):
+    for lines in (["vitamin a 4 %", "vitamin c 10 %"], ["vitamin a 4 % vitamin c 10 %"], ["vitamine a 4 %", "vitamine c 10 %"]):
+        got = facts(spark, "fat 1 g", *lines)
+        assert (got["vitamin a"].dv, got["vitamin c"].dv, got["vitamin a"].dv_status) == (4.0, 10.0, "ok")
+    assert facts(spark, "fat 1 g", "cholest 15 mg")["cholesterol"].quantity == 15.0
+    assert facts(spark, "fat 1 g", "prot eine/protéines 6 g")["protein"].quantity == 6.0
+    assert facts(spark, "protein / protéines 6 g")["protein"].quantity == 6.0
+
+
 def test_absent_and_second_pass(spark):
     got = facts(spark, "fat 3 g", "not a significant source of fibre")
     assert got["fibre"].quantity_status == got["fibre"].unit == got["fibre"].dv_status == "absent"
@@ -93,7 +102,9 @@ def test_absent_and_second_pass(spark):
 
 
 def test_foreign_label_is_left_out(spark):
-    assert fc.foreign_labels(page(spark, "vitamin a calcium", "vitamin c iron")).first().terms == 4
+    assert fc.foreign_labels(bx.merge_vitamins(page(spark, "vitamin a calcium", "vitamin c iron"))).first().terms == 4
+    # one complete line is not enough, nor are names with an edit
+    assert fc.foreign_labels(bx.merge_vitamins(page(spark, "vitamin a calcium", "vitamin c", "iron", "calciun zinc"))).count() == 0
     assert facts(spark, "vitamin a 1 % calcium 2 %", "vitamin c 1 % iron 2 %") == {}
 
 
@@ -108,7 +119,7 @@ def test_footer_calories_from_and_vitamins(spark):
     assert [r.text for r in bx.clean_up(t).orderBy("seq").collect()] == ["vitamin", "a", "4", "%"]
     got = bx.merge_vitamins(page(spark, "vitamin a 4 vitamin b 6 vitamin")).orderBy("seq").collect()
     assert [r.text for r in got] == ["vitamin a", "4", "vitamin b 6", "vitamin"]
-    assert [r.text for r in bx.merge_vocabulary(page(spark, "sod ium fat"), ["sodium"]).orderBy("seq").collect()] == ["sodium", "fat"]
+    assert [r.text for r in bx.merge_vocabulary(page(spark, "sod ium fat"), ["sodium"]).orderBy("seq").collect()] == ["sod ium", "fat"]
 
 
 def test_greedy_lines_match_brute_force(spark):
