@@ -55,7 +55,7 @@ def _load(path: str):
 class _Words:
     """Ids of the pretokens met so far in this worker, each encoded once by the library; emptied when large."""
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 250_000) -> None:
         self.path, self.most = path, most
         self.index: dict[str, int] = {}
         self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)

@@ -5,6 +5,7 @@ All functions work on whole rows; a piece holds as many rows as fit in PIECE byt
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,11 @@ U = np.uint64
 _P, _M1, _M2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _INV = U(pow(int(_P), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
 
 #: Bytes that part words: ASCII white space.
 SPACE = np.zeros(256, bool)
@@ -52,7 +58,9 @@ def _power(kind: str, n: int) -> np.ndarray:
         base = np.full(size, _P if kind == "p" else _INV, U)
         base[0] = 1
         with np.errstate(over="ignore"):
-            have = _powers[kind] = np.cumprod(base, dtype=U)
+            have = np.cumprod(base, dtype=U)
+        if size <= 4 * PIECE:  # those of a longer text aren't kept
+            _powers[kind] = have
     return have[:n]
 
 
@@ -72,6 +80,13 @@ def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, np.ndarr
         j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
         yield i, data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: workers are used again by later stages, and glibc would keep what one stage took at its peak."""
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def lower(data: np.ndarray) -> np.ndarray:
