@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet in the shared folder and read again as the next one's docs.
 Classifiers are fitted on the stage's own documents and the labels of sf_dir. The mixture's rates are at least the posterior
 of not being junk: clean documents are repeated, and only junk is dropped, until all domains have their targets. SQL can't express the classifiers, SimHash or BPE, so there is no ORACLE_SQL.
+
+Rows: each stage works on all rows that its predecessor kept, and all but the last return the columns of documents, further ones included. A null or empty
+text is never toxic, equals no other null, is in no near group, counts no tokens and has null or no ids. Of equal and of near texts the least
+doc_id stays; repeated rows collapse to one before the mixture repeats some. An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -50,7 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = shared.written(stage(spark, docs, sf_dir))
+        with shared.scratch(spark) as made:  # a stage's own tables go when its result is written
+            docs = shared.written(stage(spark, docs, sf_dir))
+            own = made.pop()
+        if last:
+            shared.delete(spark, last)
+        last = own
     return docs
