@@ -200,7 +200,7 @@ def line_groups(docs: DataFrame, least: float = JACCARD) -> DataFrame:
     """(doc_id, line, first_doc_id, first_line, keep) of every line whose component holds more than one line or place."""
     every = lines(docs)
     met = every.select("h", "text").mapInArrow(_buckets, "key long, h long").repartition("key").sortWithinPartitions("key", "h").mapInArrow(_shared, "h long, key long")
-    wanted = small(written(met.groupBy("h").agg(F.collect_set("key").alias("keys"))), 300_000)
+    wanted = small(written(met.groupBy("h").agg(F.collect_set("key").alias("keys"))))
     texts = every.select("h", "text").join(wanted, "h").groupBy("h").agg(F.first("text").alias("text"), F.first("keys").alias("keys"))
     rows = texts.select(F.explode("keys").alias("key"), "h", "text").repartition("key").sortWithinPartitions("key", "h")
     linked = components(rows.mapInArrow(_verify(least), "a long, b long"))

@@ -2,10 +2,11 @@
 
 Words are what white space parts. Every window of WINDOW words has a rolling hash; winnowing (Schleimer et al. 2003) keeps the least
 of each SPREAD neighbouring hashes, so that two texts that share WINDOW + SPREAD - 1 words in a row keep a common one.
-The index is a log of immutable runs, sorted by hash: a batch of documents is merge-joined with every run and with itself,
-each of its windows that is in an earlier document (by batch, then by a hash of doc_id and text, then by place) is a match with the first such one,
-and the batch's own new hashes become a run. A window whose hash stands in different surroundings is put in once more, by all the runs of MIN_WORDS words around it,
-in an index of their own: else a first holder of the window alone would hide a longer passage that two later documents share. FAN runs of one level are merged into one of the next. Matches that follow each other at
+The index is a log of immutable runs, sorted by hash: the distinct hashes of a batch of documents, with the first place of each, are merge-joined with every run.
+Each window that is in an earlier document (by batch, then by a hash of doc_id and text, then by place) is a match with the first such one, and the
+batch's own new hashes become a run. A window whose hash stands in different surroundings is put in once more, by all the runs of MIN_WORDS words around it,
+in an index of their own: else a first holder of the window alone would hide a longer passage that two later documents share. FAN runs of one level are merged into one of the next
+(compaction). The log lives in a folder with a manifest and can be opened again for a later batch. Matches that follow each other at
 one shift are joined, verified and lengthened on the words of both documents, and spans of MIN_WORDS words at least are reported.
 
 Rows: a null, empty or short text has no window. Equal doc_ids with different texts are different documents; repeated rows (equal doc_id and
@@ -15,6 +16,7 @@ A null doc_id takes part like any other. Further columns aren't read.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -27,7 +29,7 @@ from . import text as tx
 from .shared import delete, folder, small, written
 
 WINDOW, SPREAD, MIN_WORDS = 24, 24, 47
-BATCHES, FAN = 3, 4
+BATCHES, FAN = 5, 4
 U = np.uint64
 
 
@@ -120,75 +122,120 @@ def wide(docs: DataFrame, table: DataFrame, batches: int, window: int, reach: in
                 yield pa.RecordBatch.from_arrays([pa.array(h[k].view(np.int64)), pa.array(doc[start + own]), pa.array((begin[k] - head[own]).astype(np.int32)), pa.array(batch[start + own].astype(np.int32))], names=["fp", "doc", "place", "batch"])
 
     differ = table.groupBy("fp").agg(F.min("around").alias("x"), F.max("around").alias("y")).where("x <> y").select("fp")
-    lists = small(written(table.join(differ, "fp").select("doc", "place").distinct().groupBy("doc").agg(F.collect_list("place").alias("places"))), 300_000)
+    lists = small(written(table.join(differ, "fp").select("doc", "place").distinct().groupBy("doc").agg(F.collect_list("place").alias("places"))))
     return _documents(docs).select("doc", "text").join(lists, "doc").select("doc", "text", "places").mapInArrow(run, "fp long, doc long, place int, batch int")
 
 
 class Log:
-    """The fingerprint index: immutable runs (fp, doc, place), bucketed and sorted by fp, a fingerprint in one row of one run."""
-
-    def __init__(self, spark: SparkSession, fan: int = FAN) -> None:
-        self.spark, self.fan, self.levels, self.made = spark, fan, [[]], []
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def _table(self, df: DataFrame) -> DataFrame:
-        name, path = f"log_{uuid.uuid4().hex}", folder(self.spark)
-        df.write.partitionBy("kind").bucketBy(self.buckets, "fp").sortBy("fp").option("path", path).format("parquet").saveAsTable(name)
-        self.made.append((name, path))
-        return self.spark.table(name)
+    """The fingerprint index: immutable runs (fp, doc, place), bucketed and sorted by fp, a fingerprint in one row of one run.
+
+    All of it is in the folder ``root``: a folder a run, and a manifest of which runs are on which level, rewritten after each batch."""
+
+    def __init__(self, spark: SparkSession, root: str | None = None, fan: int = FAN) -> None:
+        self.spark, self.fan, self.root = spark, fan, root or folder(spark)
+        self.buckets, self.levels, self.made = int(spark.conf.get("spark.sql.shuffle.partitions")), [[]], []
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> Log:
+        """The log that an earlier session left in ``root``."""
+        path, fs = cls._file(spark, f"{root}/manifest.json")
+        with_lines = spark.sparkContext._jvm.scala.io.Source.fromInputStream(fs.open(path), "UTF-8")
+        held = json.loads(with_lines.mkString())
+        with_lines.close()
+        log = cls(spark, root, held["fan"])
+        log.buckets, log.levels = held["buckets"], held["levels"]
+        for name in (x for level in log.levels for x in level):
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (fp BIGINT, doc BIGINT, place INT, kind INT) USING parquet PARTITIONED BY (kind) CLUSTERED BY (fp) SORTED BY (fp) INTO {log.buckets} BUCKETS LOCATION '{root}/{name}'")
+            spark.sql(f"MSCK REPAIR TABLE {name}")
+            log.made.append(name)
+        return log
+
+    @staticmethod
+    def _file(spark: SparkSession, path: str):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _save(self) -> None:
+        path, fs = self._file(self.spark, f"{self.root}/manifest.json")
+        out = fs.create(path, True)
+        out.write(bytearray(json.dumps({"fan": self.fan, "buckets": self.buckets, "levels": self.levels}).encode()))
+        out.close()
+
+    def _table(self, df: DataFrame) -> str:
+        name = f"log_{uuid.uuid4().hex}"
+        self.made.append(name)
+        df.write.partitionBy("kind").bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.root}/{name}").format("parquet").saveAsTable(name)
+        return name
+
+    def _run(self, name: str) -> DataFrame:
+        return self.spark.table(name).where("kind = 0").select("fp", "doc", "place")
 
     def drop(self) -> None:
         """Remove all runs and results; what was found has to be written elsewhere before."""
-        for name, path in self.made:
-            self.spark.sql(f"DROP TABLE {name}")
-            delete(self.spark, path)
-
-    def _push(self, run: DataFrame, level: int = 0) -> None:
-        while len(self.levels) <= level:
+        self.close()
+        delete(self.spark, self.root)
+
+    def close(self) -> None:
+        """Take the tables off the session's catalogue; their files stay in ``root``."""
+        for name in self.made:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.made = []
+
+    def compact(self, level: int) -> None:
+        """Merge all runs of a level into one of the next, and remove their files."""
+        names, self.levels[level] = self.levels[level], []
+        merged = self._run(names[0])
+        for n in names[1:]:
+            merged = merged.unionAll(self._run(n))
+        if len(self.levels) == level + 1:
             self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) >= self.fan:  # compaction
-            runs, self.levels[level] = self.levels[level], []
-            merged = runs[0]
-            for r in runs[1:]:
-                merged = merged.unionAll(r)
-            self._push(self._table(merged.repartition(self.buckets, "fp").withColumn("kind", F.lit(0))).where("kind = 0").select("fp", "doc", "place"), level + 1)
+        self.levels[level + 1].append(self._table(merged.repartition(self.buckets, "fp").withColumn("kind", F.lit(0))))
+        self._save()
+        for n in names:  # their matches are in another partition
+            delete(self.spark, f"{self.root}/{n}/kind=0")
 
     def put(self, batch: DataFrame) -> DataFrame:
-        """Merge-join (fp, doc, place) with all runs and with itself; the batch's first windows become a run. Returns (doc, place, doc0, place0): what repeats."""
-        by = Window.partitionBy("fp").orderBy("doc", "place")
-        own = batch.select("fp", "doc", "place", F.first("doc").over(by).alias("d"), F.first("place").over(by).alias("p"), F.row_number().over(by).alias("rn"))
+        """Merge-join the hashes of (fp, doc, place) with all runs; new ones, with their first place, become a run. Returns (doc, place, doc0, place0): what repeats."""
+        own = batch.groupBy("fp").agg(F.min(F.struct("doc", "place")).alias("m"), F.count("*").alias("c")).select("fp", F.col("m.doc").alias("d"), F.col("m.place").alias("p"), "c")
         doc0, place0, known = F.col("d"), F.col("p"), F.lit(False)
-        for i, r in enumerate(x for level in self.levels for x in level):
-            own = own.join(r.select("fp", F.col("doc").alias(f"d{i}"), F.col("place").alias(f"p{i}")).hint("merge"), "fp", "left")
+        for i, name in enumerate(x for level in self.levels for x in level):
+            own = own.join(self._run(name).select("fp", F.col("doc").alias(f"d{i}"), F.col("place").alias(f"p{i}")).hint("merge"), "fp", "left")
             doc0, place0, known = F.coalesce(f"d{i}", doc0), F.coalesce(f"p{i}", place0), known | F.col(f"d{i}").isNotNull()
-        marked = own.select("fp", "doc", "place", doc0.alias("doc0"), place0.alias("place0"), F.when(~known & (F.col("rn") == 1), 0).when((F.col("doc") != doc0) | (F.col("place") != place0), 1).alias("kind"))
-        table = self._table(marked.where("kind is not null"))
-        self._push(table.where("kind = 0").select("fp", "doc", "place"))
-        return table.where("kind = 1").select("doc", "place", "doc0", "place0")
-
-
-def matches(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, spread: int = SPREAD, min_words: int = MIN_WORDS) -> DataFrame:
+        # a new hash makes a row of the run; one that repeats, there or in the batch, a row of what is looked for
+        kinds = F.when(known, F.array(F.lit(1))).when(F.col("c") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        name = self._table(own.select("fp", doc0.alias("doc"), place0.alias("place"), F.explode(kinds).alias("kind")))
+        self.levels[0].append(name)
+        self._save()
+        level = 0
+        while len(self.levels[level]) >= self.fan:
+            self.compact(level)
+            level += 1
+        again = self.spark.table(name).where("kind = 1").select("fp", F.col("doc").alias("doc0"), F.col("place").alias("place0"))
+        return batch.join(small(again), "fp").where("doc <> doc0 or place <> place0").select("doc", "place", "doc0", "place0")
+
+
+def matches(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, spread: int = SPREAD, min_words: int = MIN_WORDS, fan: int = FAN) -> DataFrame:
     """The written stretches of the windows that repeat an earlier one, all batches put through the index one after the other. The index is dropped then."""
     spark, path, more = docs.sparkSession, folder(docs.sparkSession), folder(docs.sparkSession)
     reach = max(min_words, window + spread - 1) - window
-    windows(docs, batches, window, spread, reach).write.partitionBy("batch").parquet(path)
-    table = spark.read.schema("fp long, around long, doc long, place int, batch int").parquet(path)
-    wide(docs, table, batches, window, reach).write.partitionBy("batch").parquet(more)
-    runs = spark.read.schema("fp long, doc long, place int, batch int").parquet(more)
-    found, made = None, []
-    for source, size in ((table, window), (runs, window + reach)):
-        log = Log(spark)
-        for i in range(batches):
-            hits = log.put(source.where(F.col("batch") == i).select("fp", "doc", "place")).withColumn("size", F.lit(size))
-            found = hits if found is None else found.unionAll(hits)
-        made += log.made
-    out = written(stretches(found))
-    log.made = made
-    log.drop()
-    delete(spark, path)
-    delete(spark, more)
-    return out
+    logs: list[Log] = []
+    try:
+        windows(docs, batches, window, spread, reach).write.partitionBy("batch").parquet(path)
+        table = spark.read.schema("fp long, around long, doc long, place int, batch int").parquet(path)
+        wide(docs, table, batches, window, reach).write.partitionBy("batch").parquet(more)
+        runs = spark.read.schema("fp long, doc long, place int, batch int").parquet(more)
+        found = None
+        for source, size in ((table, window), (runs, window + reach)):
+            logs.append(Log(spark, fan=fan))
+            for i in range(batches):
+                hits = logs[-1].put(source.where(F.col("batch") == i).select("fp", "doc", "place")).withColumn("size", F.lit(size))
+                found = hits if found is None else found.unionAll(hits)
+        return written(stretches(found))
+    finally:
+        for log in logs:
+            log.drop()
+        delete(spark, path)
+        delete(spark, more)
 
 
 def stretches(hits: DataFrame) -> DataFrame:
@@ -244,14 +291,14 @@ def contexts(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
     # only rows that stand there more than once are moved to make them one; the wanted places are distinct already
     again = small(written(every.groupBy("doc").count().where("count > 1").select("doc")))
     own = every.join(again, "doc", "left_anti").unionAll(every.join(again, "doc", "left_semi").dropDuplicates(["doc"]))
-    lists = small(written(wanted.distinct().groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("w"))), 300_000).select("doc", "w.a", "w.b")
+    lists = small(written(wanted.distinct().groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("w")))).select("doc", "w.a", "w.b")
     kind = own.schema["doc_id"].dataType.simpleString()
     return own.join(lists, "doc").select("doc", "doc_id", "text", "a", "b").mapInArrow(run, f"doc long, doc_id {kind}, a int, b int, body long, start int, end int, lw array<int>, ls array<int>, rw array<int>, re array<int>")
 
 
-def spans(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, spread: int = SPREAD, min_words: int = MIN_WORDS) -> DataFrame:
+def spans(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, spread: int = SPREAD, min_words: int = MIN_WORDS, fan: int = FAN) -> DataFrame:
     """(doc_id, start, end, words, first_doc_id) of the repeated passages: text[start:end] in characters, and the document that its first part repeats."""
-    found = matches(docs, batches, window, spread, min_words)
+    found = matches(docs, batches, window, spread, min_words, fan)
     wanted = found.select("doc", "a", "b").unionAll(found.select("doc0", "a0", "b0"))
     cut = written(contexts(docs, wanted, spread))
     first = cut.select(F.col("doc").alias("doc0"), F.col("a").alias("a0"), F.col("b").alias("b0"), F.col("body").alias("body0"), F.col("lw").alias("lw0"), F.col("rw").alias("rw0"), F.col("doc_id").alias("first_doc_id"))
