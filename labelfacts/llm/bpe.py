@@ -8,22 +8,27 @@ the reversed byte table and joins them before UTF-8 is read, so split characters
 
 Rows: a null text gives null ids, offsets and text; an empty text gives empty arrays and decodes to an empty text. Strings of special
 tokens are ordinary text. Decoding ids of a sequence cut inside a character gives U+FFFD for the incomplete part; an id outside the
-vocabulary is an error. Repeated rows are encoded alike. Further columns stay, unless named like a column that is added: that one gives way.
+vocabulary is an error. Repeated rows are encoded alike. Further columns stay as they are; an added column whose name is taken gets one with a "_" behind it.
+A vocabulary whose pre-tokenizer isn't the byte-level one without a prefix blank, or that has a normalizer, is an error: its ids would differ.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Vocabulary file, a parameter of each function. It has to be at this path on every executor.
+from .shared import col, unused
+
+#: Vocabulary file, a parameter of each function. It is sent to the executors from the driver's machine.
 VOCABULARY = os.environ.get("BPE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
 #: Bytes of text given to the tokenizer at once.
 STEP = 1 << 20
@@ -37,13 +42,31 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check(path: str) -> None:
+    """Raise if the vocabulary parts texts otherwise than PRETOKEN does."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    way = held.get("pre_tokenizer") or {}
+    if held["model"]["type"] != "BPE" or held.get("normalizer") or way.get("type") != "ByteLevel" or way.get("add_prefix_space") or not way.get("use_regex", True):
+        raise ValueError(f"{path}: not a byte-level BPE vocabulary with the usual pre-tokenizer and no normalizer")
+
+
+def _sent(docs: DataFrame, path: str) -> str:
+    """Send the vocabulary to all executors; the path by which workers ask for it."""
+    check(path)
+    docs.sparkSession.sparkContext.addFile(path)
+    return path
+
+
 def _load(path: str):
     """Tokenizer, all tokens' bytes in one array, and where each token's bytes begin; once in a worker."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
+        where = path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+        check(where)
+        t = Tokenizer.from_file(where)
         t.encode_special_tokens = True
         table, special = byte_of_character(), {i: a.content for i, a in t.get_added_tokens_decoder().items()}
         words = [special[i].encode() if i in special else bytes(table[c] for c in t.id_to_token(i)) for i in range(t.get_vocab_size())]
@@ -139,10 +162,11 @@ def _runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``docs`` with ids, starts and ends (arrays) in place of text."""
-    keep = [c for c in docs.columns if c not in ("text", "ids", "starts", "ends")]
-    own = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    path, added = _sent(docs, path), unused(docs, "ids", "starts", "ends")
+    keep = [c for c in docs.columns if c != "text"]
+    own = docs.select(*(col(c) for c in keep), F.col("text").cast("string").alias("text"))
     ints = T.ArrayType(T.IntegerType())
-    schema = T.StructType([*docs.select(*keep).schema.fields, *(T.StructField(n, ints) for n in ("ids", "starts", "ends"))])
+    schema = T.StructType([*own.schema.fields[:-1], *(T.StructField(n, ints) for n in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,25 +174,26 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
             sizes = pa.compute.binary_length(texts).fill_null(0).to_pylist()
             for i, j in _runs(sizes):
                 part = texts.slice(i, j - i).to_pylist()
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(len(keep))), *_encoded(part, path)[0]], names=[*keep, "ids", "starts", "ends"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(len(keep))), *_encoded(part, path)[0]], names=[*keep, *added])
 
     return own.mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """``encoded`` with text in place of ids, starts and ends."""
-    keep = [c for c in encoded.columns if c not in ("ids", "starts", "ends", "text")]
-    own = encoded.select(*keep, F.col("ids").cast("array<int>").alias("ids"))
-    schema = T.StructType([*encoded.select(*keep).schema.fields, T.StructField("text", T.StringType())])
+def decode(encoded: DataFrame, path: str = VOCABULARY, ids: str = "ids", offsets: tuple[str, ...] = ("starts", "ends")) -> DataFrame:
+    """``encoded`` with text in place of the columns ``ids`` and ``offsets``."""
+    path, text = _sent(encoded, path), unused(encoded, "text")[0]
+    keep = [c for c in encoded.columns if c not in (ids, *offsets)]
+    own = encoded.select(*(col(c) for c in keep), col(ids).cast("array<int>").alias(ids))
+    schema = T.StructType([*own.schema.fields[:-1], T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
-                ids = part.column(part.num_columns - 1)
-                at = ids.offsets.to_numpy() - ids.offsets[0].as_py()
-                texts = decode_ids(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), at, path) if ids.null_count == 0 else _with_nulls(ids, path)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(len(keep))), pa.array(texts, pa.string())], names=[*keep, "text"])
+                held = part.column(part.num_columns - 1)
+                at = held.offsets.to_numpy() - held.offsets[0].as_py()
+                texts = decode_ids(held.flatten().to_numpy(zero_copy_only=False).astype(np.int64), at, path) if held.null_count == 0 else _with_nulls(held, path)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(len(keep))), pa.array(texts, pa.string())], names=[*keep, text])
 
     return own.mapInArrow(run, schema)
 
@@ -179,6 +204,7 @@ def _with_nulls(ids: pa.Array, path: str) -> list[str | None]:
 
 def round_trip(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids, starts, ends, same) of every row: same says whether the decoded ids are the text again, byte for byte; null for a null text."""
+    path = _sent(docs, path)
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     ints = T.ArrayType(T.IntegerType())
     schema = T.StructType([own.schema["doc_id"], *(T.StructField(n, ints) for n in ("ids", "starts", "ends")), T.StructField("same", T.BooleanType())])

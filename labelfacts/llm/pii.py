@@ -8,7 +8,7 @@ Identifiers (e-mail, phone, card number with Luhn's check, IPv4, IBAN with its c
 normalised text, and each hit's span is mapped back. The bare words at and dot only count where a whole address results.
 
 Rows: a null or empty text has no identifiers. Repeated rows give repeated hits. Where two hits overlap the earlier wins, then the longer, then
-the kind in the order above. Offsets count Unicode characters of the source. Whole texts are searched; a long text is handled like a short one.
+the kind in the order above. Further columns aren't read; a null doc_id is passed on; an empty table gives no rows. Offsets count Unicode characters of the source. Whole texts are searched; a long text is handled like a short one.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ _PART = re.compile(rf"[ \t]+({_AT})[ \t]+|[ \t]*(@)[ \t]*|[ \t]+({_DOT})[ \t]+|[
 EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"
 _FIND = [
     ("email", re.compile(rf"(?<![A-Za-z0-9._%+-]){EMAIL}(?![A-Za-z0-9-])")),
-    ("phone", re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]?\d{4}|\d{10,11})(?![\w-]|\.\d)")),
+    ("phone", re.compile(r"(?<![\w.+-])(?:(?:\+|00(?=[1-9]))\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]?\d{4}|\d{10,11})(?![\w-]|\.\d)")),
     ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)")),
     ("ip", re.compile(r"(?<![\w.-])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w-]|\.\d)")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
@@ -89,8 +89,8 @@ _FIND = [
     ("key", re.compile(r"(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,})(?!\w)")),
 ]
 _RANK = {k: i for i, (k, _) in enumerate(_FIND)}
-#: A phone, card, IP or social security number holds a digit, an e-mail an @: lines with neither need no search.
-_HINT = re.compile(r"[0-9@]|sk-|gh[pousr]_")
+#: A phone, card, IP or social security number or an IBAN holds a digit, an e-mail an @, a key its prefix: texts with none need no search.
+_HINT = re.compile(r"[0-9@]|sk-|gh[pousr]_|AKIA")
 
 
 def luhn(digits: str) -> bool:
