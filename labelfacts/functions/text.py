@@ -56,9 +56,9 @@ def process_str(text: ColumnOrName) -> Column:
 
 
 def split_to_words(text: ColumnOrName) -> Column:
-    """Array of the words of an ingredient list."""
-    pieces = F.transform(F.split(_c(text), "[,.;:]"), lambda p: F.split(process_str(p), " "))
-    return F.filter(F.flatten(pieces), lambda w: w != "")
+    """Array of the words of an ingredient list: blanks and , . ; : part words, what else isn't a letter vanishes."""
+    letters = F.regexp_replace(F.translate(_c(text), ",.;:", "    "), "[^A-Za-z éèêâ]+", "")
+    return F.filter(F.split(F.lower(letters), " "), lambda w: w != "")
 
 
 def preprocess_ingredients(text: ColumnOrName) -> Column:

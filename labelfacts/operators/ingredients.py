@@ -68,13 +68,20 @@ def bilingual(table: DataFrame, column: str = "ingr_string") -> DataFrame:
     return table.withColumn(column, F.explode(F.coalesce(F.when(maybe, halves(column)), F.array(column))))
 
 
-def language(text: str, english: list[str], french: list[str], stop: list[str]) -> Column:
-    """en, fr or unclear by how many words, but stop words, each lexicon has: one must have half of them; ties are unclear."""
-    words = F.filter(ft.split_to_words(text), lambda w: ~w.isin(stop) if stop else F.lit(True))
-    en = F.size(F.filter(words, lambda w: w.isin(english)))
-    fr = F.size(F.filter(words, lambda w: w.isin(french)))
-    n = F.size(words)
-    return F.when(n == 0, "unclear").when((en < n / 2) & (fr < n / 2), "unclear").when(en > fr, "en").when(fr > en, "fr").otherwise("unclear")
+def with_language(table: DataFrame, text: str, english: list[str], french: list[str], stop: list[str], name: str = "language") -> DataFrame:
+    """table with en, fr or unclear by how many words, but stop words, each lexicon has: one must have half of them; ties are unclear.
+
+    The words are made once, in a column of their own, and counted from there."""
+    both = set(english) & set(french)
+    kind = lambda w: F.when(w.isin(stop), -1).when(w.isin([x for x in english if x not in both]), 1).when(w.isin([x for x in french if x not in both]), 2).otherwise(F.when(w.isin(sorted(both)), 3).otherwise(0) if both else 0)
+    t = table.withColumn("_k", F.transform(ft.split_to_words(text), kind))
+    # a string of digits: counting its characters stays in compiled code
+    t = t.withColumn("_s", F.array_join(F.filter("_k", lambda k: k >= 0), ""))
+    n, one, two, three = (F.length(F.regexp_replace("_s", p, "")) if p else F.length("_s") for p in ("", "[^1]", "[^2]", "[^3]"))
+    t = t.withColumns({"_n": n, "_e": one + three, "_f": two + three})
+    n, en, fr = F.col("_n"), F.col("_e"), F.col("_f")
+    out = F.when(F.coalesce(n, F.lit(0)) == 0, "unclear").when((en < n / 2) & (fr < n / 2), "unclear").when(en > fr, "en").when(fr > en, "fr").otherwise("unclear")
+    return t.withColumn(name, out).select(*[c for c in table.columns if c != name], name)
 
 
 def correct(table: DataFrame, dictionary: DataFrame, key: str, column: str = "ingr_string", least: int = 5, most: int = 2) -> DataFrame:

@@ -50,7 +50,7 @@ def nutrition_facts(boxes: DataFrame, second: DataFrame | None = None, drop: tup
 
 def ingredients(responses: DataFrame, dictionary: DataFrame, words: list[str], english: list[str], french: list[str], stop: list[str]) -> DataFrame:
     """(Filename, ingr_string, language, ingr_string_corrected, n_corrections); only English lists are corrected."""
-    listed = ig.bilingual(ig.lists(an.blocks(responses), responses, words)).withColumn("language", ig.language("ingr_string", english, french, stop))
+    listed = ig.with_language(ig.bilingual(ig.lists(an.blocks(responses), responses, words)), "ingr_string", english, french, stop)
     keyed = listed.withColumn("_k", F.xxhash64("file", "first", "ingr_string"))
     fixed = ig.correct(keyed.where("language = 'en'"), dictionary, "_k")
     other = keyed.where("language <> 'en'").withColumns({"ingr_string_corrected": F.lit(None).cast("string"), "n_corrections": F.lit(None).cast("int")})

@@ -436,7 +436,7 @@ def spell_correct_unique(s, d):
     (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x IN ({_list(ENGLISH)}))) AS en, len(list_filter(w, lambda x: x IN ({_list(FRENCH_WORDS)}))) AS fr FROM
     (SELECT doc_id, list_filter(flatten(list_transform(regexp_split_to_array(text, '[,.;:]'), lambda p: string_split(lower(trim(regexp_replace(p, '[^A-Za-z éèêâ]+', '', 'g'))), ' '))), lambda x: x <> '' AND x NOT IN ({_list(STOP)})) AS w FROM documents))""")
 def language_by_lexicon(s, d):
-    return _table(s, d, "documents").select("doc_id", ig.language("text", ENGLISH, FRENCH_WORDS, STOP).alias("language"))
+    return ig.with_language(_table(s, d, "documents").select("doc_id", "text"), "text", ENGLISH, FRENCH_WORDS, STOP).select("doc_id", "language")
 
 
 @query("SELECT item_id, unnest(range(len(w)))::INT AS pos, unnest(w) AS word FROM (SELECT item_id, list_filter(flatten(list_transform(regexp_split_to_array(text, '[,.;:]'), lambda p: string_split(lower(trim(regexp_replace(p, '[^A-Za-z éèêâ]+', '', 'g'))), ' '))), lambda x: x <> '') AS w FROM benchmark)")

@@ -171,8 +171,8 @@ def test_bilingual_language_and_expiry(spark):
     halves = ig.split_bilingual("Ingredients: water, salt. Ingrédients: eau, sel")
     assert halves[0].startswith("Ingredients: water, salt") and halves[1].endswith("ients: eau, sel")
     assert ig.split_bilingual("INGREDIENTS: water") is None and ig.split_bilingual(None) is None
-    assert one(spark, ig.language("t", ["water"], ["eau"], []), t="") == "unclear"
-    assert one(spark, ig.language("t", ["water"], ["eau"], []), t="water, water, eau") == "en"
+    t = spark.createDataFrame([("",), ("water, water, eau",), (None,), ("eau",), ("pain pain",)], "t string")
+    assert [r.language for r in ig.with_language(t, "t", ["water", "pain"], ["eau", "pain"], []).collect()] == ["unclear", "en", "unclear", "fr", "unclear"]
     for text, want in (("BEST BEFORE 2021 JA 05", "2021 JA 05"), ("2021JUN05", "2021JUN05"), ("JA 05 2021", "JA 05 2021"), ("05/06/2021", None)):
         assert one(spark, ft.extract_expiry("t"), t=text) == want
 
