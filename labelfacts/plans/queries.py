@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as fb
 from ..functions import text as ft
+from ..operators import annotations as an
 from ..operators import boxes as bx
 from ..operators import curves as cv
 from ..operators import facts as fc
@@ -180,6 +181,7 @@ CTE = {
             WHEN 1 THEN 'Item' WHEN 2 THEN CASE WHEN o_orderkey % 2 = 0 THEN a || '-' || b ELSE a END WHEN 3 THEN b WHEN 4 THEN CASE WHEN o_custkey % 5 = 0 THEN 'x' ELSE left_ END ELSE right_ END AS text
         FROM (SELECT *, CAST(o_custkey % 10 AS VARCHAR) AS left_, CAST(o_orderkey % 7 AS VARCHAR) AS right_, lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0') AS a, lpad(CAST(o_custkey % 100000 AS VARCHAR), 5, '0') AS b FROM orders)""",
     "chat": "SELECT conv_id AS file, turn AS pos, text, role = 'user' AS h, " + " OR ".join(f"contains(lower(text), '{w}')" for w in FRENCH_WORDS[:6]) + " AS w FROM conversations",
+    "toks": "SELECT key, unnest(range(len(a))) AS pos, unnest(a) AS token FROM (SELECT conv_id || ':' || turn AS key, list_filter(regexp_extract_all(t, '[,.;: ()]|[^,.;: ()]+'), lambda x: x <> '') AS a FROM (SELECT *, regexp_replace(text, '[^ -~]+', '', 'g') AS t FROM conversations) WHERE t <> '')",
     "lexicon": r"SELECT DISTINCT word FROM (SELECT unnest(string_split(lower(regexp_replace(text, '[^A-Za-z ]+', ' ', 'g')), ' ')) AS word FROM benchmark) WHERE length(word) >= 5",
     "printed": r"SELECT DISTINCT word FROM (SELECT unnest(string_split(lower(regexp_replace(text, '[^A-Za-z ]+', ' ', 'g')), ' ')) AS word FROM conversations) WHERE length(word) >= 5",
 }
@@ -553,7 +555,8 @@ def image_names(s, d):
     return _table(s, d, "pages").select("page_id", ft.image_name("url").alias("name"), ft.image_stub("url").alias("stub"))
 
 
-@query()
+# the derived lines don't overlap, so the greedy numbering is that of the tops
+@query("SELECT image_id, seq, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY top) - 1 AS INT) AS line FROM lb", after=("lb",))
 def greedy_lines(s, d):
     return bx.greedy_lines(_labels(s, d)).select("image_id", "seq", "line")
 
@@ -580,3 +583,114 @@ def kmeans_fragments(s, d):
 def conic_fits(s, d):
     points = _table(s, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("image_id"), (F.col("l_partkey") % 4).cast("int").alias("curve_id"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
     return cv.fitted(points)
+
+
+@query("SELECT conv_id AS file, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INT) AS pos, text FROM conversations")
+def annotation_blocks(s, d):
+    return an.blocks(_responses(s, d))
+
+
+@query("SELECT conv_id AS file, CAST(p AS INT) AS pos, CAST(10 * turn AS INT) AS x0, CAST(5 * p AS INT) AS y0, CAST(10 * turn + length(text) AS INT) AS x1, CAST(5 * p + 4 AS INT) AS y1 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS p FROM conversations)")
+def annotation_boxes(s, d):
+    return an.block_boxes(_responses(s, d))
+
+
+@query("SELECT conv_id AS file, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INT) AS pos, role AS text, CAST(10 * turn AS INT) AS x0 FROM conversations")
+def annotation_words(s, d):
+    return an.text_annotations(_responses(s, d)).select("file", "pos", "text", F.col("box.x0").alias("x0"))
+
+
+def _responses(s: SparkSession, d: str) -> DataFrame:
+    """Nested responses of the readers' schema: each conversation a page, each turn a block with one paragraph of words of symbols, and a text annotation."""
+    t = _table(s, d, "conversations").select("conv_id", F.struct("turn", "role", "text").alias("e"))
+    listed = t.groupBy("conv_id").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    corner = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+
+    def box(e, i):
+        left, top = 10 * e["turn"], 5 * i
+        right, low = left + F.length(e["text"]), top + 4
+        return F.struct(F.array(corner(right, low), corner(left, top), corner(right, top), corner(left, low)).alias("vertices"))
+
+    symbols = lambda w: F.struct(F.transform(F.split(w, ""), lambda c: F.struct(c.alias("text"))).alias("symbols"))
+    words = lambda e: F.struct(F.transform(F.split(e["text"], " "), symbols).alias("words"))
+    blocks = F.transform("e", lambda e, i: F.struct(box(e, i).alias("bounding_box"), F.array(words(e)).alias("paragraphs")))
+    flat = F.transform("e", lambda e, i: F.struct(e["role"].alias("description"), box(e, i).alias("bounding_poly")))
+    return listed.select(F.col("conv_id").alias("file"), F.struct(F.array(F.struct(blocks.alias("blocks"))).alias("pages")).alias("full_text_annotation"), flat.alias("text_annotations"))
+
+
+_PREPARED = "'Ingredients: ' || replace(text, ' the ', ' and ') || ' (x) • (also) [y] or more'"
+
+
+@query(
+    f"""SELECT item_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract({_PREPARED}, '^([^.]*)', 1), ' \\([^)]*\\)', '', 'g'), ' \\[[^\\]]*\\]', '', 'g'),
+    ' (and/or|and|or|&) ', ', ', 'g'), '(?i)ingredients:', '', 'g'), ' • ', ', ', 'g'), '[^A-Za-z,]+,', ',', 'g'), '["'']', ', ', 'g') AS prepared FROM benchmark""")
+def ingredients_prepared(s, d):
+    text = F.concat(F.lit("Ingredients: "), F.replace("text", F.lit(" the "), F.lit(" and ")), F.lit(" (x) • (also) [y] or more"))
+    return _table(s, d, "benchmark").select("item_id", ft.preprocess_ingredients(text).alias("prepared"))
+
+
+@query(
+    """SELECT key, string_agg(coalesce(correction, token), '' ORDER BY pos) AS text_corrected, CAST(count(correction) AS INT) AS n_corrections FROM toks LEFT JOIN
+    (SELECT word, arg_min(l, (dist, l)) AS correction FROM (SELECT t.word, l.word AS l, levenshtein(t.word, l.word) AS dist, min(levenshtein(t.word, l.word)) OVER (PARTITION BY t.word) AS best FROM
+        (SELECT DISTINCT lower(token) AS word FROM toks WHERE length(token) >= 5 AND lower(token) NOT IN (SELECT word FROM lexicon)) t JOIN lexicon l ON abs(length(t.word) - length(l.word)) <= 2 AND levenshtein(t.word, l.word) <= 2)
+        WHERE dist = best GROUP BY word HAVING count(*) = 1) c ON lower(token) = c.word GROUP BY key""", after=("toks", "lexicon"))
+def text_corrected(s, d):
+    t = _table(s, d, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), F.regexp_replace("text", "[^ -~]+", "").alias("text")).where("text <> ''")  # DuckDB's distance counts bytes
+    return ig.correct(t, _ascii_words(_table(s, d, "benchmark")), "key", "text").select("key", "text_corrected", "n_corrections")
+
+
+@query("SELECT image_id, seq, term FROM (SELECT image_id, seq, lower(text) AS w FROM mw), terms WHERE w = term", after=("mw", "terms"))
+def exact_hits(s, d):
+    return fz.phrase_hits(_merged(s, d).withColumn("text", F.replace("text", F.lit(" "), F.lit("_"))), [t.replace(" ", "_") for t in TERMS], 0).select("image_id", "seq", F.replace("term", F.lit("_"), F.lit(" ")).alias("term"))
+
+
+@query("SELECT image_id, nutrient, seq, CAST(p0 AS INT) AS \"at\" FROM la WHERE nutrient <> 'portion_size' AND p0 IS NOT NULL", after=("la",))
+def right_most_name(s, d):
+    own = _merged(s, d)
+    chosen = fc.choose_hits(_hits(own)).select("image_id", "nutrient", "seq")
+    return fc.line_items(own, chosen).select("image_id", "nutrient", "seq", fc.term_at().alias("at")).where("at is not null")
+
+
+@query(f"SELECT image_id, {_RENUMBER.format('seq')}, text FROM lb WHERE (image_id, seq) NOT IN (SELECT image_id, seq FROM lb WHERE starts_with(lower(text), 'fat') OR ends_with(lower(text), 'fat'))", after=("lb",))
+def rows_dropped(s, d):
+    t = _labels(s, d)
+    return bx.drop_rows(t, fz.edge_hits(t, ["fat"])).select("image_id", "seq", "text")
+
+
+@query(
+    """SELECT a.image_id, a.nutrient, CASE WHEN q THEN NULL WHEN a.quantity_status IS NULL THEN b.quantity ELSE a.quantity END AS quantity, CASE WHEN q THEN 'conflict' ELSE coalesce(a.quantity_status, b.quantity_status) END AS quantity_status,
+    CASE WHEN a.unit <> b.unit THEN 'conflict' ELSE coalesce(a.unit, b.unit) END AS unit, CASE WHEN v THEN NULL WHEN a.dv_status IS NULL THEN b.dv ELSE a.dv END AS dv, CASE WHEN v THEN 'conflict' ELSE coalesce(a.dv_status, b.dv_status) END AS dv_status
+    FROM fx a LEFT JOIN (SELECT * REPLACE (image_id + 1 AS image_id) FROM fx WHERE nutrient <> 'portion_size') b USING (image_id, nutrient),
+    LATERAL (SELECT coalesce(a.quantity_status = 'ok' AND b.quantity_status = 'ok' AND a.quantity <> b.quantity, false) AS q, coalesce(a.dv_status = 'ok' AND b.dv_status = 'ok' AND a.dv <> b.dv, false) AS v)""", after=("fx",))
+def merge_conflicts(s, d):
+    found = written(fc.facts(labels.values(_merged(s, d), TERMS)))
+    return fc.merge(found, found.withColumn("image_id", F.col("image_id") + 1), test_conflicts=True)
+
+
+@query("SELECT image_id, max(CASE WHEN nutrient = 'fat' THEN quantity END) AS fat, max(CASE WHEN nutrient = 'sodium' THEN unit END) AS sodium_unit, max(CASE WHEN nutrient = 'iron' THEN dv END) AS iron_dv FROM fx GROUP BY image_id", after=("fx",))
+def facts_wide(s, d):
+    t = fc.wide(fc.facts(labels.values(_merged(s, d), TERMS)))
+    return t.select("image_id", F.col("fat.quantity").alias("fat"), F.col("sodium.unit").alias("sodium_unit"), F.col("iron.dv").alias("iron_dv"))
+
+
+@query("SELECT image_id, string_agg(nutrient, ',' ORDER BY nutrient) AS names, max(CASE WHEN nutrient = 'fat' THEN quantity END) AS fat FROM fx GROUP BY image_id", after=("fx",))
+def facts_map(s, d):
+    t = fc.as_map(fc.facts(labels.values(_merged(s, d), TERMS)))
+    return t.select("image_id", F.array_join(F.map_keys("facts"), ",").alias("names"), F.col("facts")["fat"]["quantity"].alias("fat"))
+
+
+@query("SELECT o_custkey AS file, arg_min('k' || o_orderkey, o_orderkey) FILTER (WHERE o_orderkey % 3 = 0) AS upc FROM orders GROUP BY o_custkey")
+def upc_first_cutoff(s, d):
+    code = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("k"), F.col("o_orderkey").cast("string")))
+    return upc.first_cutoff(_table(s, d, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("cutoff_no"), code.alias("upc")))
+
+
+@query(f"SELECT image_id, line_id, round(CASE WHEN x1 = x2 THEN (y1 + y2) / 2 ELSE y1 + (y2 - y1) * (100 - x1) / (x2 - x1) END, 6) AS y FROM ({_SEGMENT})")
+def y_on_line(s, d):
+    return _segments(s, d).select("image_id", "line_id", F.round(fb.y_at(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.lit(100)), 6).alias("y"))
+
+
+@query('SELECT image_id, seq, CAST(least("left" + width, 500) AS INT) AS x0, CAST(least(greatest(top - 10, 0), 200) AS INT) AS y0, CAST(least("left" + width + 150, 500) AS INT) AS x1, CAST(least(top + height + 10, 200) AS INT) AS y1 FROM lb', after=("lb",))
+def crop_to_right(s, d):
+    box = fb.right_crop(F.col("left"), F.col("top"), F.col("width"), F.col("height"), F.lit(500), F.lit(200))
+    return _labels(s, d).select("image_id", "seq", box.alias("b")).select("image_id", "seq", "b.*")
