@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import col, unused
+from .shared import col, map_rows, unused
 
 #: Vocabulary file, a parameter of each function. It is sent to the executors from the driver's machine.
 VOCABULARY = os.environ.get("BPE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
@@ -176,7 +176,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 part = texts.slice(i, j - i).to_pylist()
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(len(keep))), *_encoded(part, path)[0]], names=[*keep, *added])
 
-    return own.mapInArrow(run, schema)
+    return map_rows(own, run, schema)
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY, ids: str = "ids", offsets: tuple[str, ...] = ("starts", "ends")) -> DataFrame:
@@ -195,7 +195,7 @@ def decode(encoded: DataFrame, path: str = VOCABULARY, ids: str = "ids", offsets
                 texts = decode_ids(held.flatten().to_numpy(zero_copy_only=False).astype(np.int64), at, path) if held.null_count == 0 else _with_nulls(held, path)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(len(keep))), pa.array(texts, pa.string())], names=[*keep, text])
 
-    return own.mapInArrow(run, schema)
+    return map_rows(own, run, schema)
 
 
 def _with_nulls(ids: pa.Array, path: str) -> list[str | None]:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .shared import every, unused, written
+from .shared import every, map_rows, unused, written
 
 BITS = 17
 #: Bound of the sample of labelled rows that the classifier is fitted on.
@@ -240,7 +240,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
 
     fields = [*keyed.schema.fields, T.StructField(n, T.LongType()), T.StructField(p, T.ArrayType(T.DoubleType()))]
     # written with the rows: texts are scored once, for the fit and for the choice
-    scored = written(keyed.mapInArrow(score, T.StructType(fields)))
+    scored = written(map_rows(keyed, score, T.StructType(fields)))
     moves = fit_rates(scored.select(F.col(n).alias("tokens"), F.col(p).alias("p")), np.array(list(weights.values())), floor, budget)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +251,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
             times += chance < rate - times
             yield pa.RecordBatch.from_arrays(b.columns[:-3], names=b.schema.names[:-3]).take(pa.array(np.repeat(np.arange(b.num_rows), times)))
 
-    return scored.mapInArrow(run, docs.schema)
+    return map_rows(scored, run, docs.schema)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import written
+from .shared import map_rows, written
 
 BITS = 18
 #: Bound of the sample of labelled rows: confirmed toxic documents that the classifier is fitted on.
@@ -205,7 +205,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.0) -> DataFra
             size = pa.compute.binary_length(b.column(at).cast(pa.large_string()).fill_null("")).to_numpy()
             yield b.filter(pa.array((margin(b.column(at)) <= threshold) | (size == 0)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, docs.schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
