@@ -5,10 +5,14 @@ of each SPREAD neighbouring hashes, so that two texts that share WINDOW + SPREAD
 The index is a log of immutable runs, sorted by hash: the distinct hashes of a batch of documents, with the first place of each, are merge-joined with every run.
 Each window that is in an earlier document (by batch, then by a hash of doc_id and text, then by place) is a match with the first such one, and the
 batch's own new hashes become a run. A window whose hash stands in different surroundings is put in once more, by all the runs of MIN_WORDS words around it,
-in an index of their own: else a first holder of the window alone would hide a longer passage that two later documents share. FAN runs of one level are merged into one of the next
+as further hashes of the same log: else a first holder of the window alone would hide a longer passage that two later documents share. FAN runs of one level are merged into one of the next
 (compaction). The log lives in a folder with a manifest and can be opened again for a later batch. Matches that follow each other at
 one shift are joined, verified and lengthened on the words of both documents, and spans of MIN_WORDS words at least are reported.
 
+Hashes are parted into ranges by their leading bits, as many as spark.sql.shuffle.partitions. A range takes no part in another, so one task carries its range
+through all batches; hashes, matches and places move packed, a binary value for each range, and what many tasks look up lies in mapped files. A range has to fit in
+the memory of a task: some 24 bytes for each of its windows, a few times over.
+
 Rows: a null, empty or short text has no window. Equal doc_ids with different texts are different documents; repeated rows (equal doc_id and
 text) are one document. A passage that repeats inside one document repeats its first place there. Ties can't arise: places are ordered.
 A null doc_id takes part like any other. Further columns aren't read.
@@ -26,11 +30,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .langid import _load, _save
 from .shared import delete, folder, small, written
 
 WINDOW, SPREAD, MIN_WORDS = 24, 24, 47
 BATCHES, FAN = 5, 4
 U = np.uint64
+#: A hash and where it first stands; a match; a passage of a document.
+ENTRY = np.dtype([("fp", "u8"), ("doc", "i8"), ("place", "i4")])
+HIT = np.dtype([("doc", "i8"), ("doc0", "i8"), ("place", "i4"), ("place0", "i4"), ("size", "i4")])
+PLACE = np.dtype([("doc", "i8"), ("a", "i4"), ("b", "i4")])
+#: Records that a task gathers before it parts them.
+HELD = 400_000
 
 
 def winnow(hashes: np.ndarray, rows: np.ndarray, spread: int) -> np.ndarray:
@@ -71,69 +82,209 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select(F.xxhash64("doc_id", text).alias("doc"), "doc_id", text.alias("text"))
 
 
-def windows(docs: DataFrame, batches: int, window: int, spread: int, reach: int) -> DataFrame:
-    """(fp, around, doc, place, batch) of the chosen windows; place counts words, around is a hash of up to ``reach`` words on either side and the window."""
+def _range(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Which of ``parts`` ranges each key is in, by its leading bits."""
+    return (((keys.view(U) >> U(32)) * U(parts)) >> U(32)).astype(np.int32)
+
+
+def _record(kind: np.dtype, *columns: np.ndarray) -> np.ndarray:
+    out = np.empty(len(columns[0]), kind)
+    for name, c in zip(kind.names, columns):
+        out[name] = c
+    return out
+
+
+def _packed(keys: np.ndarray, parts: int, *arrays: np.ndarray) -> pa.RecordBatch:
+    """(part, a binary value of each array): for each range of keys its rows."""
+    part = _range(keys, parts)
+    by = np.argsort(part, kind="stable")
+    there, begin = np.unique(part[by], return_index=True)
+    cut = np.append(begin, len(part))
+    body = [pa.BinaryArray.from_buffers(pa.binary(), len(there), [None, pa.py_buffer((cut * a.itemsize).astype(np.int32)), pa.py_buffer(a[by].tobytes())]) for a in arrays]
+    return pa.RecordBatch.from_arrays([pa.array(there), *body], names=["part", "body", "around"][: 1 + len(body)])
+
+
+def _all_packed(records: Iterator[tuple[np.ndarray, ...]], key: str, parts: int) -> Iterator[pa.RecordBatch]:
+    """Records gathered, HELD or so at a time, and packed by the ranges of the first ones' key."""
+    held, size = [], 0
+    for r in records:
+        held.append(r)
+        size += len(r[0])
+        if size >= HELD:
+            arrays = [np.concatenate(x) for x in zip(*held)]
+            held, size = [], 0
+            yield _packed(arrays[0][key], parts, *arrays)
+    if size:
+        arrays = [np.concatenate(x) for x in zip(*held)]
+        yield _packed(arrays[0][key], parts, *arrays)
+
+
+def _unpacked(column: pa.ChunkedArray, kind: np.dtype | type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in column if x.is_valid)])
+
+
+class Files:
+    """Sorted records in files of the shared folder, one for each range of keys; mapped when they are first asked for. A range without a file is empty."""
+
+    def __init__(self, uri: str, parts: int) -> None:
+        self.uri, self.parts, self.open = uri, parts, {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"open": {}}
+
+    def save(self, part: int, records: np.ndarray) -> None:
+        if len(records):
+            _save(self.uri, {str(part): records})
+
+    def part(self, part: int, kind: np.dtype | type) -> np.ndarray:
+        if part not in self.open:
+            try:
+                self.open[part] = _load(self.uri, str(part))
+            except FileNotFoundError:
+                self.open[part] = np.zeros(0, kind)
+        return self.open[part]
+
+    def ranges(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each range that has some of the keys, and which."""
+        part = _range(keys, self.parts)
+        by = np.lexsort((keys, part))
+        there, begin = np.unique(part[by], return_index=True)
+        yield from zip(there.tolist(), np.split(by, begin[1:]))
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), bool)
+        for p, at in self.ranges(keys):
+            held = self.part(p, U)
+            if len(held):
+                out[at] = held[np.minimum(np.searchsorted(held, keys[at]), len(held) - 1)] == keys[at]
+        return out
+
+    def places(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many records each document has, and they, document by document."""
+        n, found = np.zeros(len(doc), np.int64), [np.zeros(0, PLACE)] * len(doc)
+        for p, at in self.ranges(doc):
+            held = self.part(p, PLACE)
+            key = held["doc"]
+            lo, hi = np.searchsorted(key, doc[at]), np.searchsorted(key, doc[at], "right")
+            n[at] = hi - lo
+            for i in np.flatnonzero(hi > lo):
+                found[at[i]] = held[lo[i] : hi[i]]
+        return n, np.concatenate([np.zeros(0, PLACE), *found])
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            doc = b.column(0).to_numpy()
-            batch = (doc.view(U) >> U(40)) % U(batches)
-            for start, data, at in tx.pieces(b.column(1)):
-                _, _, row, word = _words(data, at)
-                h, begin = tx.windows(word, row, window)
-                if not len(h):
-                    continue
-                k = winnow(h, row[begin], spread)
-                own = row[begin[k]]
-                head = np.searchsorted(row, own)
-                place = begin[k] - head
+
+def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    first, last, row = tx.spans(data, at)
+    return first, last, row, tx.hash_spans(data, first, last)
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.where("text is not null").select(F.xxhash64("doc_id", text).alias("doc"), "doc_id", text.alias("text"))
+
+
+def _chosen(doc: np.ndarray, texts: pa.Array, window: int, spread: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each piece of the texts: the document of each row, row and hash of each word, hash and first word of each chosen window."""
+    for start, data, at in tx.pieces(texts):
+        _, _, row, word = _words(data, at)
+        h, begin = tx.windows(word, row, window)
+        if len(h):
+            k = winnow(h, row[begin], spread)
+            yield doc[start : start + len(at) - 1], row, word, h[k], begin[k]
+
+
+def windows(docs: DataFrame, parts: int, window: int, spread: int, reach: int) -> DataFrame:
+    """The chosen windows, packed: entries whose place counts words, and for each a hash of up to ``reach`` words on either side and the window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for b in batches:
+            for doc, row, word, h, begin in _chosen(b.column(0).to_numpy(), b.column(1), window, spread):
+                own = row[begin]
+                place = begin - np.searchsorted(row, own)
                 sums = np.append(U(0), np.cumsum(word * tx._power("p", len(word))))
-                left, right = np.minimum(place, reach), np.minimum(np.searchsorted(row, own, "right") - begin[k] - window, reach)
-                x = begin[k] - left
-                around = tx.mix((sums[begin[k] + window + right] - sums[x]) * tx._power("i", len(word) + 1)[x] + (left * (reach + 1) + right).astype(U))
-                yield pa.RecordBatch.from_arrays([pa.array(h[k].view(np.int64)), pa.array(around.view(np.int64)), pa.array(doc[start + own]), pa.array(place.astype(np.int32)), pa.array(batch[start + own].astype(np.int32))], names=["fp", "around", "doc", "place", "batch"])
+                left, right = np.minimum(place, reach), np.minimum(np.searchsorted(row, own, "right") - begin - window, reach)
+                x = begin - left
+                around = tx.mix((sums[begin + window + right] - sums[x]) * tx._power("i", len(word) + 1)[x] + (left * (reach + 1) + right).astype(U))
+                yield _record(ENTRY, h, doc[own], place), around
 
-    return _documents(docs).select("doc", "text").mapInArrow(run, "fp long, around long, doc long, place int, batch int")
+    return _documents(docs).select("doc", "text").mapInArrow(lambda b: _all_packed(run(b), "fp", parts), "part int, body binary, around binary")
 
 
-def wide(docs: DataFrame, table: DataFrame, batches: int, window: int, reach: int) -> DataFrame:
-    """(fp, doc, place, batch) of all runs of window + reach words around the windows whose fingerprint stands in different surroundings: there the
+def differing(packed: DataFrame, entries: Files, differ: Files) -> None:
+    """Save the windows by ranges, and the fingerprints that stand in different surroundings."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        own, around = _unpacked(rows["body"], ENTRY), _unpacked(rows["around"], U)
+        by = np.argsort(own["fp"])
+        own, around = own[by], around[by]
+        fp = own["fp"].copy()
+        begin = np.flatnonzero(np.append(True, fp[1:] != fp[:-1]))
+        entries.save(key[0].as_py(), own)
+        differ.save(key[0].as_py(), fp[begin][np.minimum.reduceat(around, begin) != np.maximum.reduceat(around, begin)])
+        return pa.table({"n": pa.array([len(own)])})
+
+    packed.groupBy("part").applyInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def wide(docs: DataFrame, differ: Files, parts: int, window: int, spread: int, reach: int) -> DataFrame:
+    """All runs of window + reach words around the windows whose fingerprint stands in different surroundings, packed: there the
     first holder may share no more than the window, while a later one shares a long passage; a whole run has the same first holder for all of it."""
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            doc = part.column(0).to_numpy()
-            batch = (doc.view(U) >> U(40)) % U(batches)
-            for start, data, at in tx.pieces(part.column(1)):
-                _, _, row, word = _words(data, at)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray]]:
+        for b in batches:
+            for doc, row, word, chosen, place in _chosen(b.column(0).to_numpy(), b.column(1), window, spread):
+                place = place[differ.has(chosen)]
                 h, begin = tx.windows(word, row, window + reach)
-                if not len(h):
+                if not len(h) or not len(place):
                     continue
-                places = part.column(2).slice(start, len(at) - 1)
-                own = np.repeat(np.arange(len(at) - 1), pa.compute.list_value_length(places).to_numpy())
-                head = np.searchsorted(row, np.arange(len(at) - 1))
-                place = head[own] + places.flatten().to_numpy()
                 # the runs that hold a wanted window begin at most ``reach`` words before it
                 change = np.zeros(len(word) + 1, np.int64)
-                np.add.at(change, np.maximum(place - reach, head[own]), 1)
+                np.add.at(change, np.maximum(place - reach, np.searchsorted(row, row[place])), 1)
                 np.add.at(change, place + 1, -1)
                 k = np.flatnonzero(np.cumsum(change)[begin] > 0)
                 own = row[begin[k]]
-                yield pa.RecordBatch.from_arrays([pa.array(h[k].view(np.int64)), pa.array(doc[start + own]), pa.array((begin[k] - head[own]).astype(np.int32)), pa.array(batch[start + own].astype(np.int32))], names=["fp", "doc", "place", "batch"])
-
-    differ = table.groupBy("fp").agg(F.min("around").alias("x"), F.max("around").alias("y")).where("x <> y").select("fp")
-    lists = small(written(table.join(differ, "fp").select("doc", "place").distinct().groupBy("doc").agg(F.collect_list("place").alias("places"))))
-    return _documents(docs).select("doc", "text").join(lists, "doc").select("doc", "text", "places").mapInArrow(run, "fp long, doc long, place int, batch int")
+                yield (_record(ENTRY, h[k], doc[own], begin[k] - np.searchsorted(row, own)),)
+
+    return _documents(docs).select("doc", "text").mapInArrow(lambda b: _all_packed(run(b), "fp", parts), "part int, body binary")
+
+
+def merged(own: np.ndarray, size: np.ndarray, runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Merge-join a batch's entries, each of so many words, with all runs: the new hashes with their first place, sorted, and what repeats an earlier place."""
+    by = np.argsort(own["fp"])
+    own, size = own[by], size[by]
+    fp, doc, place = (own[c].copy() for c in ENTRY.names)
+    if not len(fp):
+        return np.zeros(0, ENTRY), np.zeros(0, HIT)
+    head = np.append(True, fp[1:] != fp[:-1])
+    begin, group = np.flatnonzero(head), np.cumsum(head) - 1
+    fps, doc0 = fp[begin], np.minimum.reduceat(doc, begin)
+    place0 = np.minimum.reduceat(np.where(doc == doc0[group], place, np.int32(2**31 - 1)), begin)
+    known = np.zeros(len(fps), bool)
+    for run in runs:
+        if len(run):
+            held = np.ascontiguousarray(run["fp"])
+            at = np.minimum(np.searchsorted(held, fps), len(held) - 1)
+            same = np.flatnonzero(held[at] == fps)
+            known[same], doc0[same], place0[same] = True, run["doc"][at[same]], run["place"][at[same]]
+    new = _record(ENTRY, fps[~known], doc0[~known], place0[~known])
+    doc0, place0 = doc0[group], place0[group]
+    again = (doc != doc0) | (place != place0)
+    return new, _record(HIT, *(x[again] for x in (doc, doc0, place, place0, size)))
+
+
+def compacted(runs: list[np.ndarray]) -> np.ndarray:
+    """One run of several; a fingerprint is in one row of one of them."""
+    out = np.concatenate([np.zeros(0, ENTRY), *runs])
+    return out[np.argsort(out["fp"])]
 
 
 class Log:
-    """The fingerprint index: immutable runs (fp, doc, place), bucketed and sorted by fp, a fingerprint in one row of one run.
+    """The fingerprint index: immutable runs of (fp, doc, place), parted into ranges of fp and sorted by it, a fingerprint in one row of one run.
 
-    All of it is in the folder ``root``: a folder a run, and a manifest of which runs are on which level, rewritten after each batch."""
+    All of it is in the folder ``root``: a folder a run, with a file for each range, and a manifest of which runs are on which level, rewritten after each call of ``put``."""
 
     def __init__(self, spark: SparkSession, root: str | None = None, fan: int = FAN) -> None:
         self.spark, self.fan, self.root = spark, fan, root or folder(spark)
-        self.buckets, self.levels, self.made = int(spark.conf.get("spark.sql.shuffle.partitions")), [[]], []
+        self.parts, self.levels = int(spark.conf.get("spark.sql.shuffle.partitions")), [[]]
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> Log:
@@ -143,11 +294,7 @@ class Log:
         held = json.loads(with_lines.mkString())
         with_lines.close()
         log = cls(spark, root, held["fan"])
-        log.buckets, log.levels = held["buckets"], held["levels"]
-        for name in (x for level in log.levels for x in level):
-            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (fp BIGINT, doc BIGINT, place INT, kind INT) USING parquet PARTITIONED BY (kind) CLUSTERED BY (fp) SORTED BY (fp) INTO {log.buckets} BUCKETS LOCATION '{root}/{name}'")
-            spark.sql(f"MSCK REPAIR TABLE {name}")
-            log.made.append(name)
+        log.parts, log.levels = held["parts"], held["levels"]
         return log
 
     @staticmethod
@@ -158,113 +305,168 @@ class Log:
     def _save(self) -> None:
         path, fs = self._file(self.spark, f"{self.root}/manifest.json")
         out = fs.create(path, True)
-        out.write(bytearray(json.dumps({"fan": self.fan, "buckets": self.buckets, "levels": self.levels}).encode()))
+        out.write(bytearray(json.dumps({"fan": self.fan, "parts": self.parts, "levels": self.levels}).encode()))
         out.close()
 
-    def _table(self, df: DataFrame) -> str:
-        name = f"log_{uuid.uuid4().hex}"
-        self.made.append(name)
-        df.write.partitionBy("kind").bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.root}/{name}").format("parquet").saveAsTable(name)
-        return name
-
-    def _run(self, name: str) -> DataFrame:
-        return self.spark.table(name).where("kind = 0").select("fp", "doc", "place")
-
     def drop(self) -> None:
-        """Remove all runs and results; what was found has to be written elsewhere before."""
-        self.close()
+        """Remove all runs; what was found has to be written elsewhere before."""
         delete(self.spark, self.root)
 
     def close(self) -> None:
-        """Take the tables off the session's catalogue; their files stay in ``root``."""
-        for name in self.made:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.made = []
-
-    def compact(self, level: int) -> None:
-        """Merge all runs of a level into one of the next, and remove their files."""
-        names, self.levels[level] = self.levels[level], []
-        merged = self._run(names[0])
-        for n in names[1:]:
-            merged = merged.unionAll(self._run(n))
-        if len(self.levels) == level + 1:
-            self.levels.append([])
-        self.levels[level + 1].append(self._table(merged.repartition(self.buckets, "fp").withColumn("kind", F.lit(0))))
+        """The log holds nothing but its folder, which stays."""
+
+    def _steps(self, batches: int) -> tuple[list[tuple[str, list[str]]], list[list[str]]]:
+        """What every range goes through for so many batches: (run, []) for a batch's own, (run, runs) for a compaction; and the levels then."""
+        steps, levels = [], [list(x) for x in self.levels]
+        for _ in range(batches):
+            steps.append((f"run_{uuid.uuid4().hex}", []))
+            levels[0].append(steps[-1][0])
+            level = 0
+            while len(levels[level]) >= self.fan:
+                steps.append((f"run_{uuid.uuid4().hex}", levels[level]))
+                levels[level] = []
+                if len(levels) == level + 1:
+                    levels.append([])
+                levels[level + 1].append(steps[-1][0])
+                level += 1
+        return steps, levels
+
+    def put_packed(self, packed: DataFrame, size: int, batches: int = 1, entries: Files | None = None, of: int = 0) -> DataFrame:
+        """Put in entries of ``size`` words, packed by ranges, and those of the files ``entries``, of ``of`` words: batch after batch, by the hash of their document.
+        Returns the written stretches of what repeats an earlier place. Runs that a later batch of the same call compacts are never saved."""
+        (steps, levels), fan, parts, root = self._steps(batches), self.fan, self.parts, self.root
+        old = [x for level in self.levels for x in level]
+        stay = {x for level in levels for x in level}
+
+        def run(key: tuple, rows: pa.Table) -> pa.Table:
+            part = key[0].as_py()
+            own = _unpacked(rows["body"], ENTRY)
+            more = np.zeros(0, ENTRY) if entries is None else entries.part(part, ENTRY)
+            sizes = np.repeat(np.array([size, of], np.int32), [len(own), len(more)])
+            own = np.concatenate([own, more])
+            number = (own["doc"].view(U) >> U(40)) % U(batches)
+            runs = {x: Files(f"{root}/{x}", parts).part(part, ENTRY) for x in old}
+            hits, batch = [], 0
+            for name, merge in steps:
+                if merge:
+                    runs[name] = compacted([runs.pop(x) for x in merge])
+                else:
+                    mine = number == batch
+                    runs[name], found = merged(own[mine], sizes[mine], list(runs.values()))
+                    hits.append(found)
+                    batch += 1
+            for name in stay.difference(old):
+                Files(f"{root}/{name}", parts).save(part, runs[name])
+            found = np.concatenate(hits)
+            return pa.Table.from_batches([_packed(found["doc"].copy(), parts, found)]) if len(found) else pa.table({"part": pa.array([], pa.int32()), "body": pa.array([], pa.binary())})
+
+        every = packed.unionAll(self.spark.range(parts).selectExpr("cast(id as int) part", "cast(null as binary) body"))
+        out = every.groupBy("part").applyInArrow(run, "part int, body binary")
+        return self._done(out, levels, old)
+
+    def _done(self, hits: DataFrame, levels: list[list[str]], old: list[str]) -> DataFrame:
+        """Run it, then note the new levels and remove the runs that are merged into others."""
+        out = written(hits)
+        self.levels = levels
         self._save()
-        for n in names:  # their matches are in another partition
-            delete(self.spark, f"{self.root}/{n}/kind=0")
+        for name in set(old).difference(x for level in levels for x in level):
+            delete(self.spark, f"{self.root}/{name}")
+        return out
 
     def put(self, batch: DataFrame) -> DataFrame:
         """Merge-join the hashes of (fp, doc, place) with all runs; new ones, with their first place, become a run. Returns (doc, place, doc0, place0): what repeats."""
-        own = batch.groupBy("fp").agg(F.min(F.struct("doc", "place")).alias("m"), F.count("*").alias("c")).select("fp", F.col("m.doc").alias("d"), F.col("m.place").alias("p"), "c")
-        doc0, place0, known = F.col("d"), F.col("p"), F.lit(False)
-        for i, name in enumerate(x for level in self.levels for x in level):
-            own = own.join(self._run(name).select("fp", F.col("doc").alias(f"d{i}"), F.col("place").alias(f"p{i}")).hint("merge"), "fp", "left")
-            doc0, place0, known = F.coalesce(f"d{i}", doc0), F.coalesce(f"p{i}", place0), known | F.col(f"d{i}").isNotNull()
-        # a new hash makes a row of the run; one that repeats, there or in the batch, a row of what is looked for
-        kinds = F.when(known, F.array(F.lit(1))).when(F.col("c") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        name = self._table(own.select("fp", doc0.alias("doc"), place0.alias("place"), F.explode(kinds).alias("kind")))
-        self.levels[0].append(name)
-        self._save()
-        level = 0
-        while len(self.levels[level]) >= self.fan:
-            self.compact(level)
-            level += 1
-        again = self.spark.table(name).where("kind = 1").select("fp", F.col("doc").alias("doc0"), F.col("place").alias("place0"))
-        return batch.join(small(again), "fp").where("doc <> doc0 or place <> place0").select("doc", "place", "doc0", "place0")
+        parts = self.parts
+
+        def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray]]:
+            for b in batches:
+                yield (_record(ENTRY, b.column(0).to_numpy().view(U), b.column(1).to_numpy(), b.column(2).to_numpy()),)
+
+        def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = _unpacked(b.column(1), HIT)
+                yield pa.RecordBatch.from_arrays([pa.array(x[c].copy()) for c in ("doc", "place", "doc0", "place0")], names=["doc", "place", "doc0", "place0"])
+
+        packed = batch.select("fp", "doc", "place").mapInArrow(lambda b: _all_packed(records(b), "fp", parts), "part int, body binary")
+        return self.put_packed(packed, 0).mapInArrow(flat, "doc long, place int, doc0 long, place0 int")
 
 
 def matches(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, spread: int = SPREAD, min_words: int = MIN_WORDS, fan: int = FAN) -> DataFrame:
     """The written stretches of the windows that repeat an earlier one, all batches put through the index one after the other. The index is dropped then."""
-    spark, path, more = docs.sparkSession, folder(docs.sparkSession), folder(docs.sparkSession)
+    spark, path = docs.sparkSession, folder(docs.sparkSession)
     reach = max(min_words, window + spread - 1) - window
-    logs: list[Log] = []
+    log = Log(spark, fan=fan)
+    entries, differ = Files(f"{path}/entries", log.parts), Files(f"{path}/differ", log.parts)
     try:
-        windows(docs, batches, window, spread, reach).write.partitionBy("batch").parquet(path)
-        table = spark.read.schema("fp long, around long, doc long, place int, batch int").parquet(path)
-        wide(docs, table, batches, window, reach).write.partitionBy("batch").parquet(more)
-        runs = spark.read.schema("fp long, doc long, place int, batch int").parquet(more)
-        found = None
-        for source, size in ((table, window), (runs, window + reach)):
-            logs.append(Log(spark, fan=fan))
-            for i in range(batches):
-                hits = logs[-1].put(source.where(F.col("batch") == i).select("fp", "doc", "place")).withColumn("size", F.lit(size))
-                found = hits if found is None else found.unionAll(hits)
-        return written(stretches(found))
+        differing(windows(docs, log.parts, window, spread, reach), entries, differ)
+        hits = log.put_packed(wide(docs, differ, log.parts, window, spread, reach), window + reach, batches, entries, window)
+        return written(stretches(hits))
     finally:
-        for log in logs:
-            log.drop()
+        log.drop()
         delete(spark, path)
-        delete(spark, more)
 
 
 def stretches(hits: DataFrame) -> DataFrame:
-    """(doc, a, b, doc0, a0, b0): matches of ``size`` words at one shift that overlap or touch, joined; word places, b excluded."""
-    by = Window.partitionBy("doc", "doc0", "shift").orderBy("place", "size")
-    end = F.max(F.col("place") + F.col("size")).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    marked = hits.withColumn("shift", F.col("place") - F.col("place0")).withColumn("new", F.coalesce(F.col("place") > end, F.lit(True)).cast("int"))
-    return marked.withColumn("n", F.sum("new").over(by)).groupBy("doc", "doc0", "shift", "n").agg(F.min("place").alias("a"), F.max(F.col("place") + F.col("size")).alias("b")).select("doc", "a", "b", "doc0", (F.col("a") - F.col("shift")).alias("a0"), (F.col("b") - F.col("shift")).alias("b0"))
-
-
-def contexts(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
-    """For each wanted (doc, a, b): the hash of words a..b, and up to ``reach`` words on either side from the near to the far: 32 bits of each one's hash, and by how many
+    """(doc, a, b, doc0, a0, b0): packed matches of ``size`` words at one shift that overlap or touch, joined; word places, b excluded."""
+
+    def run(_: tuple, rows: pa.Table) -> pa.Table:
+        own = _unpacked(rows["body"], HIT)
+        doc, doc0, place, place0, size = (own[c].copy() for c in HIT.names)
+        shift = place - place0
+        by = np.lexsort((place, shift, doc0, doc))
+        doc, doc0, place, shift, end = doc[by], doc0[by], place[by].astype(np.int64), shift[by], (place + size)[by].astype(np.int64)
+        other = np.append(True, (doc[1:] != doc[:-1]) | (doc0[1:] != doc0[:-1]) | (shift[1:] != shift[:-1]))
+        base = (np.cumsum(other) - 1) << 32
+        far = np.maximum.accumulate(base + end)  # the farthest end so far; a later group's are all beyond an earlier one's
+        first = np.flatnonzero(other | (base + place > np.append(-1, far[:-1])))
+        last = np.append(first[1:], len(doc)) - 1
+        a, b, s = place[first].astype(np.int32), (far[last] - base[last]).astype(np.int32), shift[first]
+        return pa.table([doc[first], a, b, doc0[first], a - s, b - s], names=["doc", "a", "b", "doc0", "a0", "b0"])
+
+    return hits.groupBy("part").applyInArrow(run, "doc long, a int, b int, doc0 long, a0 int, b0 int")
+
+
+def wanted_places(found: DataFrame, places: Files) -> None:
+    """Save the passages of both sides, each once, by document."""
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray]]:
+        for b in batches:
+            doc, x, y, doc0, x0, y0 = (c.to_numpy() for c in b.columns)
+            yield (np.concatenate([_record(PLACE, doc, x, y), _record(PLACE, doc0, x0, y0)]),)
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        own = _unpacked(rows["body"], PLACE)
+        own = own[np.lexsort((own["b"], own["a"], own["doc"]))]
+        # the order of ranges is that of unsigned numbers, within one they are sorted as signed ones
+        own = own[np.append(True, own[1:] != own[:-1])[: len(own)]]
+        places.save(key[0].as_py(), own)
+        return pa.table({"n": pa.array([len(own)])})
+
+    found.mapInArrow(lambda b: _all_packed(records(b), "doc", places.parts), "part int, body binary").groupBy("part").applyInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def contexts(docs: DataFrame, places: Files, reach: int) -> DataFrame:
+    """For each wanted (doc, a, b) of the files: the hash of words a..b, and up to ``reach`` words on either side from the near to the far: 32 bits of each one's hash, and by how many
     characters it moves the passage's edge. A chance equality there (1 in 4e9) would move an edge by a word; the passage itself is compared by 64 bits."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
+            n, asked = places.places(part.column(0).to_numpy())
+            part, n = part.filter(pa.array(n > 0)), n[n > 0]
+            begin = np.append(0, np.cumsum(n))
             for s in range(0, part.num_rows, 64):
-                yield from cut(part.slice(s, 64))
+                m = n[s : s + 64]
+                yield from cut(part.slice(s, 64), m, asked[begin[s] : begin[s + len(m)]])
 
-    def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def cut(b: pa.RecordBatch, n: np.ndarray, asked: np.ndarray) -> Iterator[pa.RecordBatch]:
+        begin = np.append(0, np.cumsum(n))
         for start, data, at in tx.pieces(b.column(2)):
             first, last, row, word = _words(data, at)
             chars = np.cumsum(np.append(0, (data & 0xC0) != 0x80))
             rows = len(at) - 1
-            lists = [b.column(c).slice(start, rows) for c in (3, 4)]
-            sizes = pa.compute.list_value_length(lists[0]).to_numpy()
-            own = np.repeat(np.arange(rows), sizes)
+            here = asked[begin[start] : begin[start + rows]]
+            own = np.repeat(np.arange(rows), n[start : start + rows])
             head, tail = np.searchsorted(row, own), np.searchsorted(row, own, "right")
-            x, y = (head + c.flatten().to_numpy() for c in lists)
+            x, y = head + here["a"], head + here["b"]
             sums = np.append(U(0), np.cumsum(tx.mix(word ^ U(0x452821E638D01377)) * tx._power("p", len(word))))
             body = tx.mix((sums[y] - sums[x]) * tx._power("i", len(word) + 1)[x])
             left, right = np.minimum(x - head, reach), np.minimum(tail - y, reach)
@@ -289,18 +491,25 @@ def contexts(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
 
     every = _documents(docs)
     # only rows that stand there more than once are moved to make them one; the wanted places are distinct already
-    again = small(written(every.groupBy("doc").count().where("count > 1").select("doc")))
-    own = every.join(again, "doc", "left_anti").unionAll(every.join(again, "doc", "left_semi").dropDuplicates(["doc"]))
-    lists = small(written(wanted.distinct().groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("w")))).select("doc", "w.a", "w.b")
+    again = written(every.groupBy("doc").count().where("count > 1").select("doc"))
+    own = every
+    if not again.isEmpty():
+        again = small(again)
+        own = every.join(again, "doc", "left_anti").unionAll(every.join(again, "doc", "left_semi").dropDuplicates(["doc"]))
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.join(lists, "doc").select("doc", "doc_id", "text", "a", "b").mapInArrow(run, f"doc long, doc_id {kind}, a int, b int, body long, start int, end int, lw array<int>, ls array<int>, rw array<int>, re array<int>")
+    return own.select("doc", "doc_id", "text").mapInArrow(run, f"doc long, doc_id {kind}, a int, b int, body long, start int, end int, lw array<int>, ls array<int>, rw array<int>, re array<int>")
 
 
 def spans(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, spread: int = SPREAD, min_words: int = MIN_WORDS, fan: int = FAN) -> DataFrame:
     """(doc_id, start, end, words, first_doc_id) of the repeated passages: text[start:end] in characters, and the document that its first part repeats."""
     found = matches(docs, batches, window, spread, min_words, fan)
-    wanted = found.select("doc", "a", "b").unionAll(found.select("doc0", "a0", "b0"))
-    cut = written(contexts(docs, wanted, spread))
+    path = folder(docs.sparkSession)
+    places = Files(path, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    try:
+        wanted_places(found, places)
+        cut = written(contexts(docs, places, spread))
+    finally:
+        delete(docs.sparkSession, path)
     first = cut.select(F.col("doc").alias("doc0"), F.col("a").alias("a0"), F.col("b").alias("b0"), F.col("body").alias("body0"), F.col("lw").alias("lw0"), F.col("rw").alias("rw0"), F.col("doc_id").alias("first_doc_id"))
     same = lambda x, y: F.coalesce(F.nullif(F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), False), F.lit(0)) - 1, F.size(x)).cast("int")
     sum_of = lambda c, n: F.aggregate(F.slice(c, F.lit(1), F.col(n)), F.lit(0), lambda x, y: x + y)

@@ -203,6 +203,19 @@ def test_substrings_equal_brute_force_whatever_the_batches(spark, batches, fan):
         assert sum(any(" ".join(passages[p]) in t[i][r.start : r.end] for r in got if r.doc_id == i) for i in owners) >= len(owners) - 1
 
 
+def test_substrings_send_nothing_that_grows_to_the_driver(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(substring_dedup, "small", lambda df, *_: asked.append(df.columns) or df)
+    rng = random.Random(15)
+    passage = sentence(rng, 80)
+    t = [f"{sentence(rng, 50)} {passage} {sentence(rng, 50)}" for _ in range(6)]
+    d = spark.createDataFrame(rows(t), DOCS)
+    got = substring_dedup.spans(d)
+    assert got.count() == 5 and not asked  # only rows that stand there twice, as here none does, are joined with the texts
+    again = substring_dedup.spans(d.unionAll(d.limit(2)))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got.collect())) and asked == [["doc"]]
+
+
 def test_log_goes_on_where_it_was_left(spark, tmp_path):
     rng = np.random.default_rng(14)
     parts = [[(int(f), int(d), int(p)) for f, d, p in zip(rng.integers(0, 60, 40), rng.integers(b * 10, b * 10 + 10, 40), rng.integers(0, 99, 40))] for b in range(6)]
