@@ -4,7 +4,9 @@ Lines are what "\\n" parts. A line's shingles are its runs of SHINGLE lower-case
 one shingle. One-permutation hashing with rotation gives BINS minima, all of which are hashed to buckets as BANDS bands of ROWS: lines of
 Jaccard similarity 0.7 share one with probability 0.988, of 0.8 with 0.9998. Lines of a bucket are verified by the exact Jaccard similarity of their
 shingle sets, breadth-first over what isn't reached yet, which yields the same components as all pairs of the bucket; shingles are equal if 44 bits of their hashes are. Distributed union-find joins the
-edges of all buckets; of each component the first line (least doc_id, then place) stays.
+edges of all buckets; of each component the first line (least doc_id, then place) stays. A bucket whose lines are all in one larger bucket isn't verified by itself.
+Bucket keys move packed, by as many ranges of them as spark.sql.shuffle.partitions; which line is in which bucket lies in mapped files, so that only lines that share a
+bucket are moved with their text, and nothing is broadcast at any size. A line's text moves once for each bucket and each task that reads it.
 
 Rows: a null text has no lines; blank lines are never compared. Equal lines are one component without being hashed to buckets. Ties are broken by
 doc_id and place; repeated rows have the same doc_id and places: each of them is reported, and counts as the first if that place is. A null doc_id comes
@@ -21,10 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import col, components, small, unused, written
+from .packed import Files, pack, pack_all, record, unpack
+from .shared import col, components, delete, folder, unused, written
 
 SHINGLE, BINS, BANDS, ROWS, JACCARD = 8, 64, 16, 4, 0.7
 U = np.uint64
+#: A line's hash and 48 bits of a bucket's key, which are enough as lines are verified; a bucket, a line in it, and how many there are; a bucket of so many lines that shares some with another.
+SENT = np.dtype([("high", "u4"), ("low", "u2"), ("h", "i8")])
+MEMBER = np.dtype([("key", "u8"), ("h", "i8"), ("size", "i4")])
+PAIR = np.dtype([("key", "u8"), ("of", "u8"), ("size", "i4")])
 _MAX = U(2**64 - 1)
 
 
@@ -76,16 +83,15 @@ def lines(docs: DataFrame) -> DataFrame:
     return clean.withColumn("h", F.xxhash64("text"))
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray]]:
     for b in batches:
         h = b.column(0).to_numpy()
-        by = np.argsort(h)
-        one = by[np.append(True, h[by][1:] != h[by][:-1])[: len(h)]]
+        _, one = np.unique(h, return_index=True)
         h, text = h[one], b.column(1).take(pa.array(one))
         for start, data, at in tx.pieces(text, 1 << 18):
             rows = len(at) - 1
-            key = bands(signatures(*shingles(data, at), rows))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(h[start : start + rows], BANDS))], names=["key", "h"])
+            key = bands(signatures(*shingles(data, at), rows)).ravel()
+            yield (record(SENT, key >> U(32), (key >> U(16)) & U(0xFFFF), np.repeat(h[start : start + rows], BANDS)),)
 
 
 def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,16 +112,91 @@ def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, key) of buckets that hold more than one line; key is a hash of the bucket's lines, so that equal buckets of several bands are one."""
-    for b in groups_of(batches):
-        key, h = b.column(0).to_numpy(), b.column(1).to_numpy()
-        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size = np.diff(np.append(begin, len(key)))
-        many = np.repeat(np.minimum.reduceat(h, begin) != np.maximum.reduceat(h, begin), size)
-        new = np.append(True, (key[1:] != key[:-1]) | (h[1:] != h[:-1]))
-        lines_of = tx.mix(np.add.reduceat(np.where(new, tx.mix(h.view(U)), U(0)), begin)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(h[many & new]), pa.array(np.repeat(lines_of, size)[many & new])], names=["h", "key"])
+def shared_buckets(own: np.ndarray) -> np.ndarray:
+    """Those members of buckets that hold more than one line, each once; key is then a hash of the bucket's lines, so that equal buckets of several bands are one."""
+    key, h = (own["high"].astype(U) << U(32)) | (own["low"].astype(U) << U(16)), own["h"].copy()
+    by = np.argsort(key)
+    key, h = key[by], h[by]
+    same = key[1:] == key[:-1]
+    some = np.append(same, False)[: len(key)] | np.append(False, same)[: len(key)]  # most lines are alone in theirs
+    key, h = key[some], h[some]
+    by = np.lexsort((h, key))
+    key, h = key[by], h[by]
+    new = np.append(True, (key[1:] != key[:-1]) | (h[1:] != h[:-1]))[: len(key)]
+    key, h = key[new], h[new]
+    if not len(key):
+        return np.zeros(0, MEMBER)
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(begin, len(key)))
+    lines_of = tx.mix(np.add.reduceat(tx.mix(h.view(U)), begin))
+    many = np.repeat(size > 1, size)
+    return record(MEMBER, np.repeat(lines_of, size)[many], h[many], np.repeat(size, size)[many])
+
+
+def overlaps(own: np.ndarray) -> np.ndarray:
+    """For members sorted by line, each once: the pairs of a smaller and a larger bucket that a line is in."""
+    out, key, h, size = [np.zeros(0, PAIR)], own["key"].copy(), own["h"].copy(), own["size"].copy()
+    for step in range(1, BANDS):
+        i = np.flatnonzero(h[step:] == h[:-step])
+        if not len(i):
+            break
+        for x, y in ((i, i + step), (i + step, i)):
+            less = size[x] < size[y]
+            out.append(record(PAIR, key[x[less]], key[y[less]], size[x[less]]))
+    return np.concatenate(out)
+
+
+def contained(pairs: np.ndarray) -> np.ndarray:
+    """The buckets, sorted, all of whose lines are in one larger bucket: it joins all that they would."""
+    pairs = pairs[np.lexsort((pairs["of"], pairs["key"]))]
+    begin = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
+    return np.unique(pairs["key"][begin][np.diff(np.append(begin, len(pairs))) == pairs["size"][begin]])
+
+
+def shared_members(every: DataFrame, parts: int, members: Files, within: Files) -> None:
+    """Save, by the line, the members of the buckets that hold more than one line, and the buckets that others contain. Neither lines nor buckets are gathered or broadcast for it."""
+
+    def sent(keys: str, out: np.ndarray) -> pa.Table:
+        return pa.Table.from_batches([pack(out[keys].copy(), members.parts, out)]) if len(out) else pa.table({"part": pa.array([], pa.int32()), "body": pa.array([], pa.binary())})
+
+    def shared(_: tuple, rows: pa.Table) -> pa.Table:
+        tx.give_back()
+        return sent("h", shared_buckets(unpack(rows["body"], SENT)))
+
+    def save(part: tuple, rows: pa.Table) -> pa.Table:
+        own = unpack(rows["body"], MEMBER)
+        own = own[np.lexsort((own["key"], own["h"]))]
+        own = own[np.append(True, own[1:] != own[:-1])[: len(own)]]
+        members.save(part[0].as_py(), own)
+        return sent("key", overlaps(own))
+
+    def drop(part: tuple, rows: pa.Table) -> pa.Table:
+        out = contained(unpack(rows["body"], PAIR))
+        within.save(part[0].as_py(), out)
+        return pa.table({"n": pa.array([len(out)])})
+
+    kind = "part int, body binary"
+    packed = every.select("h", "text").mapInArrow(lambda b: pack_all(_buckets(b), lambda a: a["high"].astype(U) << U(32), parts), kind)
+    steps = packed.groupBy("part").applyInArrow(shared, kind).groupBy("part").applyInArrow(save, kind).groupBy("part").applyInArrow(drop, "n long")
+    steps.agg(F.sum("n")).collect()
+
+
+def _members(members: Files, within: Files):
+    """(key, h, text) of each line for each bucket that it is in and no other contains, once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64)
+        for b in batches:
+            h, one = np.unique(b.column(0).to_numpy(), return_index=True)
+            new = ~np.isin(h, seen)
+            h, one = h[new], one[new]
+            n, rows = members.rows(h, "h", MEMBER)
+            seen = np.concatenate([seen, h[n > 0]])
+            key = rows["key"].copy()
+            kept = ~within.has(key)
+            yield pa.RecordBatch.from_arrays([pa.array(key[kept].view(np.int64)), pa.array(rows["h"][kept]), b.column(1).take(pa.array(np.repeat(one, n)[kept]))], names=["key", "h", "text"])
+
+    return run
 
 
 def _component(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
@@ -175,6 +256,8 @@ def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in groups_of(batches):
             key, h = b.column(0).to_numpy(), b.column(1).to_numpy()
+            new = np.append(True, (key[1:] != key[:-1]) | (h[1:] != h[:-1]))  # the same line comes from several tasks
+            b, key, h = b.filter(pa.array(new)), key[new], h[new]
             begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(begin, len(key)))
             values, sizes = [], []
@@ -207,11 +290,15 @@ def _verify(least: float):
 def line_groups(docs: DataFrame, least: float = JACCARD) -> DataFrame:
     """(doc_id, line, first_doc_id, first_line, keep) of every line whose component holds more than one line or place."""
     every = written(lines(docs))
-    met = every.select("h", "text").mapInArrow(_buckets, "key long, h long").repartition("key").sortWithinPartitions("key", "h").mapInArrow(_shared, "h long, key long")
-    wanted = small(written(met.groupBy("h").agg(F.collect_set("key").alias("keys"))))
-    texts = every.select("h", "text").join(wanted, "h").groupBy("h").agg(F.first("text").alias("text"), F.first("keys").alias("keys"))
-    rows = texts.select(F.explode("keys").alias("key"), "h", "text").repartition("key").sortWithinPartitions("key", "h")
-    linked = components(rows.mapInArrow(_verify(least), "a long, b long"))
+    spark, path = docs.sparkSession, folder(docs.sparkSession)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    members, within = (Files(f"{path}/{x}", 1 + parts // 8) for x in ("members", "within"))
+    try:
+        shared_members(every, parts, members, within)
+        rows = every.select("h", "text").mapInArrow(_members(members, within), "key long, h long, text string").repartition("key").sortWithinPartitions("key", "h")
+        linked = components(rows.mapInArrow(_verify(least), "a long, b long"))
+    finally:
+        delete(spark, path)
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "line")
     rooted = every.select("doc_id", "line", "h").join(linked.withColumnRenamed("node", "h"), "h", "left").select("doc_id", "line", F.coalesce("root", "h").alias("g"))
     first = rooted.groupBy("g").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1").select("g", F.col("f.doc_id").alias("first_doc_id"), F.col("f.line").alias("first_line"))

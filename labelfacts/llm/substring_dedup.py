@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .langid import _load, _save
+from .packed import Files, pack, pack_all, record, unpack
 from .shared import delete, folder, small, written
 
 WINDOW, SPREAD, MIN_WORDS = 24, 24, 47
@@ -40,8 +40,6 @@ U = np.uint64
 ENTRY = np.dtype([("fp", "u8"), ("doc", "i8"), ("place", "i4")])
 HIT = np.dtype([("doc", "i8"), ("doc0", "i8"), ("place", "i4"), ("place0", "i4"), ("size", "i4")])
 PLACE = np.dtype([("doc", "i8"), ("a", "i4"), ("b", "i4")])
-#: Records that a task gathers before it parts them.
-HELD = 400_000
 
 
 def winnow(hashes: np.ndarray, rows: np.ndarray, spread: int) -> np.ndarray:
@@ -82,106 +80,6 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select(F.xxhash64("doc_id", text).alias("doc"), "doc_id", text.alias("text"))
 
 
-def _range(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Which of ``parts`` ranges each key is in, by its leading bits."""
-    return (((keys.view(U) >> U(32)) * U(parts)) >> U(32)).astype(np.int32)
-
-
-def _record(kind: np.dtype, *columns: np.ndarray) -> np.ndarray:
-    out = np.empty(len(columns[0]), kind)
-    for name, c in zip(kind.names, columns):
-        out[name] = c
-    return out
-
-
-def _packed(keys: np.ndarray, parts: int, *arrays: np.ndarray) -> pa.RecordBatch:
-    """(part, a binary value of each array): for each range of keys its rows."""
-    part = _range(keys, parts)
-    by = np.argsort(part, kind="stable")
-    there, begin = np.unique(part[by], return_index=True)
-    cut = np.append(begin, len(part))
-    body = [pa.BinaryArray.from_buffers(pa.binary(), len(there), [None, pa.py_buffer((cut * a.itemsize).astype(np.int32)), pa.py_buffer(a[by].tobytes())]) for a in arrays]
-    return pa.RecordBatch.from_arrays([pa.array(there), *body], names=["part", "body", "around"][: 1 + len(body)])
-
-
-def _all_packed(records: Iterator[tuple[np.ndarray, ...]], key: str, parts: int) -> Iterator[pa.RecordBatch]:
-    """Records gathered, HELD or so at a time, and packed by the ranges of the first ones' key."""
-    held, size = [], 0
-    for r in records:
-        held.append(r)
-        size += len(r[0])
-        if size >= HELD:
-            arrays = [np.concatenate(x) for x in zip(*held)]
-            held, size = [], 0
-            yield _packed(arrays[0][key], parts, *arrays)
-    if size:
-        arrays = [np.concatenate(x) for x in zip(*held)]
-        yield _packed(arrays[0][key], parts, *arrays)
-
-
-def _unpacked(column: pa.ChunkedArray, kind: np.dtype | type) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in column if x.is_valid)])
-
-
-class Files:
-    """Sorted records in files of the shared folder, one for each range of keys; mapped when they are first asked for. A range without a file is empty."""
-
-    def __init__(self, uri: str, parts: int) -> None:
-        self.uri, self.parts, self.open = uri, parts, {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"open": {}}
-
-    def save(self, part: int, records: np.ndarray) -> None:
-        if len(records):
-            _save(self.uri, {str(part): records})
-
-    def part(self, part: int, kind: np.dtype | type) -> np.ndarray:
-        if part not in self.open:
-            try:
-                self.open[part] = _load(self.uri, str(part))
-            except FileNotFoundError:
-                self.open[part] = np.zeros(0, kind)
-        return self.open[part]
-
-    def ranges(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Each range that has some of the keys, and which."""
-        part = _range(keys, self.parts)
-        by = np.lexsort((keys, part))
-        there, begin = np.unique(part[by], return_index=True)
-        yield from zip(there.tolist(), np.split(by, begin[1:]))
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), bool)
-        for p, at in self.ranges(keys):
-            held = self.part(p, U)
-            if len(held):
-                out[at] = held[np.minimum(np.searchsorted(held, keys[at]), len(held) - 1)] == keys[at]
-        return out
-
-    def places(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How many records each document has, and they, document by document."""
-        n, found = np.zeros(len(doc), np.int64), [np.zeros(0, PLACE)] * len(doc)
-        for p, at in self.ranges(doc):
-            held = self.part(p, PLACE)
-            key = held["doc"]
-            lo, hi = np.searchsorted(key, doc[at]), np.searchsorted(key, doc[at], "right")
-            n[at] = hi - lo
-            for i in np.flatnonzero(hi > lo):
-                found[at[i]] = held[lo[i] : hi[i]]
-        return n, np.concatenate([np.zeros(0, PLACE), *found])
-
-
-def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    first, last, row = tx.spans(data, at)
-    return first, last, row, tx.hash_spans(data, first, last)
-
-
-def _documents(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.where("text is not null").select(F.xxhash64("doc_id", text).alias("doc"), "doc_id", text.alias("text"))
-
-
 def _chosen(doc: np.ndarray, texts: pa.Array, window: int, spread: int) -> Iterator[tuple[np.ndarray, ...]]:
     """For each piece of the texts: the document of each row, row and hash of each word, hash and first word of each chosen window."""
     for start, data, at in tx.pieces(texts):
@@ -204,16 +102,17 @@ def windows(docs: DataFrame, parts: int, window: int, spread: int, reach: int) -
                 left, right = np.minimum(place, reach), np.minimum(np.searchsorted(row, own, "right") - begin - window, reach)
                 x = begin - left
                 around = tx.mix((sums[begin + window + right] - sums[x]) * tx._power("i", len(word) + 1)[x] + (left * (reach + 1) + right).astype(U))
-                yield _record(ENTRY, h, doc[own], place), around
+                yield record(ENTRY, h, doc[own], place), around
 
-    return _documents(docs).select("doc", "text").mapInArrow(lambda b: _all_packed(run(b), "fp", parts), "part int, body binary, around binary")
+    return _documents(docs).select("doc", "text").mapInArrow(lambda b: pack_all(run(b), "fp", parts), "part int, body binary, around binary")
 
 
 def differing(packed: DataFrame, entries: Files, differ: Files) -> None:
     """Save the windows by ranges, and the fingerprints that stand in different surroundings."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        own, around = _unpacked(rows["body"], ENTRY), _unpacked(rows["around"], U)
+        tx.give_back()
+        own, around = unpack(rows["body"], ENTRY), unpack(rows["around"], U)
         by = np.argsort(own["fp"])
         own, around = own[by], around[by]
         fp = own["fp"].copy()
@@ -242,9 +141,9 @@ def wide(docs: DataFrame, differ: Files, parts: int, window: int, spread: int, r
                 np.add.at(change, place + 1, -1)
                 k = np.flatnonzero(np.cumsum(change)[begin] > 0)
                 own = row[begin[k]]
-                yield (_record(ENTRY, h[k], doc[own], begin[k] - np.searchsorted(row, own)),)
+                yield (record(ENTRY, h[k], doc[own], begin[k] - np.searchsorted(row, own)),)
 
-    return _documents(docs).select("doc", "text").mapInArrow(lambda b: _all_packed(run(b), "fp", parts), "part int, body binary")
+    return _documents(docs).select("doc", "text").mapInArrow(lambda b: pack_all(run(b), "fp", parts), "part int, body binary")
 
 
 def merged(own: np.ndarray, size: np.ndarray, runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -265,10 +164,10 @@ def merged(own: np.ndarray, size: np.ndarray, runs: list[np.ndarray]) -> tuple[n
             at = np.minimum(np.searchsorted(held, fps), len(held) - 1)
             same = np.flatnonzero(held[at] == fps)
             known[same], doc0[same], place0[same] = True, run["doc"][at[same]], run["place"][at[same]]
-    new = _record(ENTRY, fps[~known], doc0[~known], place0[~known])
+    new = record(ENTRY, fps[~known], doc0[~known], place0[~known])
     doc0, place0 = doc0[group], place0[group]
     again = (doc != doc0) | (place != place0)
-    return new, _record(HIT, *(x[again] for x in (doc, doc0, place, place0, size)))
+    return new, record(HIT, *(x[again] for x in (doc, doc0, place, place0, size)))
 
 
 def compacted(runs: list[np.ndarray]) -> np.ndarray:
@@ -340,11 +239,12 @@ class Log:
 
         def run(key: tuple, rows: pa.Table) -> pa.Table:
             part = key[0].as_py()
-            own = _unpacked(rows["body"], ENTRY)
-            more = np.zeros(0, ENTRY) if entries is None else entries.part(part, ENTRY)
-            sizes = np.repeat(np.array([size, of], np.int32), [len(own), len(more)])
-            own = np.concatenate([own, more])
-            number = (own["doc"].view(U) >> U(40)) % U(batches)
+            tx.give_back()
+            more = [] if entries is None else [Files(entries.uri, parts).part(part, ENTRY)]
+            own = np.concatenate([unpack(rows["body"], ENTRY), *more])
+            sizes = np.full(len(own), size, np.int32)
+            sizes[len(own) - sum(map(len, more)) :] = of
+            number = ((own["doc"].view(U) >> U(40)) % U(batches)).astype(np.int32)
             runs = {x: Files(f"{root}/{x}", parts).part(part, ENTRY) for x in old}
             hits, batch = [], 0
             for name, merge in steps:
@@ -358,7 +258,7 @@ class Log:
             for name in stay.difference(old):
                 Files(f"{root}/{name}", parts).save(part, runs[name])
             found = np.concatenate(hits)
-            return pa.Table.from_batches([_packed(found["doc"].copy(), parts, found)]) if len(found) else pa.table({"part": pa.array([], pa.int32()), "body": pa.array([], pa.binary())})
+            return pa.Table.from_batches([pack(found["doc"].copy(), parts, found)]) if len(found) else pa.table({"part": pa.array([], pa.int32()), "body": pa.array([], pa.binary())})
 
         every = packed.unionAll(self.spark.range(parts).selectExpr("cast(id as int) part", "cast(null as binary) body"))
         out = every.groupBy("part").applyInArrow(run, "part int, body binary")
@@ -379,14 +279,14 @@ class Log:
 
         def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray]]:
             for b in batches:
-                yield (_record(ENTRY, b.column(0).to_numpy().view(U), b.column(1).to_numpy(), b.column(2).to_numpy()),)
+                yield (record(ENTRY, b.column(0).to_numpy().view(U), b.column(1).to_numpy(), b.column(2).to_numpy()),)
 
         def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x = _unpacked(b.column(1), HIT)
+                x = unpack(b.column(1), HIT)
                 yield pa.RecordBatch.from_arrays([pa.array(x[c].copy()) for c in ("doc", "place", "doc0", "place0")], names=["doc", "place", "doc0", "place0"])
 
-        packed = batch.select("fp", "doc", "place").mapInArrow(lambda b: _all_packed(records(b), "fp", parts), "part int, body binary")
+        packed = batch.select("fp", "doc", "place").mapInArrow(lambda b: pack_all(records(b), "fp", parts), "part int, body binary")
         return self.put_packed(packed, 0).mapInArrow(flat, "doc long, place int, doc0 long, place0 int")
 
 
@@ -409,7 +309,8 @@ def stretches(hits: DataFrame) -> DataFrame:
     """(doc, a, b, doc0, a0, b0): packed matches of ``size`` words at one shift that overlap or touch, joined; word places, b excluded."""
 
     def run(_: tuple, rows: pa.Table) -> pa.Table:
-        own = _unpacked(rows["body"], HIT)
+        tx.give_back()
+        own = unpack(rows["body"], HIT)
         doc, doc0, place, place0, size = (own[c].copy() for c in HIT.names)
         shift = place - place0
         by = np.lexsort((place, shift, doc0, doc))
@@ -431,17 +332,17 @@ def wanted_places(found: DataFrame, places: Files) -> None:
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray]]:
         for b in batches:
             doc, x, y, doc0, x0, y0 = (c.to_numpy() for c in b.columns)
-            yield (np.concatenate([_record(PLACE, doc, x, y), _record(PLACE, doc0, x0, y0)]),)
+            yield (np.concatenate([record(PLACE, doc, x, y), record(PLACE, doc0, x0, y0)]),)
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        own = _unpacked(rows["body"], PLACE)
+        own = unpack(rows["body"], PLACE)
         own = own[np.lexsort((own["b"], own["a"], own["doc"]))]
         # the order of ranges is that of unsigned numbers, within one they are sorted as signed ones
         own = own[np.append(True, own[1:] != own[:-1])[: len(own)]]
         places.save(key[0].as_py(), own)
         return pa.table({"n": pa.array([len(own)])})
 
-    found.mapInArrow(lambda b: _all_packed(records(b), "doc", places.parts), "part int, body binary").groupBy("part").applyInArrow(run, "n long").agg(F.sum("n")).collect()
+    found.mapInArrow(lambda b: pack_all(records(b), "doc", places.parts), "part int, body binary").groupBy("part").applyInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 def contexts(docs: DataFrame, places: Files, reach: int) -> DataFrame:
@@ -450,7 +351,7 @@ def contexts(docs: DataFrame, places: Files, reach: int) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            n, asked = places.places(part.column(0).to_numpy())
+            n, asked = places.rows(part.column(0).to_numpy(), "doc", PLACE)
             part, n = part.filter(pa.array(n > 0)), n[n > 0]
             begin = np.append(0, np.cumsum(n))
             for s in range(0, part.num_rows, 64):

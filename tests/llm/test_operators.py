@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelfacts.llm import ann, bpe, exact_dedup, langid, line_dedup, mixing, pii, shared, simhash, substring_dedup, toxicity
+from labelfacts.llm import ann, bpe, exact_dedup, langid, line_dedup, mixing, packed, pii, shared, simhash, substring_dedup, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h string, keep string, words int, _h3 int"
 WORDS = {"en": "the river carries boats past green hills while people talk about weather and trade".split(), "de": "der fluss trägt boote vorbei an grünen hügeln während leute über wetter und handel sprechen".split()}
@@ -136,6 +136,53 @@ def test_line_groups_equal_brute_force(spark, empty):
     assert line_dedup.line_groups(empty).count() == 0
 
 
+def test_buckets_of_lines_are_neither_broadcast_nor_lost_between_tasks(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(line_dedup, "small", lambda df, *_: asked.append(df.columns) or df, raising=False)
+    rng = random.Random(16)
+    base = [sentence(rng, 12) for _ in range(8)]
+    t = ["\n".join([base[i % 8], base[(i + 3) % 8] + "q" * (i % 3), sentence(rng, 12)]) for i in range(24)]
+    d = spark.createDataFrame(rows(t), DOCS)
+    one = sorted(map(tuple, line_dedup.line_groups(d.coalesce(1)).collect()))
+    assert not asked and len(one) == 48
+    assert sorted(map(tuple, line_dedup.line_groups(d.repartition(7)).collect())) == one
+
+
+def test_shared_buckets_and_files_equal_dictionaries(tmp_path):
+    rng = np.random.default_rng(17)
+    high, h = rng.integers(0, 60, 500), rng.integers(-40, 40, 500)
+    lines: dict = {}
+    for k, x in zip(high.tolist(), h.tolist()):
+        lines.setdefault(k, set()).add(x)
+    for k in range(0, 60, 6):  # some that others contain
+        lines[100 + k] = set(list(lines[k])[:3])
+    flat = np.array([(k, x) for k, v in lines.items() for x in v for _ in range(2)])
+    met = line_dedup.shared_buckets(packed.record(line_dedup.SENT, flat[:, 0], flat[:, 0] * 0, flat[:, 1]))
+    got: dict = {}
+    for k, x, n in met.tolist():
+        got.setdefault(k, set()).add(x)
+    want = {frozenset(x) for x in lines.values() if len(x) > 1}
+    assert {frozenset(x) for x in got.values()} == want and all(n == len(got[k]) for k, _, n in met.tolist())
+    held = np.unique(met)
+    held = held[np.lexsort((held["key"], held["h"]))]
+    # a line of this test is in more buckets than there are bands
+    near = [(k, o) for k in got for o in got if k != o and got[k] & got[o] and len(got[k]) < len(got[o])]
+    pairs = np.array([(k, o, len(got[k])) for k, o in near for _ in got[k] & got[o]], line_dedup.PAIR)
+    inside = {frozenset(got[k]) for k in line_dedup.contained(pairs).tolist()}
+    assert inside == {x for x in want if any(x < y for y in want)} and inside
+    few = held[np.isin(held["key"], held["key"][:12])]
+    of_line = [(k, o) for k, x, n in few.tolist() for o, y, m in few.tolist() if x == y and n < m]
+    assert sorted((k, o) for k, o, _ in line_dedup.overlaps(few).tolist()) == sorted(of_line)
+    held["h"] <<= 57
+    held = held[np.lexsort((held["key"], held["h"]))]
+    files = packed.Files(f"file://{tmp_path}/f", 3)
+    for p in range(3):
+        files.save(p, held[packed.range_of(held["h"].copy(), 3) == p])
+    ask = np.append(held["h"][::7], [1, -1]).astype(np.int64)
+    n, found = files.rows(ask, "h", line_dedup.MEMBER)
+    assert n.tolist() == [int((held["h"] == x).sum()) for x in ask] and found.tolist() == [r for x in ask for r in held[held["h"] == x].tolist()]
+
+
 def test_substrings(spark, empty):
     rng = random.Random(3)
     passage = sentence(rng, 80)
