@@ -6,13 +6,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from . import text as tx
 from .langid import _load, _save
+from .shared import delete
 
 U = np.uint64
 #: Records that a task gathers before it parts them.
 HELD = 200_000
+#: Files that a look-up from any task goes through at most.
+FILES = 16
 
 
 def range_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -60,10 +65,10 @@ def unpack(column: pa.ChunkedArray, kind: np.dtype | type) -> np.ndarray:
 
 
 class Files:
-    """Sorted records in files of the shared folder, one for each range of keys; mapped when they are first asked for. A range without a file is empty."""
+    """Sorted records in files of the shared folder, one for each range of keys, or for ``group`` ranges; mapped when they are first asked for. A range without a file is empty."""
 
-    def __init__(self, uri: str, parts: int) -> None:
-        self.uri, self.parts, self.open = uri, parts, {}
+    def __init__(self, uri: str, parts: int, group: int = 1) -> None:
+        self.uri, self.parts, self.group, self.open = uri, parts, group, {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"open": {}}
@@ -80,9 +85,35 @@ class Files:
                 self.open[part] = np.zeros(0, kind)
         return self.open[part]
 
+    def joined(self, spark: SparkSession, kind: np.dtype | type, most: int = FILES) -> Files:
+        """The same records in at most ``most`` files: what a look-up costs besides its keys doesn't grow with the ranges. Files are copied one after the other,
+        so records have to be sorted as unsigned keys are. The files they come from are removed."""
+        group = -(-self.parts // most)
+        out, count = Files(f"{self.uri}_joined", self.parts, group), -(-self.parts // group)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for g in b.column(0).to_pylist():
+                    own = [self.part(p, kind) for p in range(g * group, min((g + 1) * group, self.parts))]
+                    out._join(g, own, np.dtype(kind))
+                    yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, own))])], names=["n"])
+
+        spark.range(0, count, 1, count).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+        delete(spark, self.uri)
+        return out
+
+    def _join(self, name: int, arrays: list[np.ndarray], kind: np.dtype) -> None:
+        fs, path = pa.fs.FileSystem.from_uri(self.uri)
+        fs.create_dir(path, recursive=True)
+        with fs.open_output_stream(f"{path}/{name}.npy") as to:
+            np.lib.format.write_array_header_1_0(to, {"descr": np.lib.format.dtype_to_descr(kind), "fortran_order": False, "shape": (sum(map(len, arrays)),)})
+            for a in arrays:
+                for s in range(0, len(a), HELD):
+                    to.write(a[s : s + HELD].tobytes())
+
     def ranges(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Each range that has some of the keys, and which."""
-        part = range_of(keys, self.parts)
+        """Each file whose ranges have some of the keys, and which."""
+        part = range_of(keys, self.parts) // self.group
         by = np.lexsort((keys, part))
         there, begin = np.unique(part[by], return_index=True)
         yield from zip(there.tolist(), np.split(by, begin[1:]))
@@ -110,3 +141,25 @@ class Files:
             step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
             out[np.repeat(begin[at], m) + step] = held[np.repeat(lo, m) + step]
         return n, out
+
+    def at(self, keys: np.ndarray, a: np.ndarray, b: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+        """Which (doc, a, b) there are, and their records (zeros for the others). Files that are sorted by these fields, doc as an unsigned number."""
+        known, out, want = np.zeros(len(keys), bool), np.zeros(len(keys), kind), _pair(a, b)
+        for p, at in self.ranges(keys):
+            held = self.part(p, kind)
+            if not len(held):
+                continue
+            lo, hi = np.searchsorted(held["doc"], keys[at]), np.searchsorted(held["doc"], keys[at], "right")
+            end = hi
+            while (open_ := lo < hi).any():  # bisection inside each document
+                mid = np.minimum((lo + hi) >> 1, len(held) - 1)
+                less = _pair(held["a"][mid], held["b"][mid]) < want[at]
+                lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+            there = np.minimum(lo, len(held) - 1)
+            same = (lo < end) & (_pair(held["a"][there], held["b"][there]) == want[at])
+            known[at[same]], out[at[same]] = True, held[there[same]]
+        return known, out
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.astype(np.int64) << 32) | b

@@ -7,7 +7,8 @@ Each window that is in an earlier document (by batch, then by a hash of doc_id a
 batch's own new hashes become a run. A window whose hash stands in different surroundings is put in once more, by all the runs of MIN_WORDS words around it,
 as further hashes of the same log: else a first holder of the window alone would hide a longer passage that two later documents share. FAN runs of one level are merged into one of the next
 (compaction). The log lives in a folder with a manifest and can be opened again for a later batch. Matches that follow each other at
-one shift are joined, verified and lengthened on the words of both documents, and spans of MIN_WORDS words at least are reported.
+one shift are joined, verified and lengthened on the words of both documents, and spans of MIN_WORDS words at least are reported. For that the words around the
+places that others repeat, which are few, are put in mapped files, and each document is read once more and compared with them: no passage is joined with its copies.
 
 Hashes are parted into ranges by their leading bits, as many as spark.sql.shuffle.partitions. A range takes no part in another, so one task carries its range
 through all batches; hashes, matches and places move packed, a binary value for each range, and what many tasks look up lies in mapped files. A range has to fit in
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -36,10 +37,13 @@ from .shared import delete, folder, small, written
 WINDOW, SPREAD, MIN_WORDS = 24, 24, 47
 BATCHES, FAN = 5, 4
 U = np.uint64
-#: A hash and where it first stands; a match; a passage of a document.
+#: A hash and where it first stands; a match; a passage of a document, documents as unsigned numbers; one that repeats another.
 ENTRY = np.dtype([("fp", "u8"), ("doc", "i8"), ("place", "i4")])
 HIT = np.dtype([("doc", "i8"), ("doc0", "i8"), ("place", "i4"), ("place0", "i4"), ("size", "i4")])
-PLACE = np.dtype([("doc", "i8"), ("a", "i4"), ("b", "i4")])
+PLACE = np.dtype([("doc", "u8"), ("a", "i4"), ("b", "i4")])
+FOUND = np.dtype([("doc", "u8"), ("doc0", "u8"), ("a", "i4"), ("b", "i4"), ("a0", "i4"), ("b0", "i4")])
+#: Documents whose passages are looked up at once.
+ROWS = 256
 
 
 def winnow(hashes: np.ndarray, rows: np.ndarray, spread: int) -> np.ndarray:
@@ -290,29 +294,30 @@ class Log:
         return self.put_packed(packed, 0).mapInArrow(flat, "doc long, place int, doc0 long, place0 int")
 
 
-def matches(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, spread: int = SPREAD, min_words: int = MIN_WORDS, fan: int = FAN) -> DataFrame:
-    """The written stretches of the windows that repeat an earlier one, all batches put through the index one after the other. The index is dropped then."""
+def matches(docs: DataFrame, found: Files, batches: int = BATCHES, window: int = WINDOW, spread: int = SPREAD, min_words: int = MIN_WORDS, fan: int = FAN) -> DataFrame:
+    """Save the stretches of the windows that repeat an earlier one, all batches put through the index one after the other; the written places that they repeat.
+    The index is dropped then."""
     spark, path = docs.sparkSession, folder(docs.sparkSession)
     reach = max(min_words, window + spread - 1) - window
     log = Log(spark, fan=fan)
     entries, differ = Files(f"{path}/entries", log.parts), Files(f"{path}/differ", log.parts)
     try:
         differing(windows(docs, log.parts, window, spread, reach), entries, differ)
-        hits = log.put_packed(wide(docs, differ, log.parts, window, spread, reach), window + reach, batches, entries, window)
-        return written(stretches(hits))
+        hits = log.put_packed(wide(docs, differ.joined(spark, U), log.parts, window, spread, reach), window + reach, batches, entries, window)
+        return written(stretches(hits, found))
     finally:
         log.drop()
         delete(spark, path)
 
 
-def stretches(hits: DataFrame) -> DataFrame:
-    """(doc, a, b, doc0, a0, b0): packed matches of ``size`` words at one shift that overlap or touch, joined; word places, b excluded."""
+def stretches(hits: DataFrame, found: Files) -> DataFrame:
+    """Save (doc, doc0, a, b, a0, b0): packed matches of ``size`` words at one shift that overlap or touch, joined; word places, b excluded. Returns the places in doc0, packed."""
 
-    def run(_: tuple, rows: pa.Table) -> pa.Table:
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
         tx.give_back()
         own = unpack(rows["body"], HIT)
         doc, doc0, place, place0, size = (own[c].copy() for c in HIT.names)
-        shift = place - place0
+        doc, doc0, shift = doc.view(U), doc0.view(U), place - place0
         by = np.lexsort((place, shift, doc0, doc))
         doc, doc0, place, shift, end = doc[by], doc0[by], place[by].astype(np.int64), shift[by], (place + size)[by].astype(np.int64)
         other = np.append(True, (doc[1:] != doc[:-1]) | (doc0[1:] != doc0[:-1]) | (shift[1:] != shift[:-1]))
@@ -321,108 +326,153 @@ def stretches(hits: DataFrame) -> DataFrame:
         first = np.flatnonzero(other | (base + place > np.append(-1, far[:-1])))
         last = np.append(first[1:], len(doc)) - 1
         a, b, s = place[first].astype(np.int32), (far[last] - base[last]).astype(np.int32), shift[first]
-        return pa.table([doc[first], a, b, doc0[first], a - s, b - s], names=["doc", "a", "b", "doc0", "a0", "b0"])
+        found.save(key[0].as_py(), record(FOUND, doc[first], doc0[first], a, b, a - s, b - s))
+        firsts = _once(record(PLACE, doc0[first], a - s, b - s))
+        return pa.Table.from_batches([pack(firsts["doc"].copy(), found.parts, firsts)])
 
-    return hits.groupBy("part").applyInArrow(run, "doc long, a int, b int, doc0 long, a0 int, b0 int")
+    return hits.groupBy("part").applyInArrow(run, "part int, body binary")
 
 
-def wanted_places(found: DataFrame, places: Files) -> None:
-    """Save the passages of both sides, each once, by document."""
+def _once(own: np.ndarray) -> np.ndarray:
+    """Records by document and place, one of each."""
+    own = own[np.lexsort((own["b"], own["a"], own["doc"]))]
+    differs = np.zeros(max(len(own) - 1, 0), bool)
+    for c in PLACE.names:
+        differs |= own[c][1:] != own[c][:-1]
+    return own[np.append(True, differs)[: len(own)]]
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray]]:
-        for b in batches:
-            doc, x, y, doc0, x0, y0 = (c.to_numpy() for c in b.columns)
-            yield (np.concatenate([record(PLACE, doc, x, y), record(PLACE, doc0, x0, y0)]),)
+
+def save_places(packed: DataFrame, files: Files, kind: np.dtype) -> Files:
+    """Packed records of places saved, each place once, by document; in few files."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        own = unpack(rows["body"], PLACE)
-        own = own[np.lexsort((own["b"], own["a"], own["doc"]))]
-        # the order of ranges is that of unsigned numbers, within one they are sorted as signed ones
-        own = own[np.append(True, own[1:] != own[:-1])[: len(own)]]
-        places.save(key[0].as_py(), own)
+        tx.give_back()
+        own = _once(unpack(rows["body"], kind))
+        files.save(key[0].as_py(), own)
         return pa.table({"n": pa.array([len(own)])})
 
-    found.mapInArrow(lambda b: pack_all(records(b), "doc", places.parts), "part int, body binary").groupBy("part").applyInArrow(run, "n long").agg(F.sum("n")).collect()
+    packed.groupBy("part").applyInArrow(run, "n long").agg(F.sum("n")).collect()
+    return files.joined(packed.sparkSession, kind)
 
 
-def contexts(docs: DataFrame, places: Files, reach: int) -> DataFrame:
-    """For each wanted (doc, a, b) of the files: the hash of words a..b, and up to ``reach`` words on either side from the near to the far: 32 bits of each one's hash, and by how many
-    characters it moves the passage's edge. A chance equality there (1 in 4e9) would move an edge by a word; the passage itself is compared by 64 bits."""
+def _asked(batches: Iterator[pa.RecordBatch], asked: Files, kind: np.dtype) -> Iterator[tuple]:
+    """The rows of (doc, doc_id, text) that have records in the files, by pieces of their texts: rows, bytes, row offsets; the records and the row of each."""
+    for part in batches:
+        n, held = asked.rows(part.column(0).to_numpy().view(U), "doc", kind)
+        part, n = part.filter(pa.array(n > 0)), n[n > 0]
+        begin = np.append(0, np.cumsum(n))
+        for s in range(0, part.num_rows, ROWS):
+            b = part.slice(s, ROWS)
+            for start, data, at in tx.pieces(b.column(2)):
+                i, rows = s + start, len(at) - 1
+                yield b.slice(start, rows), data, at, held[begin[i] : begin[i + rows]], np.repeat(np.arange(rows), n[i : i + rows])
+
+
+def context(reach: int) -> np.dtype:
+    """A passage with the hash of its words, how many of up to ``reach`` words there are on either side, and 32 bits of each one's hash, from the near to the far."""
+    return np.dtype([("doc", "u8"), ("a", "i4"), ("b", "i4"), ("body", "u8"), ("left", "i4"), ("right", "i4"), ("near", "u4", (2, reach))])
+
+
+def _contexts(doc: np.ndarray, a: np.ndarray, b: np.ndarray, row: np.ndarray, word: np.ndarray, own: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts of words a..b of the given rows, and the first word of each one's row. A chance equality of near words (1 in 4e9) would move an edge by a word;
+    the passage itself is compared by 64 bits."""
+    head, tail = np.searchsorted(row, own), np.searchsorted(row, own, "right")
+    x, y = head + a, head + b
+    sums = np.append(U(0), np.cumsum(tx.mix(word ^ U(0x452821E638D01377)) * tx._power("p", len(word))))
+    full = np.zeros(len(x), context(reach))
+    full["doc"], full["a"], full["b"] = doc, a, b
+    full["body"] = tx.mix((sums[y] - sums[x]) * tx._power("i", len(word) + 1)[x])
+    full["left"], full["right"] = np.minimum(x - head, reach), np.minimum(tail - y, reach)
+    half, step = (word >> U(32)).astype(np.uint32), np.arange(reach)
+    full["near"][:, 0] = half[np.maximum(x[:, None] - 1 - step, 0)]
+    full["near"][:, 1] = half[np.minimum(y[:, None] + step, len(word) - 1)]
+    return full, head
+
+
+def contexts(own: DataFrame, firsts: Files, reach: int) -> DataFrame:
+    """The contexts of the files' places, packed by document, and rows of (doc, doc_id) of these documents."""
+    kind, parts = own.schema["doc_id"].dataType.simpleString(), firsts.parts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, data, at, here, rows in _asked(batches, firsts, PLACE):
+            _, _, row, word = _words(data, at)
+            full, _ = _contexts(here["doc"], here["a"], here["b"], row, word, rows, reach)
+            packed = pack(full["doc"].copy(), parts, full)
+            m, n = packed.num_rows, b.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([x, pa.nulls(n, x.type)]) for x in packed.columns] + [pa.concat_arrays([pa.nulls(m, x.type), x]) for x in b.columns[:2]], names=["part", "body", "doc", "doc_id"]
+            )
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            n, asked = places.rows(part.column(0).to_numpy(), "doc", PLACE)
-            part, n = part.filter(pa.array(n > 0)), n[n > 0]
-            begin = np.append(0, np.cumsum(n))
-            for s in range(0, part.num_rows, 64):
-                m = n[s : s + 64]
-                yield from cut(part.slice(s, 64), m, asked[begin[s] : begin[s + len(m)]])
+    return own.select("doc", "doc_id", "text").mapInArrow(run, f"part int, body binary, doc long, doc_id {kind}")
 
-    def cut(b: pa.RecordBatch, n: np.ndarray, asked: np.ndarray) -> Iterator[pa.RecordBatch]:
-        begin = np.append(0, np.cumsum(n))
-        for start, data, at in tx.pieces(b.column(2)):
+
+def islands(own: DataFrame, found: Files, theirs: Files, reach: int, min_words: int) -> DataFrame:
+    """(doc, doc_id, a, start, end, words, doc0): stretches verified and lengthened on the words of both documents, those that overlap or touch joined,
+    with each document that one of least a repeats."""
+    kind = own.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, at, here, of in _asked(batches, found, FOUND):
+            known, there = theirs.at(here["doc0"].copy(), here["a0"], here["b0"], context(reach))
             first, last, row, word = _words(data, at)
+            full, head = _contexts(here["doc"], here["a"], here["b"], row, word, of, reach)
+            k = np.flatnonzero(known & (full["body"] == there["body"]))
+            if not len(k):
+                continue
+            here, there, full, head, of = here[k], there[k], full[k], head[k], of[k]
+            same = full["near"] == there["near"]
+            for i, side in enumerate(("left", "right")):
+                same[:, i] &= np.arange(reach) < np.minimum(full[side], there[side])[:, None]
+            left, right = np.logical_and.accumulate(same, axis=2).sum(axis=2).T
+            a, b = here["a"] - left, here["b"] + right
             chars = np.cumsum(np.append(0, (data & 0xC0) != 0x80))
-            rows = len(at) - 1
-            here = asked[begin[start] : begin[start + rows]]
-            own = np.repeat(np.arange(rows), n[start : start + rows])
-            head, tail = np.searchsorted(row, own), np.searchsorted(row, own, "right")
-            x, y = head + here["a"], head + here["b"]
-            sums = np.append(U(0), np.cumsum(tx.mix(word ^ U(0x452821E638D01377)) * tx._power("p", len(word))))
-            body = tx.mix((sums[y] - sums[x]) * tx._power("i", len(word) + 1)[x])
-            left, right = np.minimum(x - head, reach), np.minimum(tail - y, reach)
-
-            def near(begin: np.ndarray, n: np.ndarray, by: int) -> np.ndarray:
-                return np.repeat(begin, n) + by * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-
-            def put(values: np.ndarray, n: np.ndarray) -> pa.Array:
-                return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values))
-
-            base, l_at, r_at = chars[at[own]], near(x - 1, left, -1), near(y, right, 1)
-            take = pa.array(start + own)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).take(take), b.column(1).take(take), pa.array((x - head).astype(np.int32)), pa.array((y - head).astype(np.int32)), pa.array(body.view(np.int64)),
-                    pa.array((chars[first[x]] - base).astype(np.int32)), pa.array((chars[last[y - 1]] - base).astype(np.int32)),
-                    put((word[l_at] >> U(32)).astype(np.uint32).view(np.int32), left), put((chars[first[l_at + 1]] - chars[first[l_at]]).astype(np.int32), left),
-                    put((word[r_at] >> U(32)).astype(np.uint32).view(np.int32), right), put((chars[last[r_at]] - chars[last[r_at - 1]]).astype(np.int32), right),
-                ],
-                names=["doc", "doc_id", "a", "b", "body", "start", "end", "lw", "ls", "rw", "re"],
-            )
-
+            zero = chars[at[of]]
+            start, end, doc0 = chars[first[head + a]] - zero, chars[last[head + b - 1]] - zero, here["doc0"]
+            by = np.lexsort((doc0, a, of))
+            a, b, start, end, doc0, of = (x[by] for x in (a, b, start, end, doc0, of))
+            base = of.astype(np.int64) << 32
+            far = np.maximum.accumulate(base + b)
+            begin = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (base[1:] + a[1:] > far[:-1])))
+            size = np.diff(np.append(begin, len(a)))
+            start, end, low = np.minimum.reduceat(start, begin), np.maximum.reduceat(end, begin), a[begin]
+            words = np.maximum.reduceat(b, begin) - low
+            n = np.repeat(np.arange(len(begin)), size)
+            keep = np.flatnonzero((a == low[n]) & (words[n] >= min_words) & np.append(True, (n[1:] != n[:-1]) | (doc0[1:] != doc0[:-1])))
+            n, take = n[keep], pa.array(of[keep])
+            ints = [pa.array(x[n].astype(np.int32)) for x in (low, start, end, words)]
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), *ints, pa.array(doc0[keep].view(np.int64))], names=["doc", "doc_id", "a", "start", "end", "words", "doc0"])
+
+    return own.select("doc", "doc_id", "text").mapInArrow(run, f"doc long, doc_id {kind}, a int, start int, end int, words int, doc0 long")
+
+
+def _distinct(docs: DataFrame) -> DataFrame:
+    """The documents, each once: only rows that stand there more than once are moved to make them one."""
     every = _documents(docs)
-    # only rows that stand there more than once are moved to make them one; the wanted places are distinct already
     again = written(every.groupBy("doc").count().where("count > 1").select("doc"))
-    own = every
-    if not again.isEmpty():
-        again = small(again)
-        own = every.join(again, "doc", "left_anti").unionAll(every.join(again, "doc", "left_semi").dropDuplicates(["doc"]))
-    kind = own.schema["doc_id"].dataType.simpleString()
-    return own.select("doc", "doc_id", "text").mapInArrow(run, f"doc long, doc_id {kind}, a int, b int, body long, start int, end int, lw array<int>, ls array<int>, rw array<int>, re array<int>")
+    if again.isEmpty():
+        return every
+    again = small(again)
+    return every.join(again, "doc", "left_anti").unionAll(every.join(again, "doc", "left_semi").dropDuplicates(["doc"]))
 
 
 def spans(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, spread: int = SPREAD, min_words: int = MIN_WORDS, fan: int = FAN) -> DataFrame:
-    """(doc_id, start, end, words, first_doc_id) of the repeated passages: text[start:end] in characters, and the document that its first part repeats."""
-    found = matches(docs, batches, window, spread, min_words, fan)
-    path = folder(docs.sparkSession)
-    places = Files(path, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """(doc_id, start, end, words, first_doc_id) of the repeated passages: text[start:end] in characters, and the document that its first part repeats.
+
+    The contexts of places that others repeat are few, and lie in mapped files; a document is read once more, compared with them and its passages joined on the spot."""
+    spark, path = docs.sparkSession, folder(docs.sparkSession)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = Files(f"{path}/found", parts)
     try:
-        wanted_places(found, places)
-        cut = written(contexts(docs, places, spread))
+        firsts = save_places(matches(docs, found, batches, window, spread, min_words, fan), Files(f"{path}/firsts", parts), PLACE)
+        found, own = found.joined(spark, FOUND), _distinct(docs)
+        cut = written(contexts(own, firsts, spread))
+        theirs = save_places(cut.where("part is not null").select("part", "body"), Files(f"{path}/theirs", parts), context(spread))
+        joined = written(islands(own, found, theirs, spread, min_words))
     finally:
-        delete(docs.sparkSession, path)
-    first = cut.select(F.col("doc").alias("doc0"), F.col("a").alias("a0"), F.col("b").alias("b0"), F.col("body").alias("body0"), F.col("lw").alias("lw0"), F.col("rw").alias("rw0"), F.col("doc_id").alias("first_doc_id"))
-    same = lambda x, y: F.coalesce(F.nullif(F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), False), F.lit(0)) - 1, F.size(x)).cast("int")
-    sum_of = lambda c, n: F.aggregate(F.slice(c, F.lit(1), F.col(n)), F.lit(0), lambda x, y: x + y)
-    both = found.join(cut, ["doc", "a", "b"]).join(first, ["doc0", "a0", "b0"]).where("body = body0").withColumns({"l": same("lw", "lw0"), "r": same("rw", "rw0")})
-    full = both.select(
-        "doc", "doc_id", "first_doc_id", (F.col("a") - F.col("l")).alias("a"), (F.col("b") + F.col("r")).alias("b"),
-        (F.col("start") - sum_of("ls", "l")).alias("start"), (F.col("end") + sum_of("re", "r")).alias("end"),
-    )
-    by = Window.partitionBy("doc").orderBy("a", "b", "first_doc_id")
-    islands = full.withColumn("new", F.coalesce(F.col("a") > F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")).withColumn("n", F.sum("new").over(by))
-    joined = islands.groupBy("doc", "n").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), (F.max("b") - F.min("a")).alias("words"), F.min_by("first_doc_id", F.struct("a", F.col("first_doc_id").isNull(), "first_doc_id")).alias("first_doc_id"))
-    return joined.where(F.col("words") >= min_words).select("doc_id", "start", "end", "words", "first_doc_id")
+        delete(spark, path)
+    ids = cut.where("doc is not null").select(F.col("doc").alias("doc0"), F.col("doc_id").alias("first_doc_id"))
+    each = joined.join(ids, "doc0").groupBy("doc", "a").agg(*(F.first(c).alias(c) for c in ("doc_id", "start", "end", "words")), F.min_by("first_doc_id", F.struct(F.col("first_doc_id").isNull(), "first_doc_id")).alias("first_doc_id"))
+    return each.select("doc_id", "start", "end", "words", "first_doc_id")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,6 +263,39 @@ def test_substrings_send_nothing_that_grows_to_the_driver(spark, monkeypatch):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got.collect())) and asked == [["doc"]]
 
 
+def test_joined_files_bound_what_a_look_up_opens(spark, tmp_path):
+    rng = np.random.default_rng(16)
+    for parts in (1, 5, 333):
+        doc = np.unique(rng.integers(0, 2**64, 500, dtype=np.uint64))
+        held = np.concatenate([packed.record(substring_dedup.PLACE, doc, np.full(len(doc), a), np.full(len(doc), a + 50)) for a in (0, 3, 70)])
+        held = np.sort(held, order=["doc", "a", "b"])
+        files = packed.Files(f"file://{tmp_path}/{parts}", parts)
+        ranges = packed.range_of(held["doc"].copy(), parts)
+        for p in set(ranges.tolist()):
+            files.save(p, held[ranges == p])
+        joined = files.joined(spark, substring_dedup.PLACE)
+        ask = np.append(doc[::3], np.array([1, 2**64 - 1], np.uint64))
+        assert len(list(joined.ranges(ask))) <= packed.FILES
+        n, found = joined.rows(ask, "doc", substring_dedup.PLACE)
+        assert n.tolist() == [3] * len(doc[::3]) + [0, 0] and found.tolist() == [r for d in ask for r in held[held["doc"] == d].tolist()]
+        known, there = joined.at(np.repeat(ask, 2), np.tile([3, 4], len(ask)), np.tile([53, 54], len(ask)), substring_dedup.PLACE)
+        assert known.tolist() == [True, False] * len(doc[::3]) + [False] * 4 and there[known]["doc"].tolist() == doc[::3].tolist() and set(there[known]["b"]) == {53}
+
+
+def test_a_passage_of_many_documents_meets_in_no_join(spark):
+    rng = random.Random(17)
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    passage = words(80)
+    t = [f"{words(50)} {passage} {words(50)}" for _ in range(300)]
+    got = substring_dedup.spans(spark.createDataFrame(rows(t), DOCS))
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "zip_with" not in plan and "windowspec" not in plan.lower() and plan.count("Join") == 1  # one for the first document's id, by finished passages
+    got = got.collect()
+    first = got[0].first_doc_id
+    assert sorted(r.doc_id for r in got) == [i for i in range(300) if i != first]
+    assert all(r.first_doc_id == first and r.words == 80 and t[r.doc_id][r.start : r.end] == passage for r in got)
+
+
 def test_log_goes_on_where_it_was_left(spark, tmp_path):
     rng = np.random.default_rng(14)
     parts = [[(int(f), int(d), int(p)) for f, d, p in zip(rng.integers(0, 60, 40), rng.integers(b * 10, b * 10 + 10, 40), rng.integers(0, 99, 40))] for b in range(6)]
