@@ -91,7 +91,8 @@ def _chosen(doc: np.ndarray, texts: pa.Array, window: int, spread: int) -> Itera
         h, begin = tx.windows(word, row, window)
         if len(h):
             k = winnow(h, row[begin], spread)
-            yield doc[start : start + len(at) - 1], row, word, h[k], begin[k]
+            # the least hashes are small ones, and would all be in the first ranges; mixing is one to one
+            yield doc[start : start + len(at) - 1], row, word, tx.mix(h[k]), begin[k]
 
 
 def windows(docs: DataFrame, parts: int, window: int, spread: int, reach: int) -> DataFrame:

@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,6 +297,14 @@ def test_a_passage_of_many_documents_meets_in_no_join(spark):
     assert all(r.first_doc_id == first and r.words == 80 and t[r.doc_id][r.start : r.end] == passage for r in got)
 
 
+def test_chosen_windows_fill_all_ranges_evenly():
+    rng = random.Random(18)
+    text = pa.array([" ".join(f"w{rng.randrange(10**9)}" for _ in range(4000)) for _ in range(20)])
+    fp = np.concatenate([h for _, _, _, h, _ in substring_dedup._chosen(np.arange(20), text, substring_dedup.WINDOW, substring_dedup.SPREAD)])
+    n = np.bincount(packed.range_of(fp, 50), minlength=50)
+    assert n.sum() > 5000 and n.max() < 2 * n.mean() and n.min() > n.mean() / 2
+
+
 def test_log_goes_on_where_it_was_left(spark, tmp_path):
     rng = np.random.default_rng(14)
     parts = [[(int(f), int(d), int(p)) for f, d, p in zip(rng.integers(0, 60, 40), rng.integers(b * 10, b * 10 + 10, 40), rng.integers(0, 99, 40))] for b in range(6)]
