@@ -1,7 +1,7 @@
 """Operator 8: byte-level BPE encoding and decoding.
 
-Whole texts are encoded, an Arrow batch at a time: each distinct pretoken by the tokenizers library, once in a worker, and its ids put
-wherever it stands. A token stands for some bytes of the UTF-8 text, so
+Whole texts are encoded, an Arrow batch at a time: parted into pretokens by numpy, then each distinct pretoken by the tokenizers library,
+once in a worker, and its ids put wherever it stands. A token stands for some bytes of the UTF-8 text, so
 the running sum of the tokens' byte lengths gives byte offsets; a count of the bytes that begin a character maps these to
 character offsets. A character that is split over tokens belongs to the span of each of them. Decoding looks every token's bytes up in
 the reversed byte table and joins them before UTF-8 is read, so split characters come back whole.
@@ -14,8 +14,11 @@ A vocabulary whose pre-tokenizer isn't the byte-level one without a prefix blank
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
 import os
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,51 +79,126 @@ def _load(path: str):
 
 
 class _Words:
-    """Ids of the pretokens met so far in this worker, each encoded once by the library; emptied when large."""
+    """Ids and spans of the pretokens met so far in this worker, each encoded once by the library; emptied when large."""
 
     def __init__(self, path: str, most: int = 250_000) -> None:
         self.path, self.most = path, most
-        self.index: dict[str, int] = {}
-        self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.index: defaultdict[str, int] = defaultdict(itertools.count().__next__)  # a new word gets the next number
+        self.at, self.chars = np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.ids, self.first, self.last = (np.zeros(0, np.int32) for _ in range(3))
 
-    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in order, the number of ids of each."""
-        if len(self.index) > self.most:
+    def look_up(self, words: list[str]) -> np.ndarray:
+        """The number of each of the words, which differ."""
+        if max(len(self.index), len(self.ids) // 8) > self.most:
             self.__init__(self.path, self.most)
-        new = list(set(words) - self.index.keys())
-        if new:
-            made = [e.ids for e in _load(self.path)[0].encode_batch_fast(new, add_special_tokens=False)]
-            self.index.update(zip(new, range(len(self.at) - 1, len(self.at) - 1 + len(new))))
-            self.ids = np.concatenate([self.ids, np.array([i for x in made for i in x], np.int32)])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in made])])
         k = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        size = self.at[k + 1] - self.at[k]
-        ends = np.cumsum(size)
-        return self.ids[np.repeat(self.at[k] - ends + size, size) + np.arange(ends[-1] if len(k) else 0)], size
+        new = [words[i] for i in np.flatnonzero(k >= len(self.chars))]
+        if new:
+            t, _, at = _load(self.path)
+            made = [e.ids for e in t.encode_batch_fast(new, add_special_tokens=False)]
+            rows = np.concatenate([[0], np.cumsum([len(x) for x in made])])
+            ids = np.fromiter(itertools.chain.from_iterable(made), np.int32, rows[-1])
+            first, last = _spans(at[ids + 1] - at[ids], np.frombuffer("".join(new).encode(), np.uint8), rows)
+            self.at = np.concatenate([self.at, self.at[-1] + rows[1:]])
+            self.chars = np.concatenate([self.chars, [len(w) for w in new]])
+            self.ids, self.first, self.last = (np.concatenate(x) for x in ((self.ids, ids), (self.first, first), (self.last, last)))
+        return k
+
+
+def _spans(length: np.ndarray, body: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First character of each token's span and the one after the last, counted in its row; length is in bytes, rows has where each row's tokens begin."""
+    ends = np.cumsum(length)
+    begins = ends - length
+    heads = (body & 0xC0) != 0x80
+    before = np.zeros(len(body) + 1, np.int32)  # characters that begin before each byte
+    np.cumsum(heads, out=before[1:])
+    inside = ~np.append(heads, True)[begins]
+    first = np.repeat(before[np.append(begins, len(body))[rows[:-1]]], np.diff(rows))
+    return before[begins] - inside - first, before[ends] - first
 
 
 #: How the vocabulary's pre-tokenizer parts a text; a pretoken given alone isn't parted further, so its ids are the same there.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_BLANK, _LETTER, _NUMBER, _OTHER = range(4)
 _words: dict[str, _Words] = {}
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """The kind of every code point in PRETOKEN."""
+    chars, kinds = "".join(map(chr, range(0x110000))), np.full(0x110000, _OTHER, np.uint8)
+    for kind, runs in ((_BLANK, r"\s+"), (_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
+        for m in regex.finditer(runs, chars):
+            kinds[m.start() : m.end()] = kind
+    return kinds
+
+
+def _kind_of_bytes(body: np.ndarray) -> np.ndarray:
+    """The kind of the character that each byte of UTF-8 belongs to."""
+    out = _kinds()[:256][body]
+    lead = np.flatnonzero(body >= 0xC0)
+    if len(lead):
+        head = body[lead].astype(np.int32)
+        more = 1 + (head >= 0xE0) + (head >= 0xF0)  # bytes behind the first
+        code, behind = head & (0x3F >> more), [np.flatnonzero(more >= i) for i in (1, 2, 3)]
+        for i, x in enumerate(behind, 1):
+            code[x] = code[x] << 6 | body[lead[x] + i] & 0x3F
+        kind = _kinds()[code]
+        out[lead] = kind
+        for i, x in enumerate(behind, 1):
+            out[lead[x] + i] = kind[x]
+    return out
+
+
+def pretokens(body: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where PRETOKEN's matches begin in texts of UTF-8, whose bytes are body[rows[i]:rows[i + 1]].
+
+    A pretoken is a run of one kind, but for three cases: the last character of blanks before something else stands alone or, if it is
+    " ", belongs to what follows; an apostrophe that begins a pretoken takes the letters of a contraction; a run ends with its text."""
+    n = len(body)
+    if not n:
+        return np.zeros(0, np.int64)
+    kind = _kind_of_bytes(body)
+    edge, starts = np.zeros(n + 1, bool), np.ones(n + 1, bool)
+    edge[rows] = True
+    np.not_equal(kind[1:], kind[:-1], out=starts[1:n])
+    starts |= edge
+    runs = np.flatnonzero(starts)
+    begins, ends = runs[:-1], runs[1:]
+    end = ends[(kind[begins] == _BLANK) & ~edge[ends]]
+    last = end - 1
+    for _ in range(2):  # no blank has more than three bytes
+        last = last - ((body[last] & 0xC0) == 0x80)
+    starts[last] = True
+    starts[end[body[last] == ord(" ")]] = False
+    one = begins[(body[begins] == ord("'")) & (ends - begins == 1) & ~edge[ends]]
+    one = one[starts[one]] + 1
+    two = np.where(edge[one + 1], 0, body[np.minimum(one + 1, n - 1)])
+    short = np.isin(body[one], np.frombuffer(b"stmd", np.uint8))
+    long = ((body[one] == ord("r")) | (body[one] == ord("v"))) & (two == ord("e")) | (body[one] == ord("l")) & (two == ord("l"))
+    starts[one[short | long]] = False
+    starts[one[short] + 1] = True
+    starts[one[long] + 2] = True
+    return np.flatnonzero(starts[:n])
+
+
 def encode_texts(texts: list[str], path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all texts, for each id the first character of its span and the one after the last, and where each text's ids begin."""
-    _, _, at = _load(path)
-    parts = [PRETOKEN.findall(t) for t in texts]
-    words = [w for p in parts for w in p]
-    ids, size = _words.setdefault(path, _Words(path)).look_up(words)
-    rows = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int64)]
-    length = at[ids + 1] - at[ids]
-    ends = np.cumsum(length)
-    begins = ends - length
-    body = np.frombuffer("".join(texts).encode(), np.uint8)
-    heads = (body & 0xC0) != 0x80
-    before = np.zeros(len(body) + 1, np.int32)  # characters that begin before each byte
-    np.cumsum(heads, out=before[1:])
-    inside = ~np.append(heads, True)[begins]
-    first = np.repeat(before[np.append(begins, len(body))[rows[:-1]]], np.diff(rows))
-    return ids, before[begins] - inside - first, before[ends] - first, rows
+    raw = [t.encode() for t in texts]
+    data, bounds = b"".join(raw), np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)])
+    starts = pretokens(np.frombuffer(data, np.uint8), bounds)
+    offsets = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
+    parts = pa.Array.from_buffers(pa.string(), len(starts), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+    known = _words.setdefault(path, _Words(path))
+    k = known.look_up(parts.dictionary.to_numpy(zero_copy_only=False).tolist())[parts.indices.to_numpy()]
+    of = np.searchsorted(starts, bounds)  # where each text's pretokens begin
+    size, chars = known.at[k + 1] - known.at[k], known.chars[k]
+    ends, place = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(chars)])
+    place = (place[:-1] - np.repeat(place[of[:-1]], np.diff(of))).astype(np.int32)
+    at = np.repeat(known.at[k] - ends[:-1], size)
+    at += np.arange(ends[-1])
+    place = np.repeat(place, size)
+    return known.ids[at], known.first[at] + place, known.last[at] + place, ends[of]
 
 
 def decode_ids(ids: np.ndarray, at_rows: np.ndarray, path: str = VOCABULARY) -> list[str]:

@@ -502,6 +502,21 @@ def test_bpe_round_trip_and_offsets(spark, docs, empty):
     assert bpe.round_trip(d).where("same = false").count() == 0 and bpe.encode(empty).count() == 0
 
 
+def test_bpe_parts_texts_as_its_pattern_and_looks_each_word_up_once(monkeypatch):
+    rng = random.Random(8)
+    pool = [*"  '''\n\t stmdrevlabAZ09.-é日Ⅳ٣", "\u3000", "\u2028", "\xa0", "\x85", "\x1c", "😀", "\u0301", "'re", "'ll", " '", "\0"]
+    texts = ["", *("".join(rng.choice(pool) for _ in range(rng.randrange(14))) for _ in range(20_000)), ""]
+    raw = [t.encode() for t in texts]
+    rows = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    sizes = [len(w.encode()) for t in texts for w in bpe.PRETOKEN.findall(t)]
+    assert np.array_equal(bpe.pretokens(np.frombuffer(b"".join(raw), np.uint8), rows), np.cumsum([0, *sizes])[:-1])
+    asked, look_up = [], bpe._Words.look_up
+    monkeypatch.setattr(bpe._Words, "look_up", lambda self, words: asked.extend(words) or look_up(self, words))
+    ids, first, last, at = bpe.encode_texts(["it's so it's so"] * 100 + ["", "so"])
+    assert sorted(asked) == [" it", " so", "'s", "it", "so"]
+    assert at[-1] == len(ids) == len(first) == len(last) and bpe.decode_ids(ids.astype(np.int64), at)[-3:] == ["it's so it's so", "", "so"]
+
+
 @pytest.mark.parametrize(
     ("text", "kind", "source"),
     [
