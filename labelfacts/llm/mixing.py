@@ -3,13 +3,13 @@
 A softmax classifier over hashed text features, fitted with numpy on a bounded sample of a labelled table, gives every document a
 posterior over domains. Document i with n_i tokens (words between white space) and posterior p_i adds r_i * n_i * p_id expected tokens to
 domain d when it is taken at rate r_i. The rates minimise the squared difference of these totals from total * weight_d,
-each over the domain's present size, under r_i >= floor, by accelerated projected gradient steps with a 1 / n_i metric from r_i = 1. The
+each over the domain's present size (or a hundredth of its target, if that is more), under r_i >= floor, by accelerated projected gradient steps with a 1 / n_i metric from r_i = 1. The
 table of posteriors is written once; a step is one aggregate over it and adds a few numbers, from which the rates are replayed. Every REBASE
 steps the rates so far are written, so that a step never replays more. Should the totals miss their targets, a warning says by how much.
 
 Rows: a null text, or one without a token, has 0 tokens and the domains' prior as posterior; it gets a rate, but can't change a total. Repeated
 rows are documents of their own. Labels that are null, or of no document, are ignored; of several labels of one document the least quality counts.
-Without any label all domains are equally likely. A domain without tokens stays at 0 whatever its target. Ties don't arise: equal texts get equal
+Without any label all domains are equally likely. A domain without tokens stays at 0 whatever its target, and one with next to none doesn't drive the rates up. Ties don't arise: equal texts get equal
 rates. ``mix`` keeps all columns as they are, whatever their names. An empty table gives an empty one.
 """
 
@@ -33,6 +33,8 @@ MAX_LABELLED = 6000
 #: Share of the mixture's expected tokens that each domain is to have.
 WEIGHTS = {"en": 0.58, "fr": 0.14, "de": 0.14, "es": 0.10, "junk": 0.04}
 STEPS, TOLERANCE, REBASE = 200, 1e-4, 10
+#: A domain's size counts as this share of its target at least.
+SCARCE = 0.01
 
 
 def domain() -> Column:
@@ -188,7 +190,8 @@ def fit_rates(table: DataFrame, weights: np.ndarray, floor: float | np.ndarray =
         need = now / now.sum() / np.maximum(weights / weights.sum(), 1e-12) * floor
         budget = max(1.0, float(need.max()))
     target = budget * now.sum() * weights / weights.sum()
-    scale = 1 / np.maximum(np.diag(gram), now.sum() * 1e-9)  # residual over the domain's size
+    # residual over the domain's size; one that hardly has tokens would else count so much that all rows are repeated for it
+    scale = 1 / np.maximum.reduce([np.diag(gram), target * SCARCE, np.full(k, now.sum() * 1e-9)])
     step = 1 / max(np.linalg.eigvalsh(np.sqrt(scale)[:, None] * gram * np.sqrt(scale)).max(), 1e-12)
     best = np.inf
     for _ in range(steps):

@@ -152,6 +152,16 @@ def test_rates_are_the_least_squares_ones(spark, floor, rebase):
     assert floor or np.allclose(a @ x / n.sum(), weights, atol=1e-3)
 
 
+def test_a_domain_almost_without_tokens_repeats_no_rows(spark):
+    p = np.full((50, 3), 5e-5)
+    p[:, 0] = 1 - p[:, 1:].sum(1)
+    table = spark.createDataFrame([(80, x.tolist()) for x in p], "tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="tokens wanted"):
+        moves = mixing.fit_rates(table, np.array([0.6, 0.3, 0.1]), 1.0, None)
+    rates = mixing.replay(p, moves, 1.0)[0]
+    assert rates.min() >= 1 and rates.max() < 1.5
+
+
 def test_offsets_equal_counted_ones(spark):
     odd = ["naïve café 😀 ok", "日本語 test 🇩🇪", " \n\t x", "a", "é" * 40, "مرحبا بالعالم", "plain words only"]
     d = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, text string")
