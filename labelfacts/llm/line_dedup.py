@@ -2,11 +2,12 @@
 
 Lines are what "\\n" parts. A line's shingles are its runs of SHINGLE lower-case characters, white space at the ends taken off; a shorter line is
 one shingle. One-permutation hashing with rotation gives BINS minima, all of which are hashed to buckets as BANDS bands of ROWS: lines of
-Jaccard similarity 0.7 share one with probability 0.988, of 0.8 with 0.9998. Lines of a bucket are verified by the exact Jaccard similarity of their
-shingle sets, breadth-first over what isn't reached yet, which yields the same components as all pairs of the bucket; shingles are equal if 44 bits of their hashes are. Distributed union-find joins the
-edges of all buckets; of each component the first line (least doc_id, then place) stays. A bucket whose lines are all in one larger bucket isn't verified by itself.
+Jaccard similarity 0.7 share one with probability 0.988, of 0.8 with 0.9998. Buckets that have the same least line are verified as one group, by the exact Jaccard
+similarity of their lines' shingle sets, breadth-first over what isn't reached yet, which yields the same components as all pairs of the group, those of its buckets among them; shingles are equal
+if 44 bits of their hashes are. Distributed union-find joins the edges of all groups; of each component the first line (least doc_id, then place) stays. A bucket whose lines are all in one larger
+bucket isn't verified by itself.
 Bucket keys move packed, by as many ranges of them as spark.sql.shuffle.partitions; which line is in which bucket lies in mapped files, so that only lines that share a
-bucket are moved with their text, and nothing is broadcast at any size. A line's text moves once for each bucket and each task that reads it.
+bucket are moved with their text, and nothing is broadcast at any size. A line's text moves once for each group and each task that reads it.
 
 Rows: a null text has no lines; blank lines are never compared. Equal lines are one component without being hashed to buckets. Ties are broken by
 doc_id and place; repeated rows have the same doc_id and places: each of them is reported, and counts as the first if that place is. A null doc_id comes
@@ -32,23 +33,35 @@ U = np.uint64
 SENT = np.dtype([("high", "u4"), ("low", "u2"), ("h", "i8")])
 MEMBER = np.dtype([("key", "u8"), ("h", "i8"), ("size", "i4")])
 PAIR = np.dtype([("key", "u8"), ("of", "u8"), ("size", "i4")])
+#: A member with 32 bits of the least line of its bucket: buckets of one least line are verified as one group.
+ROUTED = np.dtype([*MEMBER.descr, ("least", "u4")])
 _MAX = U(2**64 - 1)
+#: The mixed number of each character of the basic plane's first blocks: looked up instead of mixed anew.
+MIXED = tx.mix(np.arange(1, 1 + (1 << 12), dtype=U))
+#: Bytes of text that are hashed or verified at once: what is made of them stays in the processor's cache.
+CHUNK = 1 << 17
 
 
 def shingles(data: np.ndarray, at: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every shingle; rows are lines. A line of fewer than k characters gives one."""
-    codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    cut = np.append(0, np.cumsum((data & 0xC0) != 0x80))[at]
+    codes, cut = data, at
+    if len(data) and data.max() > 127:
+        codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        cut = np.append(0, np.cumsum((data & 0xC0) != 0x80))[at]
     n = np.diff(cut)
     row = np.repeat(np.arange(len(n)), n)
-    value = tx.mix(codes.astype(U) + U(1))
-    h, start = tx.windows(value, row, k)
+    value = MIXED[codes] if not len(codes) or codes.max() < len(MIXED) else tx.mix(codes.astype(U) + U(1))
+    sums = np.zeros(len(value) + 1, U)
+    np.cumsum(value * tx._power("p", len(value)), out=sums[1:])
+    whole = row[: 1 - k] == row[k - 1 :] if len(row) >= k else np.zeros(0, bool)
+    h = sums[k:] - sums[:-k]
+    h *= tx._power("i", len(value))[: len(h)]
+    h, of = tx.mix(h[whole]), row[: len(whole)][whole]
     brief = np.flatnonzero((n > 0) & (n < k))
     if len(brief):
-        sums = np.append(U(0), np.cumsum(value * tx._power("p", len(value))))
-        whole = tx.mix((sums[cut[brief + 1]] - sums[cut[brief]]) * tx._power("i", len(value) + 1)[cut[brief]] + n[brief].astype(U))
-        return np.concatenate([h, whole]), np.concatenate([row[start], brief])
-    return h, row[start]
+        short = tx.mix((sums[cut[brief + 1]] - sums[cut[brief]]) * tx._power("i", len(value) + 1)[cut[brief]] + n[brief].astype(U))
+        return np.concatenate([h, short]), np.concatenate([of, brief])
+    return h, of
 
 
 def signatures(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -88,7 +101,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray]]:
         h = b.column(0).to_numpy()
         _, one = np.unique(h, return_index=True)
         h, text = h[one], b.column(1).take(pa.array(one))
-        for start, data, at in tx.pieces(text, 1 << 18):
+        for start, data, at in tx.pieces(text, CHUNK):
             rows = len(at) - 1
             key = bands(signatures(*shingles(data, at), rows)).ravel()
             yield (record(SENT, key >> U(32), (key >> U(16)) & U(0xFFFF), np.repeat(h[start : start + rows], BANDS)),)
@@ -133,6 +146,13 @@ def shared_buckets(own: np.ndarray) -> np.ndarray:
     return record(MEMBER, np.repeat(lines_of, size)[many], h[many], np.repeat(size, size)[many])
 
 
+def routed(met: np.ndarray) -> np.ndarray:
+    """Members as ``shared_buckets`` gives them, each bucket's one after the other by line, with the least line of theirs."""
+    begin = np.flatnonzero(np.append(True, met["key"][1:] != met["key"][:-1])[: len(met)])  # equal buckets have the same least line
+    least = np.repeat(met["h"][begin], np.diff(np.append(begin, len(met))))
+    return record(ROUTED, met["key"], met["h"], met["size"], least.view(U) >> U(32))
+
+
 def overlaps(own: np.ndarray) -> np.ndarray:
     """For members sorted by line, each once: the pairs of a smaller and a larger bucket that a line is in."""
     out, key, h, size = [np.zeros(0, PAIR)], own["key"].copy(), own["h"].copy(), own["size"].copy()
@@ -161,10 +181,10 @@ def shared_members(every: DataFrame, parts: int, members: Files, within: Files)
 
     def shared(_: tuple, rows: pa.Table) -> pa.Table:
         tx.give_back()
-        return sent("h", shared_buckets(unpack(rows["body"], SENT)))
+        return sent("h", routed(shared_buckets(unpack(rows["body"], SENT))))
 
     def save(part: tuple, rows: pa.Table) -> pa.Table:
-        own = unpack(rows["body"], MEMBER)
+        own = unpack(rows["body"], ROUTED)
         own = own[np.lexsort((own["key"], own["h"]))]
         own = own[np.append(True, own[1:] != own[:-1])[: len(own)]]
         members.save(part[0].as_py(), own)
@@ -182,7 +202,7 @@ def shared_members(every: DataFrame, parts: int, members: Files, within: Files)
 
 
 def _members(members: Files, within: Files):
-    """(key, h, text) of each line for each bucket that it is in and no other contains, once a task."""
+    """(group, h, text) of each line for each group, those buckets of one least line that no other bucket contains, that it is in, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
@@ -190,32 +210,59 @@ def _members(members: Files, within: Files):
             h, one = np.unique(b.column(0).to_numpy(), return_index=True)
             new = ~np.isin(h, seen)
             h, one = h[new], one[new]
-            n, rows = members.rows(h, "h", MEMBER)
+            n, rows = members.rows(h, "h", ROUTED)
             seen = np.concatenate([seen, h[n > 0]])
-            key = rows["key"].copy()
-            kept = ~within.has(key)
-            yield pa.RecordBatch.from_arrays([pa.array(key[kept].view(np.int64)), pa.array(rows["h"][kept]), b.column(1).take(pa.array(np.repeat(one, n)[kept]))], names=["key", "h", "text"])
+            kept = ~within.has(rows["key"].copy())
+            of = tx.distinct((np.repeat(np.arange(len(h)), n)[kept] << 32) | rows["least"][kept].astype(np.int64))
+            line = of >> 32
+            yield pa.RecordBatch.from_arrays([pa.array(of & 0xFFFFFFFF), pa.array(h[line]), b.column(1).take(pa.array(one[line]))], names=["key", "h", "text"])
 
     return run
 
 
-def _component(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
-    """Edges between shingle sets of at least that similarity, enough to join the components of all of them."""
-    size = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    by = np.argsort(flat, kind="stable")
-    flat, owner = flat[by], owner[by]
-    left, a, c = np.ones(len(sets), bool), [], []
-    for seed in range(len(sets)):
+#: Groups of up to so many lines are searched breadth-first side by side, one line of each at a time; larger ones by themselves.
+SMALL = 64
+
+
+def _shared_shingles(h: np.ndarray, row: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of every line; then, for those that several lines of a group have, the shingle's number and each of these lines."""
+    group = np.repeat(np.arange(len(size)), size)
+    own, of, value = row - begin[group[row]], group[row], h >> U(20)
+    low = int(size.max() - 1).bit_length()
+    if low + len(size).bit_length() <= 20:  # one key each: a plain sort is many times as fast as one by several
+        key = np.sort((of.astype(U) << U(44 + low)) | (value << U(low)) | own.astype(U))
+        key = key[np.append(True, key[1:] != key[:-1])[: len(key)]]
+        line = begin[(key >> U(44 + low)).astype(np.int64)] + (key & ((U(1) << U(low)) - U(1))).astype(np.int64)
+        key >>= U(low)
+        new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    else:
+        by = np.lexsort((own, value, of))
+        line, value, of = row[by], value[by], of[by]
+        new = np.append(True, (of[1:] != of[:-1]) | (value[1:] != value[:-1]))[: len(of)]
+        one = new | np.append(True, line[1:] != line[:-1])[: len(line)]
+        line, new = line[one], new[one]
+    count = np.bincount(line, minlength=len(group))
+    several = ~(new & np.append(new[1:], True)[: len(new)])
+    return count, np.cumsum(new[several]) - 1, line[several]
+
+
+def _component(shingle: np.ndarray, line: np.ndarray, count: np.ndarray, least: float) -> tuple[list[int], list[int]]:
+    """Edges between lines of at least that similarity, enough to join the components of all of them. ``shingle`` is sorted."""
+    of_shingle = np.append(np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])[: len(shingle)]), len(shingle))
+    by = np.argsort(line, kind="stable")
+    of_line, shingles_of = np.searchsorted(line[by], np.arange(len(count) + 1)), (shingle - shingle[:1])[by]
+    left, a, c = np.ones(len(count), bool), [], []
+    for seed in range(len(count)):
         if not left[seed]:
             continue
         left[seed], queue = False, [seed]
         while queue and left.any():
             at = queue.pop()
-            lo, hi = np.searchsorted(flat, sets[at]), np.searchsorted(flat, sets[at], "right")
-            n = hi - lo
-            common = np.bincount(owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
-            near = np.flatnonzero(left & (common >= least * (size + size[at] - common)))
+            own = shingles_of[of_line[at] : of_line[at + 1]]
+            lo = of_shingle[own]
+            n = of_shingle[own + 1] - lo
+            common = np.bincount(line[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(count))
+            near = np.flatnonzero(left & (common >= least * (count + count[at] - common)))
             left[near] = False
             queue.extend(near.tolist())
             a += [at] * len(near)
@@ -223,33 +270,47 @@ def _component(sets: list[np.ndarray], least: float) -> tuple[list[int], list[in
     return a, c
 
 
-#: Buckets of up to so many lines are verified pair by pair, all buckets of a batch at once; larger ones by breadth-first search.
-SMALL = 16
-
-
-def _packed(number: np.ndarray, values: np.ndarray, most: int) -> np.ndarray:
-    """Numbers below ``most`` and the leading bits of values in one key each, sorted: a plain sort is many times as fast as one by two keys."""
-    bits = int(most).bit_length()
-    return np.sort((number.astype(U) << U(64 - bits)) | (values >> U(bits)))
+def _components(shingle: np.ndarray, line: np.ndarray, count: np.ndarray, group: np.ndarray, least: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The same for many groups at once: a round compares one line of each with all that aren't reached yet."""
+    left, queued, a, c = np.zeros(len(count), bool), np.zeros(len(count), bool), [], []
+    left[line] = True  # the others share nothing
+    while len(line):
+        lines = np.flatnonzero(left | queued)
+        lines = lines[np.lexsort((left[lines], group[lines]))]  # of each group one that was reached, if there is any
+        seeds = lines[np.append(True, group[lines[1:]] != group[lines[:-1]])]
+        left[seeds] = queued[seeds] = False
+        seed = np.full(group[-1] + 1, -1)
+        seed[group[seeds]] = seeds
+        seed = seed[group]
+        hit = np.zeros(shingle[-1] + 1, bool)
+        hit[shingle[seed[line] == line]] = True
+        common = np.bincount(line[hit[shingle]], minlength=len(count))
+        near = np.flatnonzero(left & (common > 0) & (common >= least * (count + count[seed] - common)))
+        left[near], queued[near] = False, True
+        a.append(seed[near])
+        c.append(near)
+        some = np.zeros(group[-1] + 1, bool)
+        some[group[left]] = True
+        queued &= some[group]  # a group is over when all its lines are reached
+        kept = (left | queued)[line]
+        shingle, line = shingle[kept], line[kept]
+    return a, c
 
 
-def _pairs(values: np.ndarray, cut: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
-    """Which of the pairs i, j of shingle sets (values[cut[r]:cut[r + 1]], distinct) have at least that Jaccard similarity."""
-    size, out = np.diff(cut), np.zeros(len(i), bool)
-    a, b = size[i], size[j]
-    at = np.flatnonzero(np.minimum(a, b) >= least * np.maximum(a, b))  # others can't reach it
-    total = np.cumsum((a + b)[at])
-    for part in np.split(at, np.searchsorted(total, np.arange(1, (total[-1] if len(at) else 0) // 1_000_000 + 1) * 1_000_000)):
-        if not len(part):
-            continue
-        row, n = np.concatenate([i[part], j[part]]), np.concatenate([a[part], b[part]])
-        pair = np.repeat(np.tile(np.arange(len(part)), 2), n)
-        flat = values[np.repeat(cut[row] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        key = _packed(pair, flat, len(part))
-        pair = (key[1:][key[1:] == key[:-1]] >> U(64 - len(part).bit_length())).astype(np.int64)
-        common = np.bincount(pair, minlength=len(part))
-        out[part] = common >= least * (a[part] + b[part] - common)
-    return out
+def _edges(data: np.ndarray, at: np.ndarray, size: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between the lines of groups of so many lines each, one after the other, enough to join the components of each group."""
+    begin, group = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+    count, shingle, line = _shared_shingles(*shingles(data, at), begin, size)
+    large = size > SMALL
+    of, none = group[line], np.zeros(0, np.int64)
+    x, y = _components(shingle[~large[of]], line[~large[of]], count, group, least)
+    a, c = [none, *x], [none, *y]
+    for k in np.flatnonzero(large):
+        lo, hi = np.searchsorted(of, [k, k + 1])
+        x, y = _component(shingle[lo:hi], line[lo:hi] - begin[k], count[begin[k] : begin[k] + size[k]], least)
+        a.append(begin[k] + np.array(x, np.int64))
+        c.append(begin[k] + np.array(y, np.int64))
+    return np.concatenate(a), np.concatenate(c)
 
 
 def _verify(least: float):
@@ -258,31 +319,15 @@ def _verify(least: float):
             key, h = b.column(0).to_numpy(), b.column(1).to_numpy()
             new = np.append(True, (key[1:] != key[:-1]) | (h[1:] != h[:-1]))  # the same line comes from several tasks
             b, key, h = b.filter(pa.array(new)), key[new], h[new]
-            begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            size = np.diff(np.append(begin, len(key)))
-            values, sizes = [], []
-            for _, data, at in tx.pieces(b.column(2)):
-                s, row = shingles(data, at)
-                key = _packed(row, s, len(at))
-                key = key[np.append(True, key[1:] != key[:-1])[: len(key)]]
-                bits = len(at).bit_length()
-                values.append((key << U(bits)) & ~U((1 << 20) - 1))  # 44 bits whatever the piece, so that lines of several pieces compare
-                sizes.append(np.bincount((key >> U(64 - bits)).astype(np.int64), minlength=len(at) - 1))
-            values, cut = np.concatenate(values), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-            a, c = [], []
-            for step in range(1, min(SMALL, size.max())):
-                some = (size > step) & (size <= SMALL)
-                n = size[some] - step
-                x = np.repeat(begin[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                near = _pairs(values, cut, x, x + step, least)
-                a.append(x[near])
-                c.append(x[near] + step)
-            for k in np.flatnonzero(size > SMALL):
-                x, y = _component([values[cut[r] : cut[r + 1]] for r in range(begin[k], begin[k] + size[k])], least)
-                a.append(begin[k] + np.array(x, np.int64))
-                c.append(begin[k] + np.array(y, np.int64))
-            none = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h[np.concatenate([none, *a])]), pa.array(h[np.concatenate([none, *c])])], names=["a", "b"])
+            begin = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+            for _, data, at in tx.pieces(b.column(2), 1 << 62):
+                first = 0
+                while first < len(begin) - 1:
+                    end = max(first + 1, int(np.searchsorted(at[begin], at[begin[first]] + CHUNK, "right")) - 1)
+                    lo, hi = begin[first], begin[end]
+                    x, y = _edges(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], np.diff(begin[first : end + 1]), least)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[lo + x]), pa.array(h[lo + y])], names=["a", "b"])
+                    first = end
 
     return run
 

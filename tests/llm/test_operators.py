@@ -149,6 +149,62 @@ def test_buckets_of_lines_are_neither_broadcast_nor_lost_between_tasks(spark, mo
     assert sorted(map(tuple, line_dedup.line_groups(d.repartition(7)).collect())) == one
 
 
+def shingles_of(s: str) -> set:
+    return {s[i : i + line_dedup.SHINGLE] for i in range(max(1, len(s) - line_dedup.SHINGLE + 1))}
+
+
+def test_lines_move_once_for_the_buckets_of_one_least_line(spark, monkeypatch):
+    rng = random.Random(18)
+    base = [sentence(rng, 14) for _ in range(5)]
+    near = [b[:i] + x + b[i + 1 :] for b in base for i, x in zip(range(2, 60, 7), "qvzjkwyxuo")]
+    t = spark.createDataFrame(rows(["\n".join(near[i::4]) for i in range(4)]), DOCS).coalesce(1)
+    h = {r.text: r.h for r in line_dedup.lines(t).collect()}
+    data, at = np.frombuffer("".join(h).encode(), np.uint8), np.append(0, np.cumsum([len(x) for x in h]))
+    buckets: dict = {}
+    for x, keys in zip(h.values(), line_dedup.bands(line_dedup.signatures(*line_dedup.shingles(data, at), len(h))).tolist()):
+        for k in keys:
+            buckets.setdefault(k, set()).add(x)
+    met = {frozenset(b) for b in buckets.values() if len(b) > 1}
+    met = {b for b in met if not any(b < o for o in met)}
+    want = sorted({((min(b) % 2**64) >> 32, x) for b in met for x in b})
+    assert len(want) < sum(map(len, met))
+
+    def moved(_):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"])
+
+        return run
+
+    seen: list = []
+    monkeypatch.setattr(line_dedup, "_verify", moved)
+    monkeypatch.setattr(line_dedup, "components", lambda edges: seen.extend(map(tuple, edges.collect())) or spark.createDataFrame([], "node long, root long"))
+    assert line_dedup.line_groups(t).count() == 0
+    assert sorted(seen) == want
+
+
+@pytest.mark.parametrize("alone", [0, 1 << 14])
+def test_edges_of_groups_join_what_all_pairs_join(alone):
+    rng = random.Random(19)
+    groups = [["x"]] * alone
+    for n in (1, 2, 2, 3, 5, 16, 17, 40, 64, 65, 90):
+        base = [sentence(rng, 9, rng.choice(["en", "de"])) for _ in range(max(1, n // 6))]
+        groups.append([])
+        while len(groups[-1]) < n:
+            s = list(rng.choice([*base, *groups[-1]]))
+            for _ in range(rng.randrange(3)):
+                s[rng.randrange(len(s))] = rng.choice("qé漢😀")
+            groups[-1].append("".join(s) if rng.random() < 0.9 else rng.choice(["a", "ab", "abcdefgh"]))
+    flat, size = [x for g in groups for x in g], np.array([len(g) for g in groups])
+    group, sets = np.repeat(np.arange(len(size)), size), [shingles_of(x) for x in flat]
+    data, at = np.frombuffer("".join(flat).encode(), np.uint8), np.append(0, np.cumsum([len(x.encode()) for x in flat]))
+    edges = list(zip(*(x.tolist() for x in line_dedup._edges(data, at, size, line_dedup.JACCARD))))
+    near = [(i, j) for i in range(alone, len(flat)) for j in range(i + 1, len(flat)) if group[i] == group[j] and len(sets[i] & sets[j]) >= line_dedup.JACCARD * len(sets[i] | sets[j])]
+    assert all((min(e), max(e)) in set(near) for e in edges) and 100 < len(edges) < len(near)
+    got, want = (dict(zip(*(x.tolist() for x in shared.roots(*np.array(e).T)))) for e in (edges, near))
+    assert got == want
+
+
 def test_shared_buckets_and_files_equal_dictionaries(tmp_path):
     rng = np.random.default_rng(17)
     high, h = rng.integers(0, 60, 500), rng.integers(-40, 40, 500)
