@@ -3,8 +3,8 @@
 A softmax classifier over hashed text features, fitted with numpy on a bounded sample of a labelled table, gives every document a
 posterior over domains. Document i with n_i tokens (words between white space) and posterior p_i adds r_i * n_i * p_id expected tokens to
 domain d when it is taken at rate r_i. The rates minimise the squared difference of these totals from total * weight_d,
-each over the domain's present size (or a hundredth of its target, if that is more), under r_i >= floor, by accelerated projected gradient steps with a 1 / n_i metric from r_i = 1. The
-table of posteriors is written once; a step is one aggregate over it and adds a few numbers, from which the rates are replayed. Every REBASE
+each over the domain's present size (or a hundredth of its target, if that is more), under r_i >= floor, by accelerated projected gradient steps with a 1 / n_i metric from r_i = 1, as long as the curvature met allows. The
+table of posteriors is written once; a step, one taken back too, is one aggregate over it and adds a few numbers, from which the rates are replayed. Every REBASE
 steps the rates so far are written, so that a step never replays more. Should the totals miss their targets, a warning says by how much.
 
 Rows: a null text, or one without a token, has 0 tokens and the domains' prior as posterior; it gets a rate, but can't change a total. Repeated
@@ -35,6 +35,8 @@ WEIGHTS = {"en": 0.58, "fr": 0.14, "de": 0.14, "es": 0.10, "junk": 0.04}
 STEPS, TOLERANCE, REBASE = 200, 1e-4, 10
 #: A domain's size counts as this share of its target at least.
 SCARCE = 0.01
+#: A step is longer than the last by this factor, and tried again as a shorter one where that was too much.
+LONGER = 1.1
 
 
 def domain() -> Column:
@@ -160,19 +162,22 @@ def fit_rates(table: DataFrame, weights: np.ndarray, floor: float | np.ndarray =
     k = len(weights)
     now_at, weight, tail = table.select("tokens", "p", F.lit(1.0).alias("x"), F.lit(1.0).alias("y")), 1.0, np.zeros((0, k))
 
-    def job(gram: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def job(gram: bool, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """The gram matrix if asked for; after one more move the totals of the rates and of the momentum point, and how far the rates are from the momentum point before it, squared."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k * k + 2 * k)
+            total = np.zeros(k * k + 2 * k + 1)
             for b in batches:
                 n = b.column(0).to_numpy().astype(float)
                 p = b.column(1).flatten().to_numpy().reshape(-1, k)
-                x, y, _ = replay(p, tail, floor, (b.column(2).to_numpy(), b.column(3).to_numpy(), weight))
-                total += np.concatenate([(p.T @ (p * n[:, None])).ravel() if gram else np.zeros(k * k), p.T @ (n * x), p.T @ (n * y)])
+                before = replay(p, tail, floor, (b.column(2).to_numpy(), b.column(3).to_numpy(), weight))
+                x, y, _ = replay(p, move, floor, before)
+                total += np.concatenate([(p.T @ (p * n[:, None])).ravel() if gram else np.zeros(k * k), p.T @ (n * x), p.T @ (n * y), [n @ (x - before[1]) ** 2]])
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["v"])
 
         got = now_at.mapInArrow(run, "v binary").toArrow()["v"].to_pylist()
-        out = np.sum([np.frombuffer(x, np.float64) for x in got], axis=0) if got else np.zeros(k * k + 2 * k)
-        return out[: k * k].reshape(k, k), out[k * k : k * k + k], out[k * k + k :]
+        out = np.sum([np.frombuffer(x, np.float64) for x in got], axis=0) if got else np.zeros(k * k + 2 * k + 1)
+        return out[: k * k].reshape(k, k), out[k * k : k * k + k], out[k * k + k : -1], out[-1]
 
     def rebased() -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +188,7 @@ def fit_rates(table: DataFrame, weights: np.ndarray, floor: float | np.ndarray =
         return written(now_at.mapInArrow(run, "tokens long, p array<double>, x double, y double"))
 
     moves = np.zeros((0, k))
-    gram, now, ahead = job(True)
+    gram, now, ahead, _ = job(True, tail)
     if not now.sum():
         return moves
     if budget is None:
@@ -192,19 +197,22 @@ def fit_rates(table: DataFrame, weights: np.ndarray, floor: float | np.ndarray =
     target = budget * now.sum() * weights / weights.sum()
     # residual over the domain's size; one that hardly has tokens would else count so much that all rows are repeated for it
     scale = 1 / np.maximum.reduce([np.diag(gram), target * SCARCE, np.full(k, now.sum() * 1e-9)])
-    step = 1 / max(np.linalg.eigvalsh(np.sqrt(scale)[:, None] * gram * np.sqrt(scale)).max(), 1e-12)
-    best = np.inf
+    step = safe = 1 / max(np.linalg.eigvalsh(np.sqrt(scale)[:, None] * gram * np.sqrt(scale)).max(), 1e-12)
+    best, off = np.inf, np.abs(now - target).max() / target.sum()
     for _ in range(steps):
-        off = np.abs(now - target).max() / target.sum()
         if off < TOLERANCE or abs(best - off) < TOLERANCE / 100:
             break
-        best = off
-        move = (step * scale * (ahead - target))[None]
-        moves, tail = np.concatenate([moves, move]), np.concatenate([tail, move])
         if len(tail) >= rebase:
             now_at, weight, tail = rebased(), replay(np.zeros((0, k)), tail, 0.0, (np.zeros(0), np.zeros(0), weight))[2], np.zeros((0, k))
-        _, now, ahead = job(False)
-    off = np.abs(now - target).max() / target.sum()
+        move = (step * scale * (ahead - target))[None]
+        _, x, y, moved = job(False, move)
+        # rows at the floor don't move, so that steps may be longer than is safe for any move; one too long for the move it made is taken back
+        bend = (scale * (x - ahead) ** 2).sum()
+        if step > safe and step * bend > moved * (1 + 1e-9):
+            step = max(safe, 0.9 * moved / bend)
+            continue
+        moves, tail, now, ahead, step = np.concatenate([moves, move]), np.concatenate([tail, move]), x, y, step * LONGER
+        best, off = off, np.abs(now - target).max() / target.sum()
     if off > 10 * TOLERANCE:
         warnings.warn(f"after {len(moves)} steps the domains have {np.round(now / target.sum(), 4).tolist()} of the tokens wanted, not {np.round(target / target.sum(), 4).tolist()}", stacklevel=2)
     return moves

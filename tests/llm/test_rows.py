@@ -152,6 +152,21 @@ def test_rates_are_the_least_squares_ones(spark, floor, rebase):
     assert floor or np.allclose(a @ x / n.sum(), weights, atol=1e-3)
 
 
+def test_steps_grow_where_rows_stay_at_the_floor(spark):
+    rng = np.random.default_rng(0)
+    p, n = rng.dirichlet([0.1] * 5, 400), rng.integers(0, 50, 400)
+    weights = np.array(list(mixing.WEIGHTS.values()))
+    table = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "tokens long, p array<double>").coalesce(1)
+    with pytest.warns(UserWarning, match="tokens wanted"):
+        moves = mixing.fit_rates(table, weights, 1.0, steps=40)
+    a, size = (p * n[:, None]).T, np.diag((p * n[:, None]).T @ p)
+    cost = lambda r: (((a @ r - n.sum() * weights) ** 2) / size).sum()
+    best, step = np.ones(400), 1 / np.linalg.norm(a @ np.diag(1 / np.sqrt(np.maximum(n, 1))) / np.sqrt(size)[:, None], 2) ** 2
+    for _ in range(20_000):
+        best = np.maximum(1, best - step * p @ ((a @ best - n.sum() * weights) / size))
+    assert len(moves) <= 40 and cost(mixing.replay(p, moves, 1.0)[0]) <= 1.01 * cost(best)
+
+
 def test_a_domain_almost_without_tokens_repeats_no_rows(spark):
     p = np.full((50, 3), 5e-5)
     p[:, 0] = 1 - p[:, 1:].sum(1)
