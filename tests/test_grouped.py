@@ -28,3 +28,10 @@ def test_ellipses_fitted_together_are_those_fitted_alone(spark):
     for p, eq in zip(found, cn.fit_sampson_many(found)):
         assert np.isclose((cn.sampson(eq, p) ** 2).mean(), (cn.sampson(cn.fit_sampson(p), p) ** 2).mean(), rtol=1e-5)
     assert "FlatMapGroups" not in plan(spark, "conic_fits")
+
+
+def test_fragments_split_together_are_those_split_alone(spark):
+    x, starts = fragments()
+    want = np.concatenate([cn.split_fragment(v) for v in np.split(x, starts[1:])])
+    assert (cn.split_fragments(x, starts) == want).all()
+    assert "FlatMapGroups" not in plan(spark, "kmeans_fragments")
