@@ -6,13 +6,14 @@ Every join and window has image_id as its key, so one shuffle by image serves a
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text as ft
 from ..vocabulary import FOOTERS, LINE_FUDGE, OVERLAP, SMALL_HEIGHT
+from .grouped import by_group, sizes
 
 def _image() -> WindowSpec:
     return Window.partitionBy("image_id")
@@ -143,16 +144,27 @@ def merge_vocabulary(boxes: DataFrame, vocabulary: list[str]) -> DataFrame:
 def greedy_lines(boxes: DataFrame, fudge: int = LINE_FUDGE, small: int = SMALL_HEIGHT) -> DataFrame:
     """boxes with ``line``: the first word not on a line yet seeds the next one and takes all words on its line, those seen before too."""
 
-    def number(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("seq").reset_index(drop=True)
-        top, height = t["top"].to_numpy(), t["height"].to_numpy()
-        line, n = np.full(len(t), -1), 0
-        for i in range(len(t)):  # a step for each line, all its words at once
-            if line[i] < 0:
-                line[i] = n
-                centre = top[i] + height[i] / 2
-                line[(top - fudge < centre) & (centre < top + np.where(height <= small, height[i], height) + fudge)] = n
-                n += 1
-        return t.assign(line=line)
-
-    return boxes.groupBy("image_id").applyInPandas(number, StructType([*boxes.schema.fields, StructField("line", IntegerType())]))
+    def number(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        line = number_lines(t["top"].to_numpy(), t["height"].to_numpy(), starts, fudge, small)
+        return t.append_column("line", pa.array(line, pa.int32()))
+
+    return by_group(boxes, ["image_id"], ["seq"], number, StructType([*boxes.schema.fields, StructField("line", IntegerType())]))
+
+
+def number_lines(top: np.ndarray, height: np.ndarray, starts: np.ndarray, fudge: int, small: int) -> np.ndarray:
+    """The lines of words of many images, which begin at ``starts``: a step for each line, in all images that have as many."""
+    image = np.repeat(np.arange(len(starts)), sizes(starts, len(top)))
+    line, rows, n = np.full(len(top), -1), np.arange(len(top)), 0
+    while len(rows):
+        own = image[rows]
+        free = rows[line[rows] < 0]
+        seed = free[np.diff(image[free], prepend=-1) > 0]
+        rows = rows[np.isin(own, image[seed])] if len(seed) < own[-1] + 1 else rows
+        if not len(seed):
+            break
+        line[seed] = n
+        i = np.repeat(seed, np.unique(image[rows], return_counts=True)[1])
+        centre = top[i] + height[i] / 2
+        line[rows[(top[rows] - fudge < centre) & (centre < top[rows] + np.where(height[rows] <= small, height[i], height[rows]) + fudge)]] = n
+        n += 1
+    return line

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from labelfacts.functions import conics as cn
+from labelfacts.operators import boxes as bx
 from labelfacts.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +36,23 @@ def test_fragments_split_together_are_those_split_alone(spark):
     want = np.concatenate([cn.split_fragment(v) for v in np.split(x, starts[1:])])
     assert (cn.split_fragments(x, starts) == want).all()
     assert "FlatMapGroups" not in plan(spark, "kmeans_fragments")
+
+
+def test_lines_of_many_images_are_those_of_each(spark):
+    rng = np.random.default_rng(2)
+    n = rng.integers(1, 20, 60)
+    top, height, starts = rng.integers(0, 60, n.sum()), rng.integers(0, 30, n.sum()), np.append(0, n.cumsum()[:-1])
+
+    def alone(top, height):
+        line, n = np.full(len(top), -1), 0
+        for i in range(len(top)):
+            if line[i] < 0:
+                line[i] = n
+                centre = top[i] + height[i] / 2
+                line[(top - 2 < centre) & (centre < top + np.where(height <= 5, height[i], height) + 2)] = n
+                n += 1
+        return line
+
+    want = np.concatenate([alone(*v) for v in zip(np.split(top, starts[1:]), np.split(height, starts[1:]))])
+    assert (bx.number_lines(top, height, starts, 2, 5) == want).all()
+    assert "FlatMapGroups" not in plan(spark, "greedy_lines")
