@@ -5,14 +5,17 @@ Every join and window has image_id as its key, so one shuffle by image serves a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType, _parse_datatype_string
 
 from ..functions import text as ft
 from ..vocabulary import FOOTERS, LINE_FUDGE, OVERLAP, SMALL_HEIGHT
+from . import words as wd
 from .grouped import by_group, sizes
 
 def _image() -> WindowSpec:
@@ -71,11 +74,28 @@ def split_items(boxes: DataFrame) -> DataFrame:
     return renumber(made, "seq", "_i").select(boxes.columns)
 
 
+def in_one_pass(boxes: DataFrame, of: Callable[[wd.Words], pa.Table], schema: StructType) -> DataFrame:
+    """What ``of`` makes of the words of whole images. Instead of boxes, printed lines (image_id, line_no, text) may be given, which spares the words' own shuffle."""
+    return by_group(boxes, ["image_id"], ["seq" if "seq" in boxes.columns else "line_no"], lambda t, starts: of(wd.Words(t, starts)), schema)
+
+
+def stepped(boxes: DataFrame, *steps: Callable[[wd.Words], None]) -> DataFrame:
+    """boxes, or printed lines, after kernels of operators.words, all in one pass over each image: boxes."""
+
+    def of(w: wd.Words) -> pa.Table:
+        for step in steps:
+            step(w)
+        return w.boxes()
+
+    if "seq" not in boxes.columns:
+        return in_one_pass(boxes, of, StructType([boxes.schema["image_id"], *_parse_datatype_string("seq int, text string, `left` int, top int, width int, height int")]))
+    boxes = boxes.withColumn("seq", F.col("seq").cast("int"))
+    return in_one_pass(boxes, of, boxes.schema)
+
+
 def clean_up(boxes: DataFrame) -> DataFrame:
     """The whole clean-up chain in its fixed order; lines are told by ``top``."""
-    t = drop_below(boxes.withColumn("text", ft.clean("text")))
-    t = calories_from(t, "top").withColumn("text", ft.fix_spelling(ft.oh_to_zero("text")))
-    return drop_blank(split_items(t))
+    return stepped(boxes, wd.clean_up)
 
 
 def on_line(i: str = "i", j: str = "j", fudge: int = LINE_FUDGE, small: int = SMALL_HEIGHT) -> Column:
@@ -116,29 +136,14 @@ def trimmed(boxes: DataFrame, least: int = 3, trim_left: int = 5, trim_top: int
 
 def merge_vitamins(boxes: DataFrame) -> DataFrame:
     """"vitamin" or "vitamine" and its letter become one word; so do "b" and a number after it."""
-    nxt, after = F.lead("text").over(_order()), F.lead("text", 2).over(_order())
-    is_vitamin = lambda c: ft.within(c, F.lit("vitamin"), 1) | ft.within(c, F.lit("vitamine"), 1)
-    b6 = (nxt == "b") & after.rlike("^[0-9]+$")
-    joins = is_vitamin(F.col("text")) & (F.length(nxt) <= 2) & (nxt != "/") & ~is_vitamin(nxt)
-    take = F.when(joins & b6, 2).when(joins, 1).otherwise(0)
-    t = boxes.withColumns({"_take": F.coalesce(take, F.lit(0)), "_1": nxt, "_2": after, "_w1": F.lead("width").over(_order()), "_w2": F.lead("width", 2).over(_order())})
-    gone = (F.coalesce(F.lag("_take").over(_order()), F.lit(0)) >= 1) | (F.coalesce(F.lag("_take", 2).over(_order()), F.lit(0)) >= 2)
-    text = F.when(F.col("_take") == 2, F.concat_ws(" ", "text", "_1", "_2")).when(F.col("_take") == 1, F.concat_ws(" ", "text", "_1")).otherwise(F.col("text"))
-    width = F.col("width") + F.when(F.col("_take") >= 1, F.col("_w1")).otherwise(0) + F.when(F.col("_take") == 2, F.col("_w2")).otherwise(0)
-    return renumber(t.withColumn("_gone", gone).withColumn("text", text).withColumn("width", width).where("not _gone").select(boxes.columns))
+    return stepped(boxes, wd.merge_vitamins)
 
 
 def merge_vocabulary(boxes: DataFrame, vocabulary: list[str]) -> DataFrame:
     """Neighbouring words that make a word of the vocabulary when written without a blank become one item, with the blank; from left to right, each word once.
 
-    In a run of overlapping pairs every second one is merged: gaps and islands, no loop."""
-    pair = F.concat("text", F.lead("text").over(_order())).isin(vocabulary)
-    marked = boxes.withColumn("_f", F.coalesce(pair, F.lit(False))).withColumns({"_t": F.lead("text").over(_order()), "_w": F.lead("width").over(_order())})
-    since = F.max(F.when(~F.col("_f"), F.col("seq"))).over(_order().rowsBetween(Window.unboundedPreceding, -1))
-    takes = F.col("_f") & ((F.col("seq") - F.coalesce(F.col("_s"), F.lit(-1))) % 2 == 1)
-    t = marked.withColumn("_s", since).withColumn("_m", takes).withColumn("_gone", F.coalesce(F.lag("_m").over(_order()), F.lit(False)))
-    put = {"text": F.when(F.col("_m"), F.concat_ws(" ", "text", "_t")).otherwise(F.col("text")), "width": F.col("width") + F.when(F.col("_m"), F.col("_w")).otherwise(0)}
-    return renumber(t.withColumns(put).where("not _gone").select(boxes.columns))
+    In a run of overlapping pairs every second one is merged."""
+    return stepped(boxes, lambda w: wd.merge_vocabulary(w, vocabulary))
 
 
 def greedy_lines(boxes: DataFrame, fudge: int = LINE_FUDGE, small: int = SMALL_HEIGHT) -> DataFrame:

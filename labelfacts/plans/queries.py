@@ -21,6 +21,7 @@ from ..operators import fuzzy as fz
 from ..operators import ingredients as ig
 from ..operators import lines as ln
 from ..operators import upc
+from ..operators import words as wd
 from ..sources import readers as rd
 from ..storage import written
 from ..vocabulary import AMOUNT_ONLY, DISCARD, FOOTERS, FOREIGN, FRENCH, NEW_FORMAT, NEW_FORMAT_DISTANCE, SHORT, TERMS, WHOLE
@@ -200,21 +201,12 @@ def _needed(names: tuple[str, ...]) -> list[str]:
     return [k for k in CTE if k in want]
 
 
-def _labels(s: SparkSession, d: str) -> DataFrame:
-    return rd.label_boxes(rd.label_lines(_table(s, d, "lineitem")))
-
-
-def _clean(s: SparkSession, d: str) -> DataFrame:
-    return written(bx.clean_up(_labels(s, d)))
-
+def _lines(s: SparkSession, d: str) -> DataFrame:
+    return rd.label_lines(_table(s, d, "lineitem"))
 
-def _merged(s: SparkSession, d: str) -> DataFrame:
-    return written(labels.merged(bx.clean_up(_labels(s, d))))
 
-
-def _hits(clean: DataFrame) -> DataFrame:
-    near = fc.with_neighbours(clean).select("image_id", "seq", F.col("top").alias("line"), "before", "after", "last")
-    return fc.nutrient_hits(clean).join(near, ["image_id", "seq"])
+def _labels(s: SparkSession, d: str) -> DataFrame:
+    return rd.label_boxes(_lines(s, d))
 
 
 def _pages(s: SparkSession, d: str) -> DataFrame:
@@ -228,7 +220,7 @@ def _ascii_words(table: DataFrame) -> DataFrame:
 
 @query("SELECT * FROM facts_", after=("facts_",))
 def nutrition_facts(s, d):
-    return labels.nutrition_facts(_labels(s, d))
+    return labels.nutrition_facts(_lines(s, d))
 
 
 @query("SELECT * FROM docb", after=("docb",))
@@ -279,12 +271,12 @@ def calories_from(s, d):
 
 @query("SELECT * FROM cw", after=("cw",))
 def clean_up(s, d):
-    return bx.clean_up(_labels(s, d))
+    return bx.clean_up(_lines(s, d))
 
 
 @query("SELECT image_id, seq, term, n1 AS found FROM gram, terms WHERE NOT contains(term, ' ') AND levenshtein(n1, term) <= 1", after=("gram", "terms"))
 def fuzzy_hits_1(s, d):
-    return fz.phrase_hits(_clean(s, d), [t for t in TERMS if " " not in t])
+    return labels.phrase_hits(_lines(s, d), [t for t in TERMS if " " not in t], steps=(wd.clean_up,))
 
 
 @query(f"SELECT image_id, seq, term, n AS found FROM (SELECT image_id, seq, lower({_GRAM.format(1)}) AS n2, lower({_GRAM.format(2)}) AS n3 FROM lb), (SELECT unnest([{_list(PHRASES)}]) AS term), LATERAL (SELECT CASE WHEN term = 'teneur de la' THEN n3 ELSE n2 END AS n) WHERE levenshtein(n, term) <= 1", after=("lb",))
@@ -299,35 +291,26 @@ def start_end_hits(s, d):
 
 @query("SELECT image_id, term, min(seq) AS seq FROM gram, terms WHERE levenshtein(CASE WHEN contains(term, ' ') THEN n2 ELSE n1 END, term) <= 1 GROUP BY image_id, term HAVING count(*) = 1", after=("gram", "terms"))
 def unique_hits(s, d):
-    return fz.unique_hits(fz.phrase_hits(_clean(s, d), TERMS))
+    return labels.phrase_hits(_lines(s, d), TERMS, steps=(wd.clean_up,), unique=True)
 
 
 def _listed(condition: str) -> str:
     return f"""SELECT i.image_id, i.seq AS i, string_agg(j.seq || ':' || (j."left" - i."left"), ' ' ORDER BY j."left" - i."left", j.seq) AS pairs FROM lb i JOIN lb j ON i.image_id = j.image_id AND {condition} GROUP BY i.image_id, i.seq"""
 
 
-def _by_seed(pairs: DataFrame) -> DataFrame:
-    """One row a seed, with its pairs as "seq:distance" by distance: the join is whole, its result a row a word."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("dist", "j"))), lambda p: F.concat_ws(":", p["j"].cast("string"), p["dist"].cast("string")))
-    return pairs.groupBy("image_id", "i").agg(F.array_join(listed, " ").alias("pairs"))
-
-
 @query(_listed(_ON_LINE), after=("lb",))
 def same_line_pairs(s, d):
-    b = _labels(s, d)
-    return _by_seed(bx.same_line(b, b))
+    return labels.listed_pairs(_lines(s, d), wd.on_line)
 
 
 @query(_listed(_OVERLAP), after=("lb",))
 def interval_overlap_pairs(s, d):
-    b = _labels(s, d)
-    return _by_seed(bx.same_line(b, b, bx.overlapping()))
+    return labels.listed_pairs(_lines(s, d), wd.overlapping)
 
 
 @query(_listed(_ON_LINE + ' AND j."left" >= i."left"'), after=("lb",))
 def right_of_word(s, d):
-    b = _labels(s, d)
-    return _by_seed(bx.right_of(bx.same_line(b, b)))
+    return labels.listed_pairs(_lines(s, d), lambda w, i, j: wd.on_line(w, i, j) & (w.left[j] >= w.left[i]))
 
 
 @query("SELECT image_id, CAST(trunc(min(\"left\" + width / 2)) AS INT) AS x0, CAST(trunc(min(top + height / 2)) AS INT) AS y0, CAST(trunc(max(\"left\" + width / 2)) AS INT) AS x1, CAST(trunc(max(top + height / 2)) AS INT) AS y1 FROM docb GROUP BY image_id", after=("docb",))
@@ -342,34 +325,32 @@ def trimmed_boxes(s, d):
 
 @query("SELECT * FROM chosen", after=("chosen",))
 def neighbour_rules(s, d):
-    return fc.choose_hits(_hits(_merged(s, d))).select("image_id", "nutrient", "seq")
+    return labels.nutrient_hits(_lines(s, d))
 
 
 @query("SELECT * FROM hits", after=("hits",))
 def translated_hits(s, d):
-    return fc.nutrient_hits(_merged(s, d))
+    return labels.nutrient_hits(_lines(s, d), chosen=False)
 
 
 @query("SELECT * FROM vm", after=("vm",))
 def vitamin_merge(s, d):
-    return bx.merge_vitamins(_clean(s, d))
+    return bx.stepped(_lines(s, d), *labels.MERGED[:2])
 
 
 @query("SELECT image_id, seq, CAST(p0 AS INT) AS \"at\" FROM la WHERE nutrient = 'portion_size' AND p0 IS NOT NULL", after=("la",))
 def serving_size(s, d):
-    clean = _merged(s, d)
-    found = fc.line_items(clean, fc.serving_hits(clean)).withColumn("at", fc.serving_at(F.col("items")).cast("int"))
-    return found.where("at is not null").select("image_id", "seq", "at")
+    return labels.serving_sizes(_lines(s, d))
 
 
 @query("SELECT * FROM vals", after=("vals",))
 def value_unit_dv(s, d):
-    return labels.values(_merged(s, d), TERMS)
+    return labels.values(_lines(s, d))
 
 
 @query("SELECT * FROM fx", after=("fx",))
 def conflict_aggregate(s, d):
-    return fc.facts(labels.values(_merged(s, d), TERMS))
+    return labels.facts(_lines(s, d))
 
 
 @query(
@@ -377,18 +358,13 @@ def conflict_aggregate(s, d):
     coalesce(a.unit, b.unit) AS unit, CASE WHEN a.dv_status IS NULL THEN b.dv ELSE a.dv END AS dv, coalesce(a.dv_status, b.dv_status) AS dv_status
     FROM fx a LEFT JOIN (SELECT * REPLACE (image_id + 1 AS image_id) FROM fx WHERE nutrient <> 'portion_size') b USING (image_id, nutrient)""", after=("fx",))
 def merge_coalesce(s, d):
-    found = written(fc.facts(labels.values(_merged(s, d), TERMS)))
+    found = written(labels.facts(_lines(s, d)))
     return fc.merge(found, found.withColumn("image_id", F.col("image_id") + 1))
 
 
 @query("SELECT * FROM absent", after=("absent",))
 def absent_marking(s, d):
-    clean = written(bx.merge_vitamins(bx.clean_up(_labels(s, d))))
-    own = written(bx.merge_vocabulary(clean.join(fc.foreign_labels(clean).select("image_id"), "image_id", "left_anti"), WHOLE))
-    terms = [t for t in TERMS if t != DROPPED]
-    hits = written(fc.nutrient_hits(own, terms))
-    found = written(fc.complete(fc.facts(labels.values(own, terms, hits)), terms))
-    return fc.mark_absent(found, hits, fz.phrase_hits(own, ["not a significant source"]).select("image_id", "seq"))
+    return labels.facts(_lines(s, d), [t for t in TERMS if t != DROPPED], labels.OWN, absent=True)
 
 
 @query("SELECT image_id, terms FROM pforeign_", after=("pforeign_",))
@@ -398,12 +374,12 @@ def american_reject(s, d):
 
 @query("SELECT * FROM mw", after=("mw",))
 def vocabulary_merge(s, d):
-    return _merged(s, d)
+    return bx.stepped(_lines(s, d), *labels.MERGED)
 
 
 @query("SELECT * FROM fx WHERE quantity_status IS NULL OR quantity_status = 'conflict' OR (nutrient <> 'calories' AND (unit IS NULL OR unit = 'conflict'))", after=("fx",))
 def missing_facts(s, d):
-    return fc.missing(fc.facts(labels.values(_merged(s, d), TERMS)))
+    return fc.missing(labels.facts(_lines(s, d)))
 
 
 @query(
@@ -641,14 +617,14 @@ def text_corrected(s, d):
 
 @query("SELECT image_id, seq, term FROM (SELECT image_id, seq, lower(text) AS w FROM mw), terms WHERE w = term", after=("mw", "terms"))
 def exact_hits(s, d):
-    return fz.phrase_hits(_merged(s, d).withColumn("text", F.replace("text", F.lit(" "), F.lit("_"))), [t.replace(" ", "_") for t in TERMS], 0).select("image_id", "seq", F.replace("term", F.lit("_"), F.lit(" ")).alias("term"))
+    joined = lambda w: w.map(lambda t: t.replace(" ", "_"))
+    hits = labels.phrase_hits(_lines(s, d), [t.replace(" ", "_") for t in TERMS], 0, (*labels.MERGED, joined))
+    return hits.select("image_id", "seq", F.replace("term", F.lit("_"), F.lit(" ")).alias("term"))
 
 
 @query("SELECT image_id, nutrient, seq, CAST(p0 AS INT) AS \"at\" FROM la WHERE nutrient <> 'portion_size' AND p0 IS NOT NULL", after=("la",))
 def right_most_name(s, d):
-    own = _merged(s, d)
-    chosen = fc.choose_hits(_hits(own)).select("image_id", "nutrient", "seq")
-    return fc.line_items(own, chosen).select("image_id", "nutrient", "seq", fc.term_at().alias("at")).where("at is not null")
+    return labels.nutrient_hits(_lines(s, d), named=True)
 
 
 @query(f"SELECT image_id, {_RENUMBER.format('seq')}, text FROM lb WHERE (image_id, seq) NOT IN (SELECT image_id, seq FROM lb WHERE starts_with(lower(text), 'fat') OR ends_with(lower(text), 'fat'))", after=("lb",))
@@ -663,19 +639,19 @@ def rows_dropped(s, d):
     FROM fx a LEFT JOIN (SELECT * REPLACE (image_id + 1 AS image_id) FROM fx WHERE nutrient <> 'portion_size') b USING (image_id, nutrient),
     LATERAL (SELECT coalesce(a.quantity_status = 'ok' AND b.quantity_status = 'ok' AND a.quantity <> b.quantity, false) AS q, coalesce(a.dv_status = 'ok' AND b.dv_status = 'ok' AND a.dv <> b.dv, false) AS v)""", after=("fx",))
 def merge_conflicts(s, d):
-    found = written(fc.facts(labels.values(_merged(s, d), TERMS)))
+    found = written(labels.facts(_lines(s, d)))
     return fc.merge(found, found.withColumn("image_id", F.col("image_id") + 1), test_conflicts=True)
 
 
 @query("SELECT image_id, max(CASE WHEN nutrient = 'fat' THEN quantity END) AS fat, max(CASE WHEN nutrient = 'sodium' THEN unit END) AS sodium_unit, max(CASE WHEN nutrient = 'iron' THEN dv END) AS iron_dv FROM fx GROUP BY image_id", after=("fx",))
 def facts_wide(s, d):
-    t = fc.wide(fc.facts(labels.values(_merged(s, d), TERMS)))
+    t = fc.wide(labels.facts(_lines(s, d)))
     return t.select("image_id", F.col("fat.quantity").alias("fat"), F.col("sodium.unit").alias("sodium_unit"), F.col("iron.dv").alias("iron_dv"))
 
 
 @query("SELECT image_id, string_agg(nutrient, ',' ORDER BY nutrient) AS names, max(CASE WHEN nutrient = 'fat' THEN quantity END) AS fat FROM fx GROUP BY image_id", after=("fx",))
 def facts_map(s, d):
-    t = fc.as_map(fc.facts(labels.values(_merged(s, d), TERMS)))
+    t = fc.as_map(labels.facts(_lines(s, d)))
     return t.select("image_id", F.array_join(F.map_keys("facts"), ",").alias("names"), F.col("facts")["fat"]["quantity"].alias("fat"))
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from labelfacts.functions import conics as cn
+from labelfacts.functions import text as ft
 from labelfacts.operators import boxes as bx
+from labelfacts.operators import words as wd
 from labelfacts.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +59,21 @@ def test_lines_of_many_images_are_those_of_each(spark):
     want = np.concatenate([alone(*v) for v in zip(np.split(top, starts[1:]), np.split(height, starts[1:]))])
     assert (bx.number_lines(top, height, starts, 2, 5) == want).all()
     assert "FlatMapGroups" not in plan(spark, "greedy_lines")
+
+
+#: Queries whose words go through all their steps in one pass over each image.
+ONE_PASS = ["conflict_aggregate"]
+
+
+@pytest.mark.parametrize("name", ONE_PASS)
+def test_labels_are_shuffled_once(spark, name):
+    steps = plan(spark, name)
+    assert steps.count("Exchange") <= 1 and "Join" not in steps and "labelfacts-" not in steps
+
+
+def test_words_are_told_as_by_the_column_functions(spark):
+    texts = ["2,5g", "G*", "4gt", "Fiber", "Saturés(", "Sugarstt", "10Omg", "17.5mg", "a/b/c", "//", "", "1.2.3", "12", "3.", "vitamin", "vitamine", "vitamins", "vitamina", "perm", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", ft.clean("t").alias("c"), ft.fix_spelling(ft.oh_to_zero("t")).alias("s"), ft.parts("t").alias("p"), ft.number("t").alias("n"), *(ft.within("t", F.lit(x), k).alias(f"{x}{k}") for x in ("vitamin", "fibre", "12") for k in (0, 1, 2))).orderBy("i").collect()
+    for t, r in zip(texts, got):
+        assert (wd.clean(t), wd.respelt(t), list(wd.parts(t)), wd.number(t) if wd.number(t) == wd.number(t) else None) == (r.c, r.s, r.p, r.n)
+        assert all(wd.within(t, x, k) == bool(r[f"{x}{k}"]) for x in ("vitamin", "fibre", "12") for k in (0, 1, 2))
