@@ -7,6 +7,7 @@ Within a batch the rows are sorted by image and seq.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -186,12 +187,15 @@ def phrases(w: Words, terms: list[str], most: int) -> tuple[np.ndarray, np.ndarr
     plain = all(lower[c] and lower[c] == lower[c].strip(" ") for c in np.unique(w.code))
     length = np.array([len(t or "") for t in lower])[w.code] + 1
     memo: dict[tuple, str | None] = {}
-    for n in sorted({t.count(" ") + 1 for t in terms}):
+    known = {x for t in lower if t is not None for x in t.split(" ")}
+    intact = lambda t: t.count(" ") + 1 - 2 * most  # words of a term that are left whole at least: an edit spoils two at most
+    terms_of = [t for t in terms if not plain or sum(x in known for x in t.split(" ")) >= intact(t)]
+    for n in sorted({t.count(" ") + 1 for t in terms_of}):
         near = [w.near(k) for k in range(n)]
         long = sum(np.where(here, length[a], 0) for a, here in near) - 1
         last = np.max([np.where(here, a, 0) for a, here in near], axis=0)
         for i, t in enumerate(terms):
-            if t.count(" ") + 1 != n:
+            if t.count(" ") + 1 != n or t not in terms_of:
                 continue
             if n == 1:
                 hit = w.text_of(w.code, lambda x: x is not None and within(x.lower().rstrip(" "), t, most))
@@ -203,10 +207,9 @@ def phrases(w: Words, terms: list[str], most: int) -> tuple[np.ndarray, np.ndarr
                     start = np.fromiter((t.startswith((x or "") [:3]) and t.startswith(f"{x} "[:3]) if x is not None else False for x in lower), bool, len(lower))
                     end = np.fromiter((t.endswith(f" {x}"[-3:]) for x in lower), bool, len(lower))
                     hit &= start[w.code] | end[w.code[last]]
-                elif n > 2 * most:  # an edit spoils two words at most
-                    own = set(t.split())
-                    has = np.fromiter((x in own for x in lower), bool, len(lower))[w.code]
-                    hit &= sum((has[a] & here).astype(int) for a, here in near) >= n - 2 * most
+                elif intact(t) > 0:
+                    has = np.array([sum(y in t.split(" ") for y in (x or "").split(" ")) for x in lower])[w.code]
+                    hit &= sum(np.where(here, has[a], 0) for a, here in near) >= intact(t)
             rows = np.flatnonzero(hit)
             if n == 1:
                 at.append(rows)
@@ -219,13 +222,14 @@ def phrases(w: Words, terms: list[str], most: int) -> tuple[np.ndarray, np.ndarr
                 k = (i, key)
                 if k not in memo:
                     text = " ".join(lower[c] for c in key if c >= 0 and lower[c] is not None).rstrip(" ")
-                    memo[k] = text if within(text, t, most) else None
+                    memo[k] = text if (Counter(text.split(" ")) & Counter(t.split(" "))).total() >= intact(t) and within(text, t, most) else None
                 good.append(memo[k])
             ok = np.fromiter((g is not None for g in good), bool, len(good))
             at.append(rows[ok])
             which.append(np.full(ok.sum(), i))
             found += [g for g in good if g is not None]
-    return np.concatenate(at), np.concatenate(which), found
+    none = np.empty(0, int)
+    return np.concatenate([none, *at]), np.concatenate([none, *which]), found
 
 
 def clean_up(w: Words) -> None:

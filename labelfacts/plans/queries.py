@@ -398,7 +398,8 @@ def dictionary_words(s, d):
 @query(f"SELECT word FROM (SELECT DISTINCT lower(p_name[1:strpos(p_name, ' ') - 1]) AS word FROM part UNION SELECT DISTINCT replace(text, '*', '') FROM c1) WHERE NOT ({' OR '.join(f'''levenshtein(word, '{w}') <= 1''' for w in DISCARD)})", after=("c1",))
 def dictionary_pruned(s, d):
     first = _table(s, d, "part").select(F.lower(F.expr("substring(p_name, 1, instr(p_name, ' ') - 1)")).alias("word"))
-    return fz.prune(first.union(_labels(s, d).select(ft.clean("text"))).distinct(), DISCARD)
+    printed = written(_labels(s, d).select("text").distinct())  # written: else Spark tests each word on its way, not each distinct one
+    return fz.prune(first.union(printed.select(ft.clean("text"))).distinct(), DISCARD)
 
 
 @query(

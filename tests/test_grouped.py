@@ -77,3 +77,8 @@ def test_words_are_told_as_by_the_column_functions(spark):
     for t, r in zip(texts, got):
         assert (wd.clean(t), wd.respelt(t), list(wd.parts(t)), wd.number(t) if wd.number(t) == wd.number(t) else None) == (r.c, r.s, r.p, r.n)
         assert all(wd.within(t, x, k) == bool(r[f"{x}{k}"]) for x in ("vitamin", "fibre", "12") for k in (0, 1, 2))
+
+
+def test_only_distinct_words_are_tested_for_pruning(spark):
+    steps = QUERIES["dictionary_pruned"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in steps
