@@ -19,7 +19,7 @@ from ..operators import ingredients as ig
 from ..operators import upc
 from ..operators import words as wd
 from ..storage import written
-from ..vocabulary import ABSENT, NEW_FORMAT, NEW_FORMAT_DISTANCE, TERMS, WHOLE
+from ..vocabulary import ABSENT, LINE_FUDGE, NEW_FORMAT, NEW_FORMAT_DISTANCE, SMALL_HEIGHT, TERMS, WHOLE
 
 
 def vocabulary(w: wd.Words) -> None:
@@ -106,6 +106,16 @@ def listed_pairs(boxes: DataFrame, test: Callable[[wd.Words, np.ndarray, np.ndar
     return made(boxes, (), of, "i int, pairs string")
 
 
+def greedy_lines(boxes: DataFrame) -> DataFrame:
+    """boxes.greedy_lines: (image_id, seq, line)."""
+
+    def of(w: wd.Words) -> tuple[np.ndarray, dict]:
+        line = bx.number_lines(w.top, w.height, np.flatnonzero(np.diff(w.image, prepend=-1)), LINE_FUDGE, SMALL_HEIGHT)
+        return w.row, {"seq": w.seq, "line": line}
+
+    return made(boxes, (), of, "seq int, line int")
+
+
 def values(boxes: DataFrame, terms: list[str] = TERMS, steps: tuple = MERGED) -> DataFrame:
     """(image_id, nutrient, quantity, unit, dv) of every chosen hit, and of servings."""
 
