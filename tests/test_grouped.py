@@ -68,6 +68,7 @@ def test_lines_of_many_images_are_those_of_each(spark):
 ONE_PASS = {
     "conflict_aggregate": (1, 0),
     "nutrition_facts": (1, 0),
+    "facts_map": (2, 0),
 }
 
 
