@@ -69,6 +69,7 @@ ONE_PASS = {
     "conflict_aggregate": (1, 0),
     "nutrition_facts": (1, 0),
     "facts_map": (2, 0),
+    "absent_marking": (1, 0),
 }
 
 
