@@ -70,6 +70,7 @@ ONE_PASS = {
     "nutrition_facts": (1, 0),
     "facts_map": (2, 0),
     "absent_marking": (1, 0),
+    "facts_wide": (2, 0),
 }
 
 
