@@ -71,6 +71,7 @@ ONE_PASS = {
     "facts_map": (2, 0),
     "absent_marking": (1, 0),
     "facts_wide": (2, 0),
+    "unique_hits": (1, 0),
 }
 
 
