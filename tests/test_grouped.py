@@ -72,6 +72,7 @@ ONE_PASS = {
     "absent_marking": (1, 0),
     "facts_wide": (2, 0),
     "unique_hits": (1, 0),
+    "interval_overlap_pairs": (1, 0),
 }
 
 
