@@ -73,6 +73,7 @@ ONE_PASS = {
     "facts_wide": (2, 0),
     "unique_hits": (1, 0),
     "interval_overlap_pairs": (1, 0),
+    "same_line_pairs": (1, 0),
 }
 
 
