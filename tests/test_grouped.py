@@ -74,6 +74,7 @@ ONE_PASS = {
     "unique_hits": (1, 0),
     "interval_overlap_pairs": (1, 0),
     "same_line_pairs": (1, 0),
+    "neighbour_rules": (1, 0),
 }
 
 
