@@ -75,6 +75,7 @@ ONE_PASS = {
     "interval_overlap_pairs": (1, 0),
     "same_line_pairs": (1, 0),
     "neighbour_rules": (1, 0),
+    "exact_hits": (1, 0),
 }
 
 
