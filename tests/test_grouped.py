@@ -76,6 +76,7 @@ ONE_PASS = {
     "same_line_pairs": (1, 0),
     "neighbour_rules": (1, 0),
     "exact_hits": (1, 0),
+    "serving_size": (1, 0),
 }
 
 
