@@ -77,6 +77,7 @@ ONE_PASS = {
     "neighbour_rules": (1, 0),
     "exact_hits": (1, 0),
     "serving_size": (1, 0),
+    "vitamin_merge": (1, 0),
 }
 
 
