@@ -78,6 +78,7 @@ ONE_PASS = {
     "exact_hits": (1, 0),
     "serving_size": (1, 0),
     "vitamin_merge": (1, 0),
+    "merge_coalesce": (4, 1),
 }
 
 
