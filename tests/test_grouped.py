@@ -79,6 +79,7 @@ ONE_PASS = {
     "serving_size": (1, 0),
     "vitamin_merge": (1, 0),
     "merge_coalesce": (4, 1),
+    "merge_conflicts": (4, 1),
 }
 
 
