@@ -80,6 +80,7 @@ ONE_PASS = {
     "vitamin_merge": (1, 0),
     "merge_coalesce": (4, 1),
     "merge_conflicts": (4, 1),
+    "value_unit_dv": (1, 0),
 }
 
 
