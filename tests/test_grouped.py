@@ -81,6 +81,7 @@ ONE_PASS = {
     "merge_coalesce": (4, 1),
     "merge_conflicts": (4, 1),
     "value_unit_dv": (1, 0),
+    "missing_facts": (1, 0),
 }
 
 
