@@ -82,6 +82,7 @@ ONE_PASS = {
     "merge_conflicts": (4, 1),
     "value_unit_dv": (1, 0),
     "missing_facts": (1, 0),
+    "right_most_name": (1, 0),
 }
 
 
