@@ -83,6 +83,7 @@ ONE_PASS = {
     "value_unit_dv": (1, 0),
     "missing_facts": (1, 0),
     "right_most_name": (1, 0),
+    "right_of_word": (1, 0),
 }
 
 
