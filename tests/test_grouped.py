@@ -84,6 +84,7 @@ ONE_PASS = {
     "missing_facts": (1, 0),
     "right_most_name": (1, 0),
     "right_of_word": (1, 0),
+    "fuzzy_hits_1": (1, 0),
 }
 
 
