@@ -110,12 +110,14 @@ def label_lines(lineitem: DataFrame) -> DataFrame:
     """(image_id, line_no, text): each order becomes a label, each of its lines a printed line with a name, an amount and a share."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    keys = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     q, s = F.col("l_quantity").cast("int").cast("string"), F.col("l_suppkey") % 7
     name = F.element_at(F.array(*map(F.lit, PRINTED)), (F.col("l_partkey") % len(PRINTED) + 1).cast("int"))
     amount = F.concat(q, F.when(s == 0, ",5g").when(s == 1, "Omg").when(s == 2, "mg").when(s == 3, "gt").when(s == 4, " g").when(s == 5, "").otherwise("G"))
     share = F.when(F.col("l_tax") >= 0.04, F.concat(F.lit(" "), (F.col("l_discount") * 100).cast("decimal(9,0)").cast("string"), F.lit(" %"))).otherwise("")
-    return lineitem.select(F.col("l_orderkey").alias("image_id"), (F.row_number().over(order) - 1).alias("line_no"), F.concat(name, F.lit(" "), amount, share).alias("text"))
+    # named before the window, so that what goes by image_id finds the lines together
+    printed = lineitem.select(F.col("l_orderkey").alias("image_id"), F.concat(name, F.lit(" "), amount, share).alias("text"), *keys)
+    return printed.select("image_id", (F.row_number().over(Window.partitionBy("image_id").orderBy(*keys)) - 1).alias("line_no"), "text")
 
 
 def label_boxes(lines: DataFrame) -> DataFrame:
